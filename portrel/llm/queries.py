@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrel.llm import byte_bpe, common, fingerprint, mixing, quality, token_ids, topk
+from portrel.llm import byte_bpe, common, fingerprint, mixing, quality, substring_dedup, suffix_dedup, token_ids, topk
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     return token_ids.read_ids(token_ids.write_ids(common.table(spark, sf_dir, "documents"), path, f"{common.tokenizer_dir()}/word_bpe_49k.json"))
@@ -33,6 +37,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(common.table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op4_token_ids, op7_byte_bpe, op8_quality, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_substring_dedup, op4_token_ids, op7_byte_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
