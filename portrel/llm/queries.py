@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrel.llm import byte_bpe, common, fingerprint, jaccard, mixing, quality, substring_dedup, suffix_dedup, token_ids, topk
+from portrel.llm import byte_bpe, common, fingerprint, html_text, jaccard, mixing, quality, substring_dedup, suffix_dedup, token_ids, topk
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(common.table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +64,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_substring_dedup, op4_token_ids, op5_jaccard_join, op7_byte_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_substring_dedup, op4_token_ids, op5_jaccard_join, op6_html_text, op7_byte_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
