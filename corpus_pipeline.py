@@ -1,10 +1,69 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: quality, near duplicates, repeated substrings, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Nulls, empty tables and repeated rows: as in each operator. No stage can be stated in SQL as a whole (a learned model,
+hashed sampling keys, a tokenizer), so ``ORACLE_SQL`` is None and the stages are tested against plain versions.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from portrel.llm import byte_bpe, common, jaccard, mixing, quality, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs.select(*COLUMNS), common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the n-gram Jaccard join the document with the least id stays."""
+    joined = jaccard.join(docs)
+    first = common.stored(joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+
+
+def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that start earlier too are cut out; documents with no word left go."""
+    cut = suffix_dedup.cleaned(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.where(F.col("text").rlike(mixing.WORD))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document comes once for each whole epoch, and once more if the mix takes at least
+    half of it in the last, fractional one; documents that aren't taken go."""
+    taken = mixing.mix(docs).where(F.col("size") > 0)
+    copies = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where(F.col("copies") > 0)
+    copies = common.stored(copies.groupBy("doc_id").agg(F.max("copies").alias("copies")))
+    both = docs.select(*COLUMNS).join(copies, "doc_id")
+    return both.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of each document, with whether they decode to its text."""
+    import public_tokenizers
+
+    return byte_bpe.round_trip(docs.select("doc_id", "source", "text"), f"{common.tokenizer_dir()}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("suffix-array dedup", drop_repeated_substrings),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):  # noqa: ANN001, ANN201
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to ``documents``."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

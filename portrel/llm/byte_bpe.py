@@ -207,5 +207,22 @@ def digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, file: str, pattern: str) -> DataFrame:
+    """``docs`` without the text, with n_tokens, ids and whether the ids decode to the text's bytes (null: none)."""
+    common.small_batches(docs.sparkSession)
+    kept = docs.drop("text", "n_tokens", "ids", "decodes")
+    names = kept.columns
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = encoder(file, pattern)
+        texts = batch.column("text").to_pylist()
+        ids = [coder.encode(t) for t in texts]
+        same = [coder.decode(i) == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(ids, texts, strict=True)]
+        own = [batch.column(c) for c in names]
+        return pa.RecordBatch.from_arrays([*own, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same)], [*names, "n_tokens", "ids", "decodes"])
+
+    return common.map_batches(docs, step, f"{_ddl(kept.schema)}, n_tokens long, ids binary, decodes boolean")
+
+
 def _ddl(schema) -> str:  # noqa: ANN001
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -145,3 +145,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = common.stored(with_statistics(docs))
     model = fit(measured, labels.where(~held_out()))
     return scores(measured, model).withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is at least 0.5."""
+    measured = common.stored(with_statistics(docs))
+    model = fit(measured, labels.where(~held_out()))
+    common.small_batches(docs.sparkSession)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if model is None:
+            return batch
+        return batch.filter(pa.array(model.difference(statistics(batch.column("text"))) >= 0))
+
+    return docs.mapInArrow(lambda batches: (step(b) for b in batches if b.num_rows), docs.schema)

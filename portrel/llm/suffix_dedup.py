@@ -28,14 +28,15 @@ LENGTH = 100
 GRAM = 32
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc, text, runs`` of all documents: their texts and where ``length``-byte strings repeat."""
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc, text, runs`` of all documents, and columns ``also``: their texts and where ``length``-byte strings repeat."""
     keyed = repeats.keyed(docs)
     found = common.stored(repeats.resolve(repeats.sampled(keyed, repeats.as_bytes, length, gram)))
     opened = found.where("kind = 'open'")
     windows = common.stored(repeats.opened_windows(keyed, opened, repeats.as_bytes, length, 1))
     common.small_batches(docs.sparkSession)
-    return repeats.with_repeats(keyed, found.where("kind = 'copy'").select("doc", "lo", "n").unionByName(windows))
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("doc"), "text", *also)
+    return repeats.with_repeats(whole, found.where("kind = 'copy'").select("doc", "lo", "n").unionByName(windows))
 
 
 def _step(length: int, texts: bool):  # noqa: ANN202
@@ -66,3 +67,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the ``kept`` text if ``texts`` (cut code points are left out)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
     return common.map_batches(repeated(docs, length, gram), _step(length, texts), schema)
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with its columns, the repeated bytes cut out of ``text``; code points that are cut in part go as a whole."""
+    names = docs.columns
+    also = tuple(c for c in names if c not in ("doc_id", "text"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = common.text_bytes(batch.column("text"))
+        gone = repeats.covered(np.diff(offsets), batch.column("runs"), offsets, length)
+        kept, at = data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[offsets]
+        texts = pa.array([kept[a:b].decode("utf-8", "ignore") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+        doc = pa.array([None if d == repeats.NO_ID else d for d in batch.column("doc").to_pylist()], pa.int64())
+        own = {"doc_id": doc, "text": texts} | {c: batch.column(c) for c in also}
+        return pa.RecordBatch.from_arrays([own[c] for c in names], names)
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString() if c not in ('doc_id', 'text') else {'doc_id': 'long', 'text': 'string'}[c]}" for c in names)
+    return common.map_batches(repeated(docs, length, gram, also), step, schema)
