@@ -25,6 +25,8 @@ from portrel.llm import common
 UNIT = "gram long, cover long, doc long, lo long, n int, copy boolean"
 FOUND = "kind string, gram long, cover long, doc long, lo long, n int"
 NO_ID = -(1 << 63)
+#: Windows that are sampled at a time: bounds a task's memory whatever the texts' lengths. A unit cut here is two units.
+CHUNK = 1 << 18
 #: Grams with more different covers than this are compared by a shuffle of single windows instead of in one task.
 HOT_COVERS = 20_000
 
@@ -34,7 +36,6 @@ class Tokens:
 
     def __init__(self, values: np.ndarray, offsets: np.ndarray):
         self.values, self.offsets = values, offsets
-        self.sums = common.prefix_sums(values)
 
 
 def as_bytes(texts: pa.Array) -> Tokens:
@@ -67,23 +68,30 @@ def least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
 
 def units(tokens: Tokens, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(gram hash, cover hash, document index, first window, windows) of each unit; positions count in the whole batch."""
-    sizes = np.diff(tokens.offsets)
-    windows = np.maximum(sizes - length + 1, 0)
+    parts = [_units(tokens, at, min(at + CHUNK, len(tokens.values)), length, gram) for at in range(0, max(1, len(tokens.values)), CHUNK)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _units(tokens: Tokens, at: int, stop: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the windows that start in [at, stop)."""
+    offsets = np.clip(tokens.offsets, at, min(stop + length - 1, len(tokens.values))) - at
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
     if not windows.sum():
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    grams = run_hashes(tokens.sums, gram)
+    sums = common.prefix_sums(tokens.values[at : at + offsets[-1]])
+    grams = run_hashes(sums, gram)
     low = np.uint64(0xFFFFFFFF)
     keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     anchors = (least_in_window(keys, length - gram + 1) & low).astype(np.int64)
-    start = np.repeat(tokens.offsets[:-1], windows) + common.segments(windows)
+    start = np.repeat(offsets[:-1], windows) + common.segments(windows)
     own = anchors[start]
-    row = np.repeat(np.arange(len(sizes)), windows)
+    row = np.repeat(np.arange(len(windows)), windows)
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])]))
     count = np.diff(np.concatenate([first, [len(own)]]))
     lo, anchor = start[first], own[first]
-    cover = common.slice_hash(tokens.sums, lo, lo + count - 1 + length)
+    cover = common.slice_hash(sums, lo, lo + count - 1 + length)
     cover = common.mix(cover + (anchor - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return grams[anchor], cover, row[first], lo, count
+    return grams[anchor], cover, row[first], lo + at, count
 
 
 def sampled(docs: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int, gram: int) -> DataFrame:
@@ -121,7 +129,7 @@ def resolve(rows: DataFrame, old: bool = False) -> DataFrame:
     of that name). Each task reads its sorted tuples as a stream and keeps one row between batches.
     """
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    common.small_batches(spark)
     names = ["gram", "cover", "doc", "lo", "n", "copy"] + ["old"] * old
     dealt = rows.select(*names).repartition(common.partitions(spark), "gram").sortWithinPartitions("gram", "cover", "doc", "lo")
 
