@@ -62,7 +62,7 @@ def _pairs(queries: DataFrame, vectors: DataFrame, groups: int) -> DataFrame:
     """Each block of queries with each block of vectors of its length: query blocks go to every group of vector blocks."""
     left = queries.select("dims", "qids", "qdata", "low", "width", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     right = vectors.select("dims", "ids", "data", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"))
-    return right.join(left, ["dims", "group"])
+    return right.join(left.hint("merge"), ["dims", "group"])  # never broadcast: both sides grow
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +76,7 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's ``k`` highest inner products with rows of other ids."""
     spark = rows.sparkSession
+    common.small_batches(spark)
     whole = quantised(rows, key, vector)
     _batch(spark, VECTOR_BLOCK)
     packed = common.stored(blocks(whole, VECTOR_BLOCK))
