@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from portrel.plans import faces, images, records  # noqa: F401  importing registers
+from portrel.plans.registry import ORACLES, QUERIES, Plan
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Plan]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
