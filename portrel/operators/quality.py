@@ -13,7 +13,9 @@ RULES = [("PIV", "input", 0.40, 0.15, 25.0, 85.0, 60.0, 200.0), ("PIV", "output"
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE)
+    names = [field.split()[0] for field in RULE.split(", ")]
+    values = ", ".join(f"('{a}', '{b}', {', '.join(f'{v}D' for v in rest)})" for a, b, *rest in RULES)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules({', '.join(names)})")
 
 
 def overall(symmetry: Column, sharpness: Column, geometry: Column) -> Column:

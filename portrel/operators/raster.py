@@ -131,27 +131,33 @@ def histogram(values: DataFrame, keys: Sequence[str], bins: int = 50, value: str
     return out.withColumn("share", F.col("n") / F.col("total")).select(*keys, "bin", "n", "share")
 
 
-def reached(pixels: DataFrame, keys: Sequence[str], side: int, seed: Column, open_: Column, eight: bool = False) -> DataFrame:
-    """(keys, y, x) of the open cells of small tiles that are tied to an open seed cell by neighbours.
+def reached(pixels: DataFrame, keys: Sequence[str], seed: Column, open_: Column, eight: bool = False) -> DataFrame:
+    """(keys, y, x) of the open cells of 8x8 tiles that are tied to an open seed cell by neighbours.
 
-    A tile is a sorted array of cells, and a fold grows the reached ones as many times as there are cells at most. For whole
-    photographs take connected components over neighbour edges instead.
+    A tile is one 64-bit number, a bit for each cell, and a step to a neighbour is a shift; a fold grows the reached cells
+    as often as a path can be long. For whole photographs take connected components over neighbour edges instead.
     """
-    cell = F.col("y") * side + F.col("x")
-    tiles = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(open_, cell))).alias("open"), F.array_sort(F.collect_list(F.when(open_ & seed, cell))).alias("seeds"))
-    steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * eight
+    bit = F.expr("shiftleft(1L, cast(y * 8 + x as int))")
+    none = F.lit(0).cast("long")
+    pick = lambda where: F.coalesce(F.bit_or(F.when(where, bit)), none)
+    tiles = pixels.groupBy(*keys).agg(pick(open_).alias("open"), pick(open_ & seed).alias("seeds"))
+    columns = sum(1 << (8 * y) for y in range(8))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    every = (1 << 64) - 1
+    not_first, not_last = signed(every ^ columns), signed(every ^ (columns << 7))
+
+    def beside(m: Column) -> Column:
+        return F.shiftleft(m.bitwiseAND(not_last), 1).bitwiseOR(F.shiftrightunsigned(m.bitwiseAND(not_first), 1))
 
     def grow(have: Column, _: Column) -> Column:
-        def around(c: Column) -> Column:
-            y, x = F.floor(c / side), c % side
-            near = [F.when((y + dy).between(0, side - 1) & (x + dx).between(0, side - 1), c + dy * side + dx) for dy, dx in steps]
-            return F.array_compact(F.array(*near)).cast("array<int>")
-
-        return F.array_union(have, F.array_intersect(F.col("open"), F.flatten(F.transform(have, around))))
-
-    seeds = F.col("seeds").cast("array<int>")
-    grown = tiles.withColumn("open", F.col("open").cast("array<int>")).withColumn("cells", F.aggregate(F.sequence(F.lit(1), F.lit(side * side // 2 + 8)), seeds, grow))
-    return grown.select(*keys, F.explode("cells").alias("c")).select(*keys, F.floor(F.col("c") / side).cast("int").alias("y"), (F.col("c") % side).alias("x"))
+        row = have.bitwiseOR(beside(have))
+        from_rows = row if eight else have
+        near = row.bitwiseOR(F.shiftleft(from_rows, 8)).bitwiseOR(F.shiftrightunsigned(from_rows, 8))
+        return near.bitwiseAND(F.col("open"))
+
+    grown = tiles.withColumn("reached", F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.col("seeds"), grow))
+    cells = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda c: F.getbit("reached", c) == 1)
+    return grown.select(*keys, F.explode(cells).alias("c")).select(*keys, F.floor(F.col("c") / 8).cast("int").alias("y"), (F.col("c") % 8).alias("x"))
 
 
 #: Lifting steps of the 9/7 wavelet.

@@ -164,12 +164,12 @@ _GROW = "WITH RECURSIVE {open}, grown AS (SELECT o.vec_id, o.y, o.x FROM o WHERE
 @query(_GROW.format(open="o AS (SELECT vec_id, y, x, v FROM blocks8 WHERE abs(v) <= 0.15)", seed="o.y IN (0, 7) OR o.x IN (0, 7)", near="abs(o.y - r.y) + abs(o.x - r.x) = 1"))
 def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     border = F.col("y").isin(0, 7) | F.col("x").isin(0, 7)
-    return raster.reached(rel.blocks8(spark, sf_dir), TILE, 8, border, F.abs("v") <= 0.15)
+    return raster.reached(rel.blocks8(spark, sf_dir), TILE, border, F.abs("v") <= 0.15)
 
 
 @query(_GROW.format(open="o AS (SELECT vec_id, y, x, v FROM blocks8 WHERE abs(v) >= 0.1)", seed="abs(o.v) >= 0.25", near="abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1"))
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.reached(rel.blocks8(spark, sf_dir), TILE, 8, F.abs("v") >= 0.25, F.abs("v") >= 0.1, eight=True)
+    return raster.reached(rel.blocks8(spark, sf_dir), TILE, F.abs("v") >= 0.25, F.abs("v") >= 0.1, eight=True)
 
 
 def _lift_sql() -> str:
