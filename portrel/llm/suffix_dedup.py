@@ -29,13 +29,13 @@ GRAM = 32
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, also: tuple[str, ...] = ()) -> DataFrame:
-    """``doc, text, runs`` of all documents, and columns ``also``: their texts and where ``length``-byte strings repeat."""
+    """``doc, text, runs`` of all documents, and the columns ``also`` as also0, also1, ...: where ``length``-byte strings repeat."""
     keyed = repeats.keyed(docs)
     found = common.stored(repeats.resolve(repeats.sampled(keyed, repeats.as_bytes, length, gram)))
     opened = found.where("kind = 'open'")
     windows = common.stored(repeats.opened_windows(keyed, opened, repeats.as_bytes, length, 1))
     common.small_batches(docs.sparkSession)
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("doc"), "text", *also)
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("doc"), "text", *[F.col(f"`{c}`").alias(f"also{i}") for i, c in enumerate(also)])
     return repeats.with_repeats(whole, found.where("kind = 'copy'").select("doc", "lo", "n").unionByName(windows))
 
 
@@ -80,7 +80,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         kept, at = data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[offsets]
         texts = pa.array([kept[a:b].decode("utf-8", "ignore") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
         doc = pa.array([None if d == repeats.NO_ID else d for d in batch.column("doc").to_pylist()], pa.int64())
-        own = {"doc_id": doc, "text": texts} | {c: batch.column(c) for c in also}
+        own = {"doc_id": doc, "text": texts} | {c: batch.column(f"also{i}") for i, c in enumerate(also)}
         return pa.RecordBatch.from_arrays([own[c] for c in names], names)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString() if c not in ('doc_id', 'text') else {'doc_id': 'long', 'text': 'string'}[c]}" for c in names)
