@@ -47,8 +47,9 @@ class FingerprintIndex:
         found = common.stored(repeats.resolve(rows, old=True), paths)
         self._write(found.where("kind = 'first'"))
         windows = repeats.opened_windows(known, found.where("kind = 'open'"), repeats.as_words, self.length, 8)
+        least = batch.agg(F.min("doc")).head()[0]  # windows of earlier documents were told before
         both = found.where("kind = 'copy'").select("doc", "lo", "n").unionByName(windows)
-        out = common.stored(both.join(F.broadcast(batch.agg(F.min("doc").alias("least"))), F.col("doc") >= F.col("least")).select("doc", "lo", "n"))
+        out = common.stored(both.where(F.lit(False) if least is None else F.col("doc") >= least))
         common.discard(self.spark, paths)
         return out
 
