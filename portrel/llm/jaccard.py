@@ -4,8 +4,9 @@ A set is a document's distinct ``SHINGLE``-word shingles (with fewer words, the
 100 |x & y| >= 75 |x | y|. The join is exact; what it skips is proven to add nothing to the components:
 
 * Equal sets are one vertex, the smallest id of them.
-* Highly similar sets are found in *zones* (equal least hashes). In a zone each set is compared with a few leaders; from a
-  leader's answer follow its relatives', so only sets outside of the zone's main component are compared with the rest.
+* Highly similar sets are found in *zones* (equal least hashes, confirmed by a sketch). In a zone each set is compared with
+  a few leaders, then with the sets that link with most of them; from a leader's answer follow its relatives', so only sets
+  outside of the zone's main component are compared with the rest. Zones only save work; no link depends on them.
 * Any other link shares, at the front of both sets in one global order, ``shared(n)`` shingles. These front shingles are
   index lists, sorted by set size; blocks of a list that are too small for a set are skipped by position, and lists within
   one zone as a whole. Frequent shingles come last in the order, so long lists are rare.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,8 +33,14 @@ SHINGLE = 5
 PERCENT = 75
 BINS, BANDS = 64, 16
 LEADERS = 8
-#: Sets of one compared block; members of one group and task before it is split.
-BLOCK, GROUP = 256, 20_000
+#: Equal cells of two sketches, of BINS, for which sets are tied to one zone.
+ALIKE = 20
+#: A zone of more sets is met as a whole by the lists: a set is a candidate for the zone, not for each of its members.
+LARGE_ZONE = 8
+#: Sets and shingles of one compared block; members of one group and task before it is split.
+BLOCK, BLOCK_SHINGLES, GROUP = 2048, 1 << 20, 2_000
+#: At most so many shingles that many leads share are compared by one matrix product, the others by index lists.
+DENSE = 4096
 #: Shingles in more than a 2000th of all documents (at least so many) go last in the order; at most so many are told apart.
 FREQUENT_PART, FREQUENT_LEAST, FREQUENT_MOST = 2000, 32, 1 << 20
 
@@ -64,7 +71,8 @@ def _rows(offsets: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, h1, h2, bands): size of each document's set, two digests of it, and hashes of groups of least shingles."""
+    """(doc, n, h1, h2, bands, sketch): size of each document's set, two digests of it, hashes of groups of least shingles, and
+    a byte of each least shingle."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = sets(batch.column("text"), size)
@@ -76,6 +84,8 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
         cells, at = np.unique(bins, return_index=True)
         least = np.zeros(rows * BINS, np.uint64)
         least[cells] = hashes[at] | np.uint64(1)
+        sketch = (common.mix(least) & np.uint64(255)).astype(np.uint8)
+        cells_of = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * BINS).astype(np.int32)), pa.py_buffer(sketch)])
         least = least.reshape(rows, BANDS, -1)
         full = (least > 0).any(axis=2)
         band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (rows, BANDS)).copy()
@@ -83,9 +93,9 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             band = common.mix(band + least[:, :, i])
         many = full.sum(axis=1)
         flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(band[full].view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(offsets)), *(pa.array(d.view(np.int64)) for d in digests), flat], ["doc", "n", "h1", "h2", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(offsets)), *(pa.array(d.view(np.int64)) for d in digests), flat, cells_of], ["doc", "n", "h1", "h2", "bands", "sketch"])
 
-    return common.map_batches(docs, step, "doc long, n long, h1 long, h2 long, bands array<long>")
+    return common.map_batches(docs, step, "doc long, n long, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def shared(n: np.ndarray) -> np.ndarray:
@@ -94,7 +104,7 @@ def shared(n: np.ndarray) -> np.ndarray:
 
 
 def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray | None, extend: bool) -> DataFrame:
-    """(token, v, n, zone) of the front shingles of each set in the order (frequent, hash)."""
+    """(token, v, n, zone, large) of the front shingles of each set in the order (frequent, hash)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = sets(batch.column("text"), size)
@@ -108,17 +118,26 @@ def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray | Non
         turn = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
         pick = turn < front[row]
         where = row[pick]
-        return pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), pa.array(np.asarray(batch.column("v"))[where]), pa.array(n[where].astype(np.int32)), pa.array(np.asarray(batch.column("zone"))[where])], ["token", "v", "n", "zone"])
+        return pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), pa.array(np.asarray(batch.column("v"))[where]), pa.array(n[where].astype(np.int32)), pa.array(np.asarray(batch.column("zone"))[where]), pa.array(batch.column("large").to_numpy(zero_copy_only=False)[where])], ["token", "v", "n", "zone", "large"])
 
-    return common.map_batches(texts, step, "token long, v long, n int, zone long")
+    return common.map_batches(texts, step, "token long, v long, n int, zone long, large boolean")
 
 
 def candidates(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different zones that share enough front shingles. Each task walks its lists in order, sorted by set size."""
+    """(a, b, whole) of different zones that share enough front shingles: a set ``a`` with a set ``b``, or if ``whole`` with any set
+    of the large zone ``b``. Each task walks its lists in order, sorted by set size."""
     spark = posted.sparkSession
     common.small_batches(spark)
     dealt = posted.repartition(common.partitions(spark), "token").sortWithinPartitions("token", "n", "v")
 
+    def counted(a: np.ndarray, b: np.ndarray, need: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            order = np.lexsort((need, b, a))
+            a, b, need = a[order], b[order], need[order]
+            fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            times = np.diff(np.concatenate([fresh, [len(a)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.full(len(fresh), whole)), pa.array(need[fresh].astype(np.int32)), pa.array(times)], ["a", "b", "whole", "need", "times"])
+
     def pairs_of(v: np.ndarray, n: np.ndarray, zone: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of lists at [begin, begin + size): each set with those before it that are large enough and of other zones."""
         member = np.repeat(begin, size) + common.segments(size)
@@ -131,22 +150,46 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
             ok = (zone[later] != zone[earlier]) & (100 * n[earlier].astype(np.int64) >= percent * n[later])
             a, b = v[later[ok]], v[earlier[ok]]
             need = shared(np.minimum(n[later[ok]], n[earlier[ok]]))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            if len(a):
-                order = np.lexsort((b, a))
-                a, b, need = a[order], b[order], need[order]
-                fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                times = np.diff(np.concatenate([fresh, [len(a)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(need[fresh].astype(np.int32)), pa.array(times)], ["a", "b", "need", "times"])
+            yield from counted(np.minimum(a, b), np.maximum(a, b), need, False)
+            at = stop
+
+    def zones_of(v: np.ndarray, n: np.ndarray, zone: np.ndarray, large: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Each set of these lists with the other large zones that have a set of fitting size in the list. Of two large zones
+        the sets of the one with the greater id ask."""
+        number = np.repeat(np.arange(len(begin)), size)
+        member = np.repeat(begin, size) + common.segments(size)
+        big = member[large[member]]
+        order = np.lexsort((zone[big], number[large[member]]))
+        big, of = big[order], number[large[member]][order]
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (zone[big][1:] != zone[big][:-1])])) if len(big) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        least, most = np.minimum.reduceat(n[big], first).astype(np.int64), np.maximum.reduceat(n[big], first).astype(np.int64)
+        whose, kind = of[first], zone[big][first]
+        low = np.searchsorted(whose, number)
+        many = np.searchsorted(whose, number, side="right") - low
+        at = 0
+        while at < len(member):
+            stop = at + max(1, int(np.searchsorted(np.cumsum(many[at:]), 1 << 20, side="right")))
+            x = np.repeat(member[at:stop], many[at:stop])
+            z = np.repeat(low[at:stop], many[at:stop]) + common.segments(many[at:stop])
+            own = n[x].astype(np.int64)
+            ok = (zone[x] != kind[z]) & (~large[x] | (zone[x] > kind[z])) & (100 * most[z] >= percent * own) & (100 * own >= percent * least[z])
+            yield from counted(v[x[ok]], kind[z[ok]], shared(-(-percent * own[ok] // 100)), True)
             at = stop
 
     def lists(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, v, n, zone = (table.column(c).to_numpy() for c in ("token", "v", "n", "zone"))
+        token, v, n, zone, large = (table.column(c).to_numpy() for c in ("token", "v", "n", "zone", "large"))
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.concatenate([begin, [len(token)]]))
         mixed = (np.minimum.reduceat(zone, begin) != np.maximum.reduceat(zone, begin)) if len(begin) else np.zeros(0, bool)
         if mixed.any():
-            yield from pairs_of(v, n, zone, begin[mixed], size[mixed])
+            yield from zones_of(v, n, zone, large, begin[mixed], size[mixed])
+            inside = np.repeat(mixed, size) & ~large  # the rest of these lists, without the large zones' sets
+            v, n, zone, token = v[inside], n[inside], zone[inside], token[inside]
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([begin, [len(token)]]))
+            yield from pairs_of(v, n, zone, begin, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -167,8 +210,9 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from lists(pa.Table.from_batches(held).combine_chunks())
 
-    seen = dealt.mapInArrow(run, "a long, b long, need int, times long")
-    return seen.groupBy("a", "b", "need").agg(F.sum("times").alias("times")).where(F.col("times") >= F.col("need")).select("a", "b")
+    seen = dealt.mapInArrow(run, "a long, b long, whole boolean, need int, times long")
+    enough = seen.groupBy("a", "b", "whole").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where(F.col("times") >= F.col("need"))
+    return enough.select("a", "b", "whole")
 
 
 def with_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -185,19 +229,45 @@ def with_sets(texts: DataFrame, size: int) -> DataFrame:
 def links(grouped: DataFrame, percent: int) -> DataFrame:
     """(a, b): in each ``part`` of ``grouped(part, lead, v, tokens)``, the members that link with one of its leads.
 
-    A part's leads come first and are held; its members pass by in batches and are compared with all leads at once.
+    A part's leads come first and are held; its members pass by in batches and are compared with all leads at once: shingles
+    that many leads share as a product of two presence matrices, the rest by index lists, which are short then.
     """
     spark = grouped.sparkSession
     common.small_batches(spark)
     dealt = grouped.repartition(common.partitions(spark), "part").sortWithinPartitions("part", F.col("lead").desc(), "v")
 
+    def indexed(lead_v: np.ndarray, lead_n: np.ndarray, flat: np.ndarray) -> tuple:
+        whose = np.repeat(np.arange(len(lead_v)), lead_n)
+        order = np.argsort(flat, kind="stable")
+        flat, whose = flat[order], whose[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([first, [len(flat)]]))
+        often = np.flatnonzero(times >= max(4, len(lead_v) // 32))
+        if len(often) > DENSE:
+            often = np.sort(often[np.argpartition(-times[often], DENSE)[:DENSE]])
+        dense = np.zeros(len(times), bool)
+        dense[often] = True
+        in_dense = np.repeat(dense, times)
+        shared_ones = flat[first][dense]
+        table = np.zeros((len(lead_v), len(shared_ones)), np.float32)
+        table[whose[in_dense], np.repeat(np.arange(len(shared_ones)), times[dense])] = 1
+        return lead_v, lead_n, shared_ones, table, flat[~in_dense], whose[~in_dense]
+
     def compare(leads: tuple, v: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        lead_v, lead_n, index, whose = leads
+        lead_v, lead_n, shared_ones, table, index, whose = leads
         row = np.repeat(np.arange(len(v)), sizes)
+        both = np.zeros((len(v), len(lead_v)))
+        if len(shared_ones):
+            at = np.minimum(np.searchsorted(shared_ones, tokens), len(shared_ones) - 1)
+            hit = shared_ones[at] == tokens
+            mine = np.zeros((len(v), len(shared_ones)), np.float32)
+            mine[row[hit], at[hit]] = 1
+            both += mine @ table.T
+            row, tokens = row[~hit], tokens[~hit]
         low = np.searchsorted(index, tokens)
         many = np.searchsorted(index, tokens, side="right") - low
-        hit = np.repeat(low, many) + common.segments(many)
-        both = np.bincount(np.repeat(row, many) * len(lead_v) + whose[hit], minlength=len(v) * len(lead_v)).reshape(len(v), len(lead_v))
+        found = np.repeat(low, many) + common.segments(many)
+        both += np.bincount(np.repeat(row, many) * len(lead_v) + whose[found], minlength=both.size).reshape(both.shape)
         linked = 100 * both >= percent * (sizes[:, None] + lead_n[None, :] - both)
         r, c = np.nonzero(linked & (v[:, None] != lead_v[None, :]))
         return pa.RecordBatch.from_arrays([pa.array(lead_v[c]), pa.array(v[r])], ["a", "b"])
@@ -220,10 +290,7 @@ def links(grouped: DataFrame, percent: int) -> DataFrame:
                     held.append((v[a:b].copy(), sizes, own.copy()))
                     continue
                 if leads is None and held:
-                    lead_v, lead_n, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-                    whose = np.repeat(np.arange(len(lead_v)), lead_n)
-                    order = np.argsort(flat, kind="stable")
-                    leads = (lead_v, lead_n, flat[order], whose[order])
+                    leads = indexed(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 if leads is not None:
                     yield compare(leads, v[a:b], own, sizes)
 
@@ -247,33 +314,49 @@ def _groups(leads: DataFrame, members: DataFrame, known: DataFrame, group: str)
 
 
 def zones(profile: DataFrame) -> DataFrame:
-    """(v, zone): sets that are tied by equal bands, directly or by others."""
+    """(v, zone): sets that are tied by equal bands and like sketches, directly or by others."""
     banded = common.stored(profile.select(F.col("doc").alias("v"), F.explode("bands").alias("band")))
     first = banded.groupBy("band").agg(F.min("v").alias("first"), F.count(F.lit(1)).alias("many")).where(F.col("many") > 1)
-    tied = banded.join(first, "band").where(F.col("first") != F.col("v")).select(F.col("first").alias("a"), F.col("v").alias("b"))
-    return components(tied).select("v", F.col("component").alias("zone"))
+    tied = banded.join(first, "band").where(F.col("first") != F.col("v")).select(F.col("first").alias("a"), F.col("v").alias("b")).distinct()
+    sketches = profile.select("doc", "sketch")
+    both = tied.join(sketches.withColumnsRenamed({"doc": "a", "sketch": "left"}), "a").join(sketches.withColumnsRenamed({"doc": "b", "sketch": "right"}), "b")
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("left", "right"))
+        return batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= ALIKE))
+
+    return components(common.map_batches(both, alike, "a long, b long")).select("v", F.col("component").alias("zone"))
 
 
 def zone_links(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Enough links within zones to know their components: by leaders, then by what is outside each main component."""
-    leads = _leaders(placed)
-    by_leaders = common.stored(links(_groups(leads, placed, known, "zone"), percent))
-    labels = components(by_leaders)
+    by_leaders = common.stored(links(_groups(_leaders(placed, F.lit(0)), placed, known, "zone"), percent))
     large = placed.groupBy("zone").count().where(F.col("count") > LEADERS).select("zone")
-    labelled = common.stored(placed.join(large, "zone").join(labels, "v", "left").select("v", "zone", F.coalesce("component", "v").alias("label")))
+    crowd = common.stored(placed.join(large, "zone").select("v", "zone"))
+    times = by_leaders.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    central = _leaders(crowd.join(times, "v"), -F.col("times"))
+    found = by_leaders.unionByName(common.stored(links(_groups(central, crowd, known, "zone"), percent)))
+
+    labelled = common.stored(crowd.join(components(found), "v", "left").select("v", "zone", F.coalesce("component", "v").alias("label")))
     main = labelled.groupBy("zone", "label").count().groupBy("zone").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     rest = labelled.join(main, "zone").where(F.col("label") != F.col("main")).select("v", "zone")
-    blocks = rest.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rest = rest.join(blocks, "zone").withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")))
-    rest = common.stored(rest.select("v", F.xxhash64("zone", "block").alias("group"), "zone"))
-    against = labelled.select("v", "zone").join(rest.select("zone", "group").distinct(), "zone").select("v", "group")
-    return by_leaders.unionByName(links(_groups(rest.select("v", "group"), against, known, "group"), percent))
+    return found.unionByName(against_zones(rest, labelled.select("v", "zone"), known, percent))
+
+
+def against_zones(asking: DataFrame, placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links of sets ``asking(v, zone)`` with all sets of the zone they ask, in blocks of asking sets."""
+    sized = asking.join(known.select("v", (F.length("tokens") / 8).alias("n")), "v")
+    blocks = sized.groupBy("zone").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    blocked = sized.join(blocks, "zone").withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")))
+    blocked = common.stored(blocked.select("v", F.xxhash64("zone", "block").alias("group"), "zone"))
+    asked = placed.join(blocked.select("zone", "group").distinct(), "zone").select("v", "group")
+    return links(_groups(blocked.select("v", "group"), asked, known, "group"), percent)
 
 
-def _leaders(placed: DataFrame) -> DataFrame:
-    """The LEADERS sets of each zone with the least hashes; the candidates are thinned by rank within random parts first,
-    so that no task ranks a whole zone."""
-    order = (F.xxhash64("v", F.lit(3)), "v")
+def _leaders(placed: DataFrame, before: Column) -> DataFrame:
+    """LEADERS sets of each zone, least by ``before`` and hash; they are ranked within random parts first, so that no task
+    ranks a whole zone."""
+    order = (before, F.xxhash64("v", F.lit(3)), F.col("v"))
     part = placed.withColumn("slice", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(64)))
     part = part.withColumn("turn", F.row_number().over(W.partitionBy("zone", "slice").orderBy(*order))).where(F.col("turn") <= LEADERS)
     return part.withColumn("turn", F.row_number().over(W.partitionBy("zone").orderBy(*order))).where(F.col("turn") <= LEADERS).select("v", "zone")
@@ -284,30 +367,39 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     spark = docs.sparkSession
     keyed = repeats.keyed(docs)
     common.small_batches(spark)
-    profile = common.stored(profiles(keyed, size))
+    done: list[str] = []  # steps that nothing reads once the links are known
+    profile = common.stored(profiles(keyed, size), done)
     same = profile.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("doc").alias("first"))
     classes = common.stored(profile.select("doc", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left").select("doc", "n", F.coalesce("first", "doc").alias("v")))
     vertices = classes.where((F.col("n") > 0) & (F.col("doc") == F.col("v"))).select("v").distinct()
     placed = common.stored(zones(profile.where(F.col("n") > 0).join(vertices.withColumnRenamed("v", "doc"), "doc", "left_semi")))
-    where = vertices.join(placed, "v", "left").select("v", F.coalesce("zone", "v").alias("zone"), F.col("zone").isNotNull().alias("zoned"))
+    many = placed.groupBy("zone").agg((F.count(F.lit(1)) > LARGE_ZONE).alias("large"))
+    zoned = F.col("zone").isNotNull()
+    where = vertices.join(placed.join(many, "zone"), "v", "left").select("v", F.coalesce("zone", "v").alias("zone"), zoned.alias("zoned"), F.coalesce("large", F.lit(False)).alias("large"))
     common.small_batches(spark)
-    texts = common.stored(keyed.withColumnRenamed("doc", "v").join(where, "v"))
-    near = common.stored(with_sets(texts.where("zoned"), size))
+    # Both tables grow with the corpus: they are merged at every size, never broadcast.
+    texts = common.stored(keyed.withColumnRenamed("doc", "v").join(where.hint("merge"), "v"), done)
+    near = common.stored(with_sets(texts.where("zoned"), size), done)
     within = common.stored(zone_links(placed, near, percent))
 
     common.small_batches(spark)
     least = max(FREQUENT_LEAST, classes.count() // FREQUENT_PART)
     counts = fronts(texts, size, percent, None, False).groupBy("token").count().where(F.col("count") > least)
     frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST).select("token").collect()], dtype=np.int64).view(np.uint64))
-    posted = fronts(texts, size, percent, frequent, True)
-    pairs = common.stored(candidates(posted, percent))
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    del counts
+    common.release(spark)
+    pairs = common.stored(candidates(fronts(texts, size, percent, frequent, True), percent))
+    single, whole = pairs.where("not whole"), pairs.where("whole")
+    ends = single.select(F.explode(F.array("a", "b")).alias("v")).unionByName(whole.select(F.col("a").alias("v"))).distinct()
     common.small_batches(spark)
-    asked = common.stored(with_sets(texts.join(ends, "v", "left_semi"), size))
-    grouped = _groups(pairs.select(F.col("a").alias("v"), "a").distinct(), pairs.select(F.col("b").alias("v"), "a"), asked, "a")
+    asked = common.stored(with_sets(texts.join(ends.hint("merge"), "v", "left_semi"), size), done)
+    grouped = _groups(single.select(F.col("a").alias("v"), "a").distinct(), single.select(F.col("b").alias("v"), "a"), asked, "a")
     across = common.stored(links(grouped, percent))
+    both = near.unionByName(asked.join(placed.select("v"), "v", "left_anti"))
+    with_zones = common.stored(against_zones(whole.select(F.col("a").alias("v"), F.col("b").alias("zone")), placed, both, percent))
+    common.discard(spark, done)
 
-    parts = components(within.unionByName(across))
+    parts = components(within.unionByName(across).unionByName(with_zones))
     joined = classes.join(parts, "v", "left")
     doc = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
     component = F.coalesce("component", "v")
