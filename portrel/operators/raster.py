@@ -113,11 +113,9 @@ def thin_edges(gradients: DataFrame, keys: Sequence[str], least: float) -> DataF
     way = F.when((turn < 22.5) | (turn >= 157.5), 0).when(turn < 67.5, 1).when(turn < 112.5, 2).otherwise(3)
     m = m.withColumn("way", way)
     dy, dx = F.element_at(F.array(*map(F.lit, (0, 1, 1, 1))), F.col("way") + 1), F.element_at(F.array(*map(F.lit, (1, 1, 0, -1))), F.col("way") + 1)
-    side = lambda sign, name: m.select(*keys, F.col("y").alias("y"), F.col("x").alias("x"), F.col("magnitude").alias(name))
+    side = lambda name, y, x: m.select(*keys, F.col("y").alias(y), F.col("x").alias(x), F.col("magnitude").alias(name))
     asked = m.where(F.col("magnitude") >= least).withColumns({"ya": F.col("y") + dy, "xa": F.col("x") + dx, "yb": F.col("y") - dy, "xb": F.col("x") - dx})
-    a = side(1, "ma").withColumnsRenamed({"y": "ya", "x": "xa"})
-    b = side(-1, "mb").withColumnsRenamed({"y": "yb", "x": "xb"})
-    both = asked.join(a, [*keys, "ya", "xa"]).join(b, [*keys, "yb", "xb"])
+    both = asked.join(side("ma", "ya", "xa"), [*keys, "ya", "xa"]).join(side("mb", "yb", "xb"), [*keys, "yb", "xb"])
     return both.where((F.col("magnitude") >= F.col("ma")) & (F.col("magnitude") >= F.col("mb"))).select(*keys, "y", "x", "magnitude", "way")
 
 
@@ -169,10 +167,9 @@ def lift97(signal: DataFrame, keys: Sequence[str], position: str = "x", value: s
     Borders are mirrored. The four lifting steps are four window expressions over one sort."""
     w = W.partitionBy(*keys).orderBy(position)
     s = signal.withColumn("s", F.col(value))
-    for step, (factor, odd) in enumerate(((ALPHA, 1), (BETA, 0), (GAMMA, 1), (DELTA, 0))):
+    for factor, odd in ((ALPHA, 1), (BETA, 0), (GAMMA, 1), (DELTA, 0)):
         left, right = F.lag("s").over(w), F.lead("s").over(w)
         s = s.withColumn("near", F.coalesce(left, right) + F.coalesce(right, left))
         s = s.withColumn("s", F.when(F.col(position) % 2 == odd, F.col("s") + factor * F.col("near")).otherwise(F.col("s")))
-        del step
     low = F.col(position) % 2 == 0
     return s.select(*keys, F.when(low, "low").otherwise("high").alias("band"), F.floor(F.col(position) / 2).cast("int").alias("k"), F.when(low, F.col("s") * K_LOW).otherwise(F.col("s") * K_HIGH).alias("c"))
