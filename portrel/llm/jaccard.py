@@ -9,7 +9,9 @@ A set is a document's distinct ``SHINGLE``-word shingles (with fewer words, the
   outside of the zone's main component are compared with the rest. Zones only save work; no link depends on them.
 * Any other link shares, at the front of both sets in one global order, ``shared(n)`` shingles. These front shingles are
   index lists, sorted by set size; blocks of a list that are too small for a set are skipped by position, and lists within
-  one zone as a whole. Frequent shingles come last in the order, so long lists are rare.
+  one zone as a whole. Frequent shingles come last in the order, so long lists are rare. Where sets meet in one, they carry
+  the parities of their shingles' counts by hash; as many as differ is a lower bound of the sets' difference, and pairs
+  whose bound is too large to link aren't candidates.
 
 Null and empty texts have the empty set, which links with nothing. Repeated rows are equal sets; rows of one id and
 different texts share that id's component only if their sets are linked. Rows with a null id come out with a null component.
@@ -41,8 +43,10 @@ LARGE_ZONE = 8
 BLOCK, BLOCK_SHINGLES, GROUP = 2048, 1 << 20, 2_000
 #: At most so many shingles that many leads share are compared by one matrix product, the others by index lists.
 DENSE = 4096
-#: Shingles in more than a 2000th of all documents (at least so many) go last in the order; at most so many are told apart.
-FREQUENT_PART, FREQUENT_LEAST, FREQUENT_MOST = 2000, 32, 1 << 20
+#: Shingles that come to the front of more sets than this go last in the order, at any corpus size; the most frequent ones, at most so many, are told apart.
+FREQUENT, FREQUENT_MOST = 32, 1 << 20
+#: Bits of a set's parities, by which sets that meet in a frequent shingle's list are told apart.
+PARITIES = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,24 +107,75 @@ def shared(n: np.ndarray) -> np.ndarray:
     return np.clip(n // 8, 1, 8)
 
 
-def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray | None, extend: bool) -> DataFrame:
-    """(token, v, n, zone, large) of the front shingles of each set in the order (frequent, hash)."""
+def _front(hashes: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each shingle whether it is among its set's front ones in the order (frequent, hash), and whether it is frequent."""
+    often = np.zeros(len(hashes), bool)
+    if len(frequent) and len(hashes):
+        often = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+    n = np.diff(offsets)
+    row = _rows(offsets)
+    seen = np.concatenate([[0], np.cumsum(often)])
+    earlier = seen[:-1] - seen[offsets[:-1]][row]  # frequent shingles before this one
+    rare = n - np.diff(seen[offsets])
+    turn = np.where(often, rare[row] + earlier, np.arange(len(hashes)) - offsets[:-1][row] - earlier)
+    return turn < np.minimum(n, n + (-percent * n // 100) + shared(n))[row], often
+
+
+def frequent_shingles(texts: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Shingles at the front of more than FREQUENT sets, ascending. As they go last, others come to the front, which are counted
+    in the next round; each shingle of a set is counted once at most, as a set has at most about five fronts."""
+    found, before = np.zeros(0, np.uint64), None
+    while len(found) < FREQUENT_MOST:
+        counts = _newcomers(texts, size, percent, found, before).groupBy("token").count().where(F.col("count") > FREQUENT)
+        most = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST - len(found)).select("token").toArrow()
+        common.release(texts.sparkSession)
+        if not most.num_rows:
+            break
+        before, found = found, np.sort(np.concatenate([found, most.column("token").to_numpy().view(np.uint64)]))
+    return found
+
+
+def _newcomers(texts: DataFrame, size: int, percent: int, frequent: np.ndarray, before: np.ndarray | None) -> DataFrame:
+    """(token): front shingles of each set that aren't frequent, without those that were at its front by ``before``."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, offsets = sets(batch.column("text"), size)
+        pick, often = _front(hashes, offsets, percent, frequent)
+        pick &= ~often
+        if before is not None:
+            pick &= ~_front(hashes, offsets, percent, before)[0]
+        return pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64))], ["token"])
+
+    return common.map_batches(texts, step, "token long")
+
+
+def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(token, v, n, zone, large, bits) of the front shingles of each set in the order (frequent, hash); bits: the set's parities,
+    empty unless the shingle is frequent."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = sets(batch.column("text"), size)
         n = np.diff(offsets)
         row = _rows(offsets)
-        if frequent is not None and len(frequent) and len(hashes):
-            at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-            order = np.lexsort((hashes, frequent[at] == hashes, row))
-            hashes = hashes[order]
-        front = np.minimum(n, n + (-percent * n // 100) + (shared(n) if extend else 1))
-        turn = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
-        pick = turn < front[row]
-        where = row[pick]
-        return pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), pa.array(np.asarray(batch.column("v"))[where]), pa.array(n[where].astype(np.int32)), pa.array(np.asarray(batch.column("zone"))[where]), pa.array(batch.column("large").to_numpy(zero_copy_only=False)[where])], ["token", "v", "n", "zone", "large"])
+        pick, often = _front(hashes, offsets, percent, frequent)
+        where, marked = row[pick], often[pick]
+        asked, of = np.unique(where[marked], return_inverse=True)
+        bits = parities(hashes, offsets, asked)[of]
+        ends = np.concatenate([[0], np.cumsum(marked * (PARITIES // 8))]).astype(np.int32)
+        carried = pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(ends), pa.py_buffer(bits)])
+        return pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), pa.array(np.asarray(batch.column("v"))[where]), pa.array(n[where].astype(np.int32)), pa.array(np.asarray(batch.column("zone"))[where]), pa.array(batch.column("large").to_numpy(zero_copy_only=False)[where]), carried], ["token", "v", "n", "zone", "large", "bits"])
+
+    return common.map_batches(texts, step, "token long, v long, n int, zone long, large boolean, bits binary")
+
 
-    return common.map_batches(texts, step, "token long, v long, n int, zone long, large boolean")
+def parities(hashes: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """PARITIES bits for each set of ``which``: whether a bit's share of the set's shingles is odd. Sets differ in at least as
+    many shingles as their parities differ in bits."""
+    out = np.zeros((len(which), PARITIES // 8), np.uint8)
+    for i, at in enumerate(which):
+        own = (common.mix(hashes[offsets[at] : offsets[at + 1]]) & np.uint64(PARITIES - 1)).astype(np.int64)
+        out[i] = np.packbits(np.bincount(own, minlength=PARITIES) & 1)
+    return out
 
 
 def candidates(posted: DataFrame, percent: int) -> DataFrame:
@@ -138,8 +193,18 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
             times = np.diff(np.concatenate([fresh, [len(a)]]))
             yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.full(len(fresh), whole)), pa.array(need[fresh].astype(np.int32)), pa.array(times)], ["a", "b", "whole", "need", "times"])
 
-    def pairs_of(v: np.ndarray, n: np.ndarray, zone: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of lists at [begin, begin + size): each set with those before it that are large enough and of other zones."""
+    def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether the parities of sets x and y leave it open that they link: |x ^ y| is at most (|x| + |y|) (100 - percent) / (100 + percent)."""
+        open_ = np.ones(len(x), bool)
+        told = np.flatnonzero(row[x] >= 0)
+        for part in np.array_split(told, len(told) // (1 << 17) + 1):
+            differ = np.bitwise_count(bits[row[x[part]]] ^ bits[row[y[part]]]).sum(axis=1, dtype=np.int64)
+            open_[part] = differ * (100 + percent) <= (n[x[part]].astype(np.int64) + n[y[part]]) * (100 - percent)
+        return open_
+
+    def pairs_of(v: np.ndarray, n: np.ndarray, zone: np.ndarray, bits: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of lists at [begin, begin + size): each set with those before it that are large enough, of other zones and alike by their
+        parities (rows of ``bits``; -1: none)."""
         member = np.repeat(begin, size) + common.segments(size)
         back = common.segments(size)
         at = 0
@@ -148,6 +213,8 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
             later = np.repeat(member[at:stop], back[at:stop])
             earlier = later - 1 - common.segments(back[at:stop])
             ok = (zone[later] != zone[earlier]) & (100 * n[earlier].astype(np.int64) >= percent * n[later])
+            later, earlier = later[ok], earlier[ok]
+            ok = may_link(later, earlier, n, bits, row)
             a, b = v[later[ok]], v[earlier[ok]]
             need = shared(np.minimum(n[later[ok]], n[earlier[ok]]))
             yield from counted(np.minimum(a, b), np.maximum(a, b), need, False)
@@ -180,16 +247,20 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
 
     def lists(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token, v, n, zone, large = (table.column(c).to_numpy() for c in ("token", "v", "n", "zone", "large"))
+        carried = table.column("bits").combine_chunks()
+        ends = np.frombuffer(carried.buffers()[1], np.int32)[carried.offset : carried.offset + len(carried) + 1] // (PARITIES // 8)
+        bits = np.frombuffer(carried.buffers()[2], np.uint64, ends[-1] * (PARITIES // 64)).reshape(-1, PARITIES // 64) if ends[-1] else np.zeros((0, PARITIES // 64), np.uint64)
+        row = np.where(np.diff(ends) > 0, ends[:-1], -1)
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.concatenate([begin, [len(token)]]))
         mixed = (np.minimum.reduceat(zone, begin) != np.maximum.reduceat(zone, begin)) if len(begin) else np.zeros(0, bool)
         if mixed.any():
             yield from zones_of(v, n, zone, large, begin[mixed], size[mixed])
             inside = np.repeat(mixed, size) & ~large  # the rest of these lists, without the large zones' sets
-            v, n, zone, token = v[inside], n[inside], zone[inside], token[inside]
+            v, n, zone, token, row = v[inside], n[inside], zone[inside], token[inside], row[inside]
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([begin, [len(token)]]))
-            yield from pairs_of(v, n, zone, begin, size)
+            yield from pairs_of(v, n, zone, bits, row, begin, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -383,12 +454,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     within = common.stored(zone_links(placed, near, percent))
 
     common.small_batches(spark)
-    least = max(FREQUENT_LEAST, classes.count() // FREQUENT_PART)
-    counts = fronts(texts, size, percent, None, False).groupBy("token").count().where(F.col("count") > least)
-    frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST).select("token").collect()], dtype=np.int64).view(np.uint64))
-    del counts
-    common.release(spark)
-    pairs = common.stored(candidates(fronts(texts, size, percent, frequent, True), percent))
+    frequent = frequent_shingles(texts, size, percent)
+    pairs = common.stored(candidates(fronts(texts, size, percent, frequent), percent))
     single, whole = pairs.where("not whole"), pairs.where("whole")
     ends = single.select(F.explode(F.array("a", "b")).alias("v")).unionByName(whole.select(F.col("a").alias("v"))).distinct()
     common.small_batches(spark)

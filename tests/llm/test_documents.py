@@ -115,7 +115,7 @@ def test_jaccard(docs, empty, small, monkeypatch):
         monkeypatch.setattr(jaccard, "LEADERS", 1)
         monkeypatch.setattr(jaccard, "BLOCK", 2)
         monkeypatch.setattr(jaccard, "GROUP", 3)
-        monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 2)
+        monkeypatch.setattr(jaccard, "FREQUENT", 2)
         monkeypatch.setattr(jaccard, "LARGE_ZONE", 2)
         monkeypatch.setattr(jaccard, "ALIKE", 50)
     assert _by_id(jaccard.join(docs), "n_shingles", "component_id") == brute.components(TEXTS)
