@@ -45,7 +45,9 @@ BLOCK, BLOCK_SHINGLES, GROUP = 2048, 1 << 20, 2_000
 DENSE = 4096
 #: Shingles that come to the front of more sets than this go last in the order, at any corpus size; the most frequent ones, at most so many, are told apart.
 FREQUENT, FREQUENT_MOST = 32, 1 << 20
-#: Bits of a set's parities, by which sets that meet in a frequent shingle's list are told apart.
+#: Rounds of counting; shingles that come to a front later still stay uncounted, their sets carry parities.
+ROUNDS = 2
+#: Bits of a set's parities, by which sets that meet at frequent or uncounted shingles are told apart.
 PARITIES = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,18 +123,20 @@ def _front(hashes: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.n
     return turn < np.minimum(n, n + (-percent * n // 100) + shared(n))[row], often
 
 
-def frequent_shingles(texts: DataFrame, size: int, percent: int) -> np.ndarray:
-    """Shingles at the front of more than FREQUENT sets, ascending. As they go last, others come to the front, which are counted
-    in the next round; each shingle of a set is counted once at most, as a set has at most about five fronts."""
-    found, before = np.zeros(0, np.uint64), None
-    while len(found) < FREQUENT_MOST:
-        counts = _newcomers(texts, size, percent, found, before).groupBy("token").count().where(F.col("count") > FREQUENT)
+def frequent_shingles(texts: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles at the front of more than FREQUENT sets, ascending, and those known when fronts were counted last. As frequent ones
+    go last, others come to the front, which are counted in the next round, each shingle of a set once at most."""
+    found = before = np.zeros(0, np.uint64)
+    for turn in range(ROUNDS):
+        if len(found) >= FREQUENT_MOST:
+            break
+        counts = _newcomers(texts, size, percent, found, before if turn else None).groupBy("token").count().where(F.col("count") > FREQUENT)
         most = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST - len(found)).select("token").toArrow()
         common.release(texts.sparkSession)
+        before, found = found, np.sort(np.concatenate([found, most.column("token").to_numpy().view(np.uint64)]))
         if not most.num_rows:
             break
-        before, found = found, np.sort(np.concatenate([found, most.column("token").to_numpy().view(np.uint64)]))
-    return found
+    return found, before
 
 
 def _newcomers(texts: DataFrame, size: int, percent: int, frequent: np.ndarray, before: np.ndarray | None) -> DataFrame:
@@ -149,15 +153,16 @@ def _newcomers(texts: DataFrame, size: int, percent: int, frequent: np.ndarray,
     return common.map_batches(texts, step, "token long")
 
 
-def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def fronts(texts: DataFrame, size: int, percent: int, frequent: np.ndarray, counted: np.ndarray) -> DataFrame:
     """(token, v, n, zone, large, bits) of the front shingles of each set in the order (frequent, hash); bits: the set's parities,
-    empty unless the shingle is frequent."""
+    empty unless the shingle is frequent or wasn't at the front as fronts were counted, with the frequent ones ``counted``."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = sets(batch.column("text"), size)
         n = np.diff(offsets)
         row = _rows(offsets)
         pick, often = _front(hashes, offsets, percent, frequent)
+        often |= ~_front(hashes, offsets, percent, counted)[0]
         where, marked = row[pick], often[pick]
         asked, of = np.unique(where[marked], return_inverse=True)
         bits = parities(hashes, offsets, asked)[of]
@@ -196,7 +201,7 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
     def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Whether the parities of sets x and y leave it open that they link: |x ^ y| is at most (|x| + |y|) (100 - percent) / (100 + percent)."""
         open_ = np.ones(len(x), bool)
-        told = np.flatnonzero(row[x] >= 0)
+        told = np.flatnonzero((row[x] >= 0) & (row[y] >= 0))
         for part in np.array_split(told, len(told) // (1 << 17) + 1):
             differ = np.bitwise_count(bits[row[x[part]]] ^ bits[row[y[part]]]).sum(axis=1, dtype=np.int64)
             open_[part] = differ * (100 + percent) <= (n[x[part]].astype(np.int64) + n[y[part]]) * (100 - percent)
@@ -454,8 +459,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     within = common.stored(zone_links(placed, near, percent))
 
     common.small_batches(spark)
-    frequent = frequent_shingles(texts, size, percent)
-    pairs = common.stored(candidates(fronts(texts, size, percent, frequent), percent))
+    frequent, counted = frequent_shingles(texts, size, percent)
+    pairs = common.stored(candidates(fronts(texts, size, percent, frequent, counted), percent))
     single, whole = pairs.where("not whole"), pairs.where("whole")
     ends = single.select(F.explode(F.array("a", "b")).alias("v")).unionByName(whole.select(F.col("a").alias("v"))).distinct()
     common.small_batches(spark)
