@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,6 @@ from portrel.llm import common
 
 #: A text is template at a node if it is there on so many pages of different content, and on such a part of the host's.
 TEMPLATE_LEAST, TEMPLATE_PART = 8, 0.6
-#: Child lists whose lengths multiply to more are matched in order instead of by dynamic programming.
-MATCH_CELLS = 20_000
 #: Reference pages are broadcast up to so many characters in all; beyond it they are joined by shuffle.
 BROADCAST_CHARS = 32 << 20
 
@@ -168,57 +168,136 @@ def number(root: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node, out: list[tuple[int, int]]) -> int:
-    """Simple tree matching of two equal-labelled nodes: how many nodes match; the pairs of numbers go to ``out``."""
-    pairs = [(a.number, b.number)]
-    score = 1
-    x, y = a.kids, b.kids
+class _Shapes:
+    """Subtrees told apart by their labels alone, and how many nodes of two of them match at most."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def of(self, root: Node) -> dict[int, int]:
+        """The shape of each node of a numbered tree, by its number."""
+        order, stack, out = [], [root], {}
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.kids)
+        for node in reversed(order):
+            kids = tuple([out[k.number] for k in node.kids])
+            shape = self.ids.setdefault((node.tag, kids), len(self.tags))
+            if shape == len(self.tags):
+                self.tags.append(node.tag)
+                self.kids.append(kids)
+                self.sizes.append(1 + sum(self.sizes[k] for k in kids))
+            out[node.number] = shape
+        return out
+
+    def known(self, s: int, t: int) -> int | None:
+        if self.tags[s] != self.tags[t]:
+            return 0
+        if s == t:
+            return self.sizes[s]
+        return self.scores.get((s, t)) if self.kids[s] and self.kids[t] else 1
+
+    def score(self, s: int, t: int) -> int:
+        """How many nodes match; an explicit stack, so that trees may be of any depth."""
+        stack = [(s, t)]
+        while stack:
+            pair = stack[-1]
+            if self.known(*pair) is None:
+                x, y = self.kids[pair[0]], self.kids[pair[1]]
+                low, high_x, high_y = _ends(x, y)
+                us, vs = set(x[low:high_x]), set(y[low:high_y])
+                open_ = [(u, v) for u in us for v in vs if self.known(u, v) is None]
+                if open_:
+                    stack.extend(open_)
+                    continue
+                same = sum(self.sizes[k] for k in (*x[:low], *x[high_x:]))
+                self.scores[pair] = 1 + same + _Lists(self, x[low:high_x], y[low:high_y]).most()
+            stack.pop()
+        return self.known(s, t)
+
+
+def _ends(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, int, int]:
+    """Where two lists of shapes begin and end to differ. Equal shapes at either end match each other in some largest match."""
     low, high_x, high_y = 0, len(x), len(y)
-    # Equal-labelled childless nodes at either end match each other in some largest match.
-    while low < high_x and low < high_y and x[low].tag == y[low].tag and not x[low].kids and not y[low].kids:
-        pairs.append((x[low].number, y[low].number))
+    while low < high_x and low < high_y and x[low] == y[low]:
         low += 1
-    while high_x > low and high_y > low and x[high_x - 1].tag == y[high_y - 1].tag and not x[high_x - 1].kids and not y[high_y - 1].kids:
+    while high_x > low and high_y > low and x[high_x - 1] == y[high_y - 1]:
         high_x -= 1
         high_y -= 1
-        pairs.append((x[high_x].number, y[high_y].number))
-    x, y = x[low:high_x], y[low:high_y]
-    if x and y:
-        if len(x) * len(y) > MATCH_CELLS or [k.tag for k in x] == [k.tag for k in y]:
-            for p, q in zip(x, y, strict=False):
-                if p.tag == q.tag:
-                    match(p, q, pairs)
-        else:
-            own: dict[tuple[int, int], tuple[int, list]] = {}
-            best = [[0] * (len(y) + 1)]
-            for i, p in enumerate(x):
-                above, row = best[-1], [0]
-                for j, q in enumerate(y):
-                    most = above[j + 1] if above[j + 1] >= row[j] else row[j]
-                    if p.tag == q.tag:
-                        if p.kids or q.kids:
-                            found: list[tuple[int, int]] = []
-                            worth = match(p, q, found)
-                            own[i, j] = (worth, found)
-                        else:
-                            worth = 1
-                        if above[j] + worth > most:
-                            most = above[j] + worth
-                    row.append(most)
-                best.append(row)
-            i, j = len(x), len(y)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i -= 1
-                    j -= 1
-                    pairs.extend(own[i, j][1] if (i, j) in own else [(x[i].number, y[j].number)])
-    score += len(pairs) - 1
-    out.extend(pairs)
-    return score
+    return low, high_x, high_y
+
+
+class _Lists:
+    """Order-keeping matches of two lists of shapes whose scores are known, a row of the table at a time."""
+
+    def __init__(self, shapes: _Shapes, x: tuple[int, ...], y: tuple[int, ...]):
+        us, vs = sorted(set(x)), sorted(set(y))
+        at_u, at_v = {u: i for i, u in enumerate(us)}, {v: i for i, v in enumerate(vs)}
+        self.worth = np.array([[shapes.known(u, v) for v in vs] for u in us], np.int64).reshape(len(us), len(vs))
+        self.x, self.y = [at_u[u] for u in x], np.array([at_v[v] for v in y], np.int64)
+
+    def _next(self, above: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + self.worth[self.x[i]][self.y]), out=row[1:])
+        return row
+
+    def most(self) -> int:
+        row = np.zeros(len(self.y) + 1, np.int64)
+        if len(self.y):
+            for i in range(len(self.x)):
+                row = self._next(row, i)
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The places that match in one largest match, last ones first. Of n rows about the root of n are kept, the others made again."""
+        out: list[tuple[int, int]] = []
+        if not len(self.x) or not len(self.y):
+            return out
+        step = math.isqrt(len(self.x)) + 1
+        kept, row = [], np.zeros(len(self.y) + 1, np.int64)
+        for i in range(len(self.x)):
+            if i % step == 0:
+                kept.append(row)
+            row = self._next(row, i)
+        j = len(self.y)
+        for begin in range((len(kept) - 1) * step, -1, -step):
+            rows = [kept.pop()]
+            for i in range(begin, min(begin + step, len(self.x))):
+                rows.append(self._next(rows[-1], i))
+            for k in range(len(rows) - 1, 0, -1):
+                if rows[k][j] != rows[k - 1][j]:
+                    j = int(np.searchsorted(rows[k], rows[k][j])) - 1
+                    out.append((begin + k - 1, j))
+        return out
+
+
+def match(a: Node, b: Node, out: list[tuple[int, int]]) -> int:
+    """Simple tree matching of two equal-labelled numbered trees: how many nodes match at most; the pairs of numbers of one such
+    match go to ``out``. What is matched depends on no limit of size or depth."""
+    shapes = _Shapes()
+    of_a, of_b = shapes.of(a), shapes.of(b)
+    before, stack = len(out), [(a, b)]
+    while stack:
+        p, q = stack.pop()
+        out.append((p.number, q.number))
+        if not p.kids or not q.kids:
+            continue
+        x, y = shapes.kids[of_a[p.number]], shapes.kids[of_b[q.number]]
+        low, high_x, high_y = _ends(x, y)
+        stack.extend(zip(p.kids[:low], q.kids[:low], strict=True))
+        stack.extend(zip(p.kids[high_x:], q.kids[high_y:], strict=True))
+        x, y = x[low:high_x], y[low:high_y]
+        if x and y:
+            for u in set(x):
+                for v in set(y):
+                    shapes.score(u, v)
+            stack.extend((p.kids[low + i], q.kids[low + j]) for i, j in _Lists(shapes, x, y).pairs())
+    return len(out) - before
 
 
 def digest(text: str) -> int:

@@ -98,6 +98,48 @@ def test_tree_matching():
         assert len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
 
 
+def test_tree_matching_of_long_lists_and_deep_trees():
+    """The largest match at any size: more than 142 children a side, or nested deeper than Python recurses."""
+    import random
+
+    def tree(*kids):
+        root = html_text.Node("div", False, False)
+        root.kids = list(kids)
+        return root
+
+    def kid(kind):
+        node = html_text.Node(kind[0], False, False)
+        node.kids = [html_text.Node("#", False, False) for _ in kind[1:]]
+        return node
+
+    random.seed(6)
+    for n, m in ((160, 170), (30, 900), (3, 2)):
+        kinds = [[random.choice(("p#", "p##", "h#", "ul")) for _ in range(k)] for k in (n, m)]
+        a, b = (tree(*map(kid, k)) for k in kinds)
+        html_text.number(a), html_text.number(b)
+        best = [0] * (m + 1)
+        for x in kinds[0]:
+            row = [0]
+            for j, y in enumerate(kinds[1]):
+                row.append(max(best[j + 1], row[j], best[j] + (min(len(x), len(y)) if x[0] == y[0] else 0)))
+            best = row
+        pairs: list = []
+        assert html_text.match(a, b, pairs) == len(pairs) == 1 + best[-1]
+        assert sorted(pairs) == sorted(pairs, key=lambda p: p[1])
+    deep = [tree(), tree(kid("p#"))]
+    for _ in range(5000):
+        deep = [tree(d) for d in deep]
+    html_text.number(deep[0]), html_text.number(deep[1])
+    assert html_text.match(*deep, []) == 5001
+
+
+def test_html_template_of_long_pages(spark):
+    """An unmarked block after a varying number of many paragraphs is template as on short pages."""
+    pages = [_page(i, "".join(f"<p>Story {i}, part {k}.</p>" for k in range(150 + 7 * i)) + "<div>All rights</div>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(f"Story {i}, part {k}." for k in range(150 + 7 * i)) for i in range(12))
+
+
 def test_pipeline(spark):
     """On the smallest tables: each stage keeps the columns, and what it decides can be seen in its result."""
     import corpus_pipeline
