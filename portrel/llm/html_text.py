@@ -5,6 +5,8 @@ host's reference page (the one with the least ``page_id``) by simple tree matchi
 equal-labelled nodes, parents with parents. A node of the reference page whose text is the same on most of the host's pages
 is template, whatever it is marked as; the varying slots are content. How often a text stands at a node is counted over all
 pages of the host as a Spark aggregation, pages with equal content once, so that copies of one article aren't template.
+Small hosts' texts must be on all their pages, and not all of these may be edited copies of the reference page; a host with
+one page, or with copies alone, has no template.
 From the varying slots those go that are marked as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments; where a page has an ``article`` or ``main`` element, only what is in it stays.
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from portrel.llm import common
 
-#: A text is template at a node if it is there on so many pages of different content, and on such a part of the host's.
+#: A text is template at a node if it is there on so many pages of different content, and on such a part of the host's; of fewer
+#: pages (two at least) it must be on all, and one of them must have less than half of its text in common with the reference page.
 TEMPLATE_LEAST, TEMPLATE_PART = 8, 0.6
 #: Reference pages are broadcast up to so many characters in all; beyond it they are joined by shuffle.
 BROADCAST_CHARS = 32 << 20
@@ -304,11 +307,22 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def kept(nodes: list[Node]) -> list[Node]:
+    """The leaves that are text of the article by their marks."""
+    leaves = [n for n in nodes if n.text and not n.drop]
+    return [n for n in leaves if n.main] if any(n.main for n in nodes) else leaves
+
+
 def article(nodes: list[Node], template: set[int], ref_of: dict[int, int]) -> str:
-    leaves = [n for n in nodes if n.text and not n.drop and ref_of.get(n.number, -1) not in template]
-    if any(n.main for n in nodes):
-        leaves = [n for n in leaves if n.main]
-    return "\n".join(n.text for n in leaves)
+    return "\n".join(n.text for n in kept(nodes) if ref_of.get(n.number, -1) not in template)
+
+
+def apart(own: list[Node], reference: list[Node]) -> bool:
+    """Whether two pages have less than half of the shorter one's text in common, wherever it stands: no edited copies."""
+    a, b = kept(own), kept(reference)
+    said = {n.text for n in b}
+    common_chars = sum(len(n.text) for n in a if n.text in said)
+    return 2 * common_chars < min(sum(len(n.text) for n in a), sum(len(n.text) for n in b))
 
 
 def host_of(url: str | None) -> str:
@@ -327,13 +341,11 @@ def _aligned(cache: dict, host: str, reference: str | None, page: str | None) ->
     if host not in cache:
         if len(cache) > 200:
             cache.clear()
-        tree = parse(reference)
-        number(tree)
-        cache[host] = tree
+        cache[host] = number(parse(reference))
     own = parse(page)
     nodes = number(own)
     pairs: list[tuple[int, int]] = []
-    match(cache[host], own, pairs)
+    match(cache[host][0], own, pairs)
     return nodes, {q: p for p, q in pairs}
 
 
@@ -350,24 +362,27 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache: dict = {}
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for host, reference, page in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "html")), strict=True):
             nodes, ref_of = _aligned(cache, host, reference, page)
             content = digest("\n".join(n.text for n in nodes if n.text and not n.drop))
+            other = apart(nodes, cache[host])
             for n in nodes:
                 if n.text and not n.drop and n.number in ref_of:
                     out[0].append(host)
                     out[1].append(ref_of[n.number])
                     out[2].append(digest(n.text))
                     out[3].append(content)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["host", "node", "said", "content"])
+                    out[4].append(other)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.bool_())], ["host", "node", "said", "content", "apart"])
 
     joined = _with_reference(hosted, references)
-    seen = common.map_batches(joined, count, "host string, node long, said long, content long")
-    different = common.stored(seen.groupBy("host", "node", "said", "content").agg(F.lit(1).alias("one")))
+    seen = common.map_batches(joined, count, "host string, node long, said long, content long, apart boolean")
+    different = common.stored(seen.groupBy("host", "node", "said", "content").agg(F.max("apart").alias("apart")))
     said = different.groupBy("host", "node", "said").agg(F.count(F.lit(1)).alias("n"))
-    sizes = different.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    fixed = said.where(F.col("n") >= TEMPLATE_LEAST).join(sizes, "host").where(F.col("n") >= TEMPLATE_PART * F.col("pages"))
+    sizes = different.groupBy("host", "content").agg(F.max("apart").alias("apart")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.max("apart").alias("apart"))
+    enough = (F.col("n") >= F.least(F.lit(TEMPLATE_LEAST), "pages")) & (F.col("n") >= TEMPLATE_PART * F.col("pages"))
+    fixed = said.where(F.col("n") > 1).join(sizes, "host").where(enough & ((F.col("pages") >= TEMPLATE_LEAST) | F.col("apart")))
     templates = common.stored(references.join(fixed.groupBy("host").agg(F.collect_list(F.struct("node", "said")).alias("template")), "host", "left"))
 
     def text(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -140,6 +140,29 @@ def test_html_template_of_long_pages(spark):
     assert all(got[i] == "\n".join(f"Story {i}, part {k}." for k in range(150 + 7 * i)) for i in range(12))
 
 
+def test_html_template_of_small_hosts(spark):
+    """From two different pages on; edited copies of one page are no evidence, nor is a page alone."""
+    lead, tail = "<div>Daily Example</div>", "<div>All rights.</div>"
+    page = lambda i, host, body: (i, f"https://{host}.example/{i}", f"<html><body>{lead}<div>{body}</div>{tail}</body></html>")
+    story = lambda i: f"<p>Story {i} begins on day {i}.</p><p>Then comes part {i * 7} of it.</p>"
+    rows, want = [], {}
+    for n in (2, 3, 7):
+        for k in range(n):
+            i = 10 * n + k
+            rows.append(page(i, f"small{n}", story(i)))
+            want[i] = f"Story {i} begins on day {i}.\nThen comes part {i * 7} of it."
+    rows.append(page(100, "alone", story(100)))
+    want[100] = "Daily Example\nStory 100 begins on day 100.\nThen comes part 700 of it.\nAll rights."
+    parts = [f"Paragraph {k} of the one story there is." for k in range(9)]
+    for i, own in enumerate((parts, [parts[0], "Put in later.", *parts[1:]], parts[:4]), 200):
+        rows.append(page(i, "edited", "".join(f"<p>{x}</p>" for x in own)))
+        want[i] = "\n".join(["Daily Example", *own, "All rights."])
+    rows += [(300 + k, f"https://most.example/{k}", f"<html><body>{lead if k else '<div>Special</div>'}<div>{story(k)}</div></body></html>") for k in range(4)]
+    want |= {300 + k: ("Daily Example" if k else "Special") + f"\nStory {k} begins on day {k}.\nThen comes part {k * 7} of it." for k in range(4)}  # not on all pages
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_pipeline(spark):
     """On the smallest tables: each stage keeps the columns, and what it decides can be seen in its result."""
     import corpus_pipeline
