@@ -16,6 +16,8 @@ A set is a document's distinct ``SHINGLE``-word shingles (with fewer words, the
 Null and empty texts have the empty set, which links with nothing. Repeated rows are equal sets; rows of one id and
 different texts share that id's component only if their sets are linked. Rows with a null id come out with a null component.
 An empty table gives no rows; extra columns are ignored.
+
+``join`` gives components only. ``all_links`` gives every link, of classes of equal sets, without zones or any other short cut.
 """
 
 from __future__ import annotations
@@ -476,3 +478,43 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     doc = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
     component = F.coalesce("component", "v")
     return joined.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != repeats.NO_ID, component).alias("component_id"))
+
+
+def all_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links of ``docs(doc_id, text)``: members(doc_id, n_shingles, set_id, n_links, component_id) and pairs(a, b).
+
+    ``set_id`` names a class of equal sets, whatever the rows' ids; each pair of linked classes comes once, as a < b. All sets of
+    two linked classes, and all within a class, are linked: ``n_links`` is the number of other rows that a row links with.
+    Components come from the pairs and have the least id of their rows that isn't null. An empty set is a class of its own.
+    """
+    spark = docs.sparkSession
+    done: list[str] = []
+    # Numbered once and written: rows with one id, or none, and different texts are different vertices.
+    rows = common.stored(repeats.keyed(docs).withColumn("row", F.monotonically_increasing_id()), done)
+    common.small_batches(spark)
+    profile = common.stored(profiles(rows.select(F.col("row").alias("doc"), "text"), size).select(F.col("doc").alias("row"), "n", "h1", "h2"), done)
+    same = profile.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("equal"))
+    placed = profile.join(same, ["n", "h1", "h2"], "left").select("row", "n", F.coalesce("first", "row").alias("v"), F.coalesce("equal", F.lit(1)).alias("equal"))
+    members = common.stored(placed.join(rows.select("row", "doc").hint("merge"), "row"))
+
+    vertices = members.where((F.col("n") > 0) & (F.col("row") == F.col("v"))).select("v")
+    texts = common.stored(rows.select(F.col("row").alias("v"), "text").join(vertices.hint("merge"), "v").withColumns({"zone": F.col("v"), "large": F.lit(False)}), done)
+    common.small_batches(spark)
+    frequent, counted = frequent_shingles(texts, size, percent)
+    met = common.stored(candidates(fronts(texts, size, percent, frequent, counted), percent).select("a", "b"), done)
+    common.small_batches(spark)
+    ends = met.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    known = common.stored(with_sets(texts.join(ends.hint("merge"), "v", "left_semi"), size), done)
+    grouped = _groups(met.select(F.col("a").alias("v"), "a").distinct(), met.select(F.col("b").alias("v"), "a"), known, "a")
+    found = links(grouped, percent)
+    pairs = common.stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    common.discard(spark, done)
+
+    many = members.select("v", "equal").distinct()
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ways.join(many.withColumnsRenamed({"v": "b"}), "b").groupBy(F.col("a").alias("v")).agg(F.sum("equal").alias("others"))
+    joined = members.join(linked, "v", "left").join(components(pairs), "v", "left").withColumn("root", F.coalesce("component", "v"))
+    doc = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
+    least = joined.groupBy("root").agg(F.min(doc).alias("component_id"))
+    links_of = F.col("equal") - 1 + F.coalesce("others", F.lit(0))
+    return joined.join(least, "root").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("v").alias("set_id"), links_of.alias("n_links"), "component_id"), pairs

@@ -128,6 +128,27 @@ def test_jaccard_without_zones(docs, monkeypatch):
     assert _by_id(jaccard.join(docs), "n_shingles", "component_id") == brute.components(TEXTS)
 
 
+def test_jaccard_all_links(spark, empty):
+    """Every pair of different sets that links, and how many other rows each row links with, also for repeated and missing ids."""
+    words = TEXTS[61].split()[:400]
+    texts = TEXTS | {300 + i: " ".join("edited" if k % 97 == 7 * i and i else f"{w}{i}" if k == 20 * i else w for k, w in enumerate(words)) for i in range(14)}
+    rows = [(i, t) for i, t in texts.items()] + [(7, TEXTS[7]), (7, TEXTS[5]), (None, TEXTS[41]), (None, TEXTS[9]), (None, None)]
+    members, pairs = jaccard.all_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    sets = [brute.shingles(t) for _, t in rows]
+    like = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted((i is None, i or 0, len(x), sum(k != m and like(x, y) for m, y in enumerate(sets))) for k, ((i, _), x) in enumerate(zip(rows, sets, strict=True)))
+    got = members.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in got) == want
+    different = list(set(sets))
+    linked = sum(like(x, y) for k, x in enumerate(different) for y in different[:k])
+    assert linked > 20
+    assert len({tuple(r) for r in pairs.collect()}) == pairs.count() == linked
+    assert {r["set_id"] for r in got if r["n_shingles"]} >= {x for r in pairs.collect() for x in r}
+    once, _ = jaccard.all_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert _by_id(once, "n_shingles", "component_id") == brute.components(texts)
+    assert jaccard.all_links(empty)[0].count() == 0
+
+
 def test_mixing(spark, docs, empty):
     rows = docs.where("doc_id < 60")
     got = mixing.mix(rows).collect()
