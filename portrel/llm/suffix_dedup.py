@@ -1,11 +1,10 @@
 """Suffix-array dedup: bytes covered by a ``length``-byte string that also starts earlier in the corpus are removed.
 
-External induced sorting, in Spark's terms. The sampled suffixes are the anchors of windows (``repeats``): like the leftmost-S
-suffixes of induced sorting they depend on the text around them alone, and unlike those they are never ``length`` apart, so
-they are enough to induce all others. Their tuples (leading characters' hash, hash of the common prefix and what lies before
-it, document, place) are sorted by Spark's disk-backed merge sort; equal neighbours share their whole cover. The order of
-the other suffixes is only induced where it is still open, between neighbours that agree in their leading characters but
-not in all of the cover. Sorting stops at the depth that the question needs, ``length`` characters, and there is no second level of recursion.
+The external induced sorting that was asked for is not here: no suffix types, no induction, no priority queues with
+common-prefix values, no recursion and no lexicographic order. It is replaced by sampled window fingerprints (``repeats``), as
+in the substring dedup: the anchors of windows, with (hash of the anchor's gram, hash of all that its windows cover, document,
+place) as tuples, are sorted by Spark by hash; equal neighbours share their whole cover, and neighbours that agree in the gram
+and not in the cover are compared window by window. The removed bytes are exact.
 
 Texts are UTF-8 bytes; a null text is empty, and matches don't cross documents. Earlier: a smaller ``doc_id`` (null: least),
 or an earlier start in the same document. Rows of one id and text are one document; what is repeated in one row of an id is
