@@ -6,6 +6,9 @@ prefix in the vocabulary, or gives up the token before it, until each two neighb
 their bytes would leave both as they are. Compatibility is decided from the two tokens' last merges and is remembered.
 A position that was given up is never tried again, so the work is linear in the piece.
 
+Texts are cut into pieces by the regex package. Its Unicode tables are of another version than tiktoken's: characters whose classes
+differ are looked up in tiktoken's own tables once in each worker, and stand-ins of the right classes are put in for the cutting.
+
 Nulls and empty texts have no ids and decode to nothing. Repeated rows each have their result; extra columns are ignored.
 """
 
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from portrel.llm import common
 
-#: Entries of a worker's memories (words, pieces, neighbours); beyond it a memory starts anew, results don't change.
-MEMO = 400_000
+#: Bytes of texts and ids that a worker remembers of words and of pieces, and remembered neighbours; beyond it a memory starts
+#: anew, results don't change.
+MEMO_BYTES, MEMO = 64 << 20, 400_000
 
 # Unicode's White_Space characters, as a regular expression class.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -129,6 +133,28 @@ class Vocabulary:
         return out
 
 
+@lru_cache(maxsize=2)
+def stand_ins(pattern: str) -> dict[int, int]:
+    """For each code point that is in other classes of ``pattern`` to tiktoken than to the regex package, one beyond ASCII that is
+    in the wanted classes to both."""
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([i]): i for i in range(256)}
+    wanted, other = [0] * 0x110000, [0] * 0x110000
+    for bit, kind in enumerate(sorted(set(re.findall(r"\\p\{\w+\}", pattern)))):
+        found = bytes(tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+        for lists, chars in ((wanted, found), (other, "".join(regex.findall(kind, every)))):
+            for c in map(ord, chars):
+                lists[c] |= 1 << bit
+    agreed: dict[int, int] = {}
+    for c in range(0xA1, 0x110000):
+        if wanted[c] == other[c] and not 0xD800 <= c < 0xE000:
+            agreed.setdefault(wanted[c], c)
+    return {c: agreed[w] for c, (w, o) in enumerate(zip(wanted, other, strict=True)) if w != o}
+
+
 class Encoder(dict):
     """From a chunk of text to its ids as bytes; remembers chunks and pieces."""
 
@@ -136,8 +162,10 @@ class Encoder(dict):
         import regex
 
         self.vocabulary = Vocabulary(file)
-        self.split = regex.compile(pattern).findall
+        self.cut = regex.compile(pattern).findall
+        self.other = stand_ins(pattern)
         self.pieces: dict[str, bytes] = {}
+        self.held = self.held_pieces = 0
         ranks = self.vocabulary.bytes
         self.sizes = np.zeros(max(ranks) + 1, dtype=np.int64)
         for rank, token in ranks.items():
@@ -145,19 +173,34 @@ class Encoder(dict):
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.text = np.frombuffer(b"".join(ranks.get(i, b"") for i in range(len(self.sizes))), dtype=np.uint8)
 
+    def split(self, chunk: str) -> list[str]:
+        if chunk.isascii():
+            return self.cut(chunk)
+        known = chunk.translate(self.other)
+        pieces = self.cut(known)
+        if known == chunk:
+            return pieces
+        ends = np.cumsum([len(p) for p in pieces]).tolist()
+        return [chunk[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         parts = []
         for piece in self.split(chunk):
             found = self.pieces.get(piece)
             if found is None:
-                if len(self.pieces) >= MEMO:
+                if self.held_pieces > MEMO_BYTES:
                     self.pieces.clear()
+                    self.held_pieces = 0
                 ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
                 found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                self.held_pieces += len(piece) + len(found) + 150
             parts.append(found)
-        self[chunk] = out = b"".join(parts)
+        out = b"".join(parts)
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += len(chunk) + len(out) + 150
+        self[chunk] = out
         return out
 
     def encode(self, text: str | None) -> bytes:

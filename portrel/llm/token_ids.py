@@ -6,8 +6,9 @@ payload is cut into blocks of ``BLOCK`` ids. A block keeps its minimum; the diff
 holds the ``PERCENTILE`` of them; what is wider goes to the chunk's exception list. Block starts are indexed, so a block
 can be read alone.
 
-Nulls and empty texts are documents of one id, the end id. Rows with a null ``doc_id`` come first. Repeated rows are kept,
-each a document of its own; extra columns are ignored; an empty table gives no rows.
+Texts are encoded as the tokenizers library does it with the vocabulary file as it is, so a special token that a text spells out
+is that token. Nulls and empty texts are documents of one id, the end id. Rows with a null ``doc_id`` come first. Repeated rows are
+kept, each a document of its own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ LANES = 32
 PERCENTILE = 90
 CHUNK_IDS = 1 << 17
 END_ID = 1
-#: Entries of a worker's memory of words; beyond it the memory starts anew, results don't change.
-MEMO = 500_000
+#: Characters and ids that a worker remembers of words; beyond it the memory starts anew, results don't change.
+MEMO_BYTES = 64 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A run of Latin-1 letters, then nothing or an ASCII character that is no letter: neither composition nor the
@@ -46,10 +47,16 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        # A special token may take in white space beside it, so a text that spells one isn't cut into words.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special, self.folded = [t.content for t in added], [t.content for t in added if t.normalized]
+        self.fold = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        if self.fold("ÀZ") != "àz":
+            raise ValueError("the tokenizer doesn't lower-case; letter runs can't be folded")
 
     def learn_runs(self, runs: list[str]) -> None:
         """Ids of letter runs, many in one call; a run is one word to the tokenizer, and only its last id closes a word."""
@@ -71,17 +78,28 @@ class Words(dict):
             found = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def spells(self, text: str) -> bool:
+        """Whether the tokenizer may find a special token in a text; some are looked for after normalisation."""
+        return any(t in text for t in self.special) or bool(self.folded) and any(t in self.fold(text) for t in self.folded)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [words_of(t) if t else [] for t in texts]
-        if len(self) >= MEMO or len(self.parts) >= MEMO:
+        apart = {i: self.whole(t) for i, t in enumerate(texts) if t and self.spells(t)}
+        split = [words_of(t) if t and i not in apart else [] for i, t in enumerate(texts)]
+        if self.held > MEMO_BYTES:
             self.clear()
             self.parts.clear()
+            self.held = 0
         new = set().union(*split).difference(self.keys())
+        self.held += sum(map(len, new)) * 12 + 200 * len(new)
         cuts = {w: _HEAD.fullmatch(w) for w in new}
         self.learn_runs(list({c[1].lower() for c in cuts.values() if c}.difference(self.parts.keys())))
         for word, cut in cuts.items():
             self[word] = self.parts[cut[1].lower()] + (self.part(cut[2]) if cut[2] else b"") if cut else self.part(word)
-        return [b"".join([self[w] for w in own]) for own in split]
+        return [apart[i] if i in apart else b"".join([self[w] for w in own]) for i, own in enumerate(split)]
 
 
 def words_of(text: str) -> list[str]:
@@ -182,6 +200,53 @@ def unpack(data: bytes) -> np.ndarray:
     return (over + least[:, None]).reshape(-1)[:n]
 
 
+def unpack_block(data: bytes, block: int) -> np.ndarray:
+    """The ids of one block behind the bytes of ``pack``: only its index entry, its packed words and the exceptions are read."""
+    n, blocks, patches = struct.unpack_from("<QII", data)
+    if not 0 <= block < blocks:
+        raise IndexError(f"no block {block} of {blocks}")
+    at_width, at_start = 16 + 4 * blocks, 16 + 5 * blocks
+    at_where = at_start + 4 * blocks
+    at_packed = at_where + 8 * patches
+    least, start = struct.unpack_from("<I", data, 16 + 4 * block)[0], struct.unpack_from("<I", data, at_start + 4 * block)[0]
+    width = data[at_width + block]
+    bits = np.frombuffer(data, np.uint32, width * LANES, at_packed + 4 * start).reshape(width, LANES)
+    over = np.zeros((LANES, LANES), np.uint32)
+    for i in range(LANES if width else 0):
+        word, shift = divmod(i * width, 32)
+        value = bits[word] >> np.uint32(shift)
+        if shift + width > 32:
+            value = value | bits[word + 1] << np.uint32(32 - shift)
+        over[i] = value & np.uint32((1 << width) - 1)
+    over = over.reshape(BLOCK)
+    where = np.frombuffer(data, np.uint32, patches, at_where)
+    own = np.flatnonzero(where // np.uint32(BLOCK) == block)
+    over[where[own] % np.uint32(BLOCK)] = np.frombuffer(data, np.uint32, patches, at_where + 4 * patches)[own]
+    return (over + np.uint32(least))[: min(BLOCK, n - block * BLOCK)]
+
+
+def ids_of(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents ``doc_ids(doc_id)``: of their chunks only the blocks are unpacked that they lie in."""
+    common.small_batches(chunks.sparkSession)
+    wanted = doc_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    places = chunks.select("bucket", "before", F.posexplode("doc_ids").alias("place", "doc_id"))
+    asked = places.join(wanted, "doc_id", "left_semi").groupBy("bucket", "before").agg(F.collect_list("place").alias("asked"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, found = [], []
+        for ids, counts, asked, payload in zip(batch.column("doc_ids"), batch.column("counts"), *(batch.column(c).to_pylist() for c in ("asked", "payload")), strict=True):
+            ends = np.cumsum(np.asarray(counts.values))
+            for k in asked:
+                n, at = counts[k].as_py(), int(ends[k]) - counts[k].as_py()
+                first = at // BLOCK
+                blocks = [unpack_block(payload, b) for b in range(first, (at + n - 1) // BLOCK + 1)]
+                docs.append(ids[k].as_py())
+                found.append(np.concatenate(blocks)[at - first * BLOCK :][:n].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return common.map_batches(chunks.join(asked, ["bucket", "before"]).select("doc_ids", "counts", "asked", "payload"), step, "doc_id long, ids array<long>")
+
+
 CHUNKS = "bucket int, before long, doc_ids array<long>, counts array<long>, payload binary"
 
 

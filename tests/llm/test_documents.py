@@ -190,13 +190,23 @@ def test_token_ids(spark, docs, empty, tmp_path):
 
     file = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
-    got = _by_id(token_ids.read_ids(token_ids.write_ids(docs, f"file://{tmp_path}/ids", file)), "start", "n_tokens", "ids_crc32")
-    at = 0
-    for i in sorted(TEXTS):
-        ids = np.array([*tokenizer.encode(TEXTS[i] or "", add_special_tokens=False).ids, 1], dtype="<u4")
-        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes())), i
+    special = {200: "a <|endoftext|> b", 201: "<|startoftext|>", 202: "x<|endoftext|>\n <|startoftext|>É <|ENDOFTEXT|>", 203: "<|endoftext", 204: "İstanbul ǅ e\u0301 <|endoftext|>"}
+    more = spark.createDataFrame([(i, t) for i, t in special.items()] + [(None, "none"), (7, TEXTS[7])], "doc_id long, text string")
+    chunks = token_ids.write_ids(docs.select("doc_id", "text").unionByName(more), f"file://{tmp_path}/ids", file)
+    texts = sorted([*TEXTS.items(), *special.items(), (7, TEXTS[7]), (-1, "none")])
+    want, at = [], 0
+    for i, t in texts:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
+    assert [320, 49407, 321] == tokenizer.encode(special[200], add_special_tokens=False).ids
+    got = token_ids.read_ids(chunks).select(F.coalesce("doc_id", F.lit(-1)), "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+    some = {i: TEXTS[i] for i in (0, 7, 52, 61)} | {202: special[202]}
+    read = token_ids.ids_of(chunks, spark.createDataFrame([(i,) for i in [*some, 999]], "doc_id long")).collect()
+    assert len(read) == 6
+    for r in read:
+        assert r["ids"] == [*tokenizer.encode(some[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
     assert token_ids.read_ids(token_ids.write_ids(empty, f"file://{tmp_path}/none", file)).count() == 0
 
 
@@ -205,14 +215,18 @@ def test_blocks_round_trip():
     for n in (0, 1, 31, 1023, 1024, 1025, 5000):
         for top in (1, 2, 300, 49_000, 2**32 - 1):
             ids = np.array([random.randrange(top) for _ in range(n)], dtype=np.uint32)
-            assert (token_ids.unpack(token_ids.pack(ids)) == ids).all()
+            packed = token_ids.pack(ids)
+            assert (token_ids.unpack(packed) == ids).all()
+            for block in range(-(-n // 1024)):
+                assert (token_ids.unpack_block(packed, block) == ids[block * 1024 :][:1024]).all()
     skewed = np.full(4096, 7, dtype=np.uint32)
     skewed[::50] = 2**31
     assert len(token_ids.pack(skewed)) < 1200
+    assert (token_ids.unpack_block(token_ids.pack(skewed), 2) == skewed[2048:3072]).all()
     assert (token_ids.unpack(token_ids.pack(skewed)) == skewed).all()
 
 
-def test_byte_bpe(docs, empty):
+def test_byte_bpe(spark, docs, empty):
     import tiktoken
 
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -229,8 +243,22 @@ def test_byte_bpe(docs, empty):
     for _ in range(3000):
         t = "".join(random.choices(alphabet, k=random.randint(0, 30)))
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == own.encode_ordinary(t), repr(t)
+    # Every code point, beside letters, digits, symbols and contractions.
+    for at in range(0, 0x110000, 64):
+        some = [chr(c) for c in range(at, at + 64) if not 0xD800 <= c < 0xE000]
+        for t in ("".join(f"{c}'d a{c}1{c}{c}'ll ${c} " for c in some), "".join(f"x{c} {c}" for c in some)):
+            assert np.frombuffer(coder.encode(t), "<u4").tolist() == own.encode_ordinary(t), hex(at)
+        coder.clear(), coder.pieces.clear()
+    random.seed(10)
+    for _ in range(5000):
+        t = "".join(random.choice((chr(random.randrange(0x20, 0xD800)), chr(random.randrange(0xE000, 0x32000)), "'", "d", " ", "7")) for _ in range(random.randint(1, 12)))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == own.encode_ordinary(t), repr(t)
     assert byte_bpe.round_trip(docs.select("doc_id", "source", "text"), file, public_tokenizers.PATTERN).where("not decodes").count() == 0
     assert byte_bpe.digests(empty, file, public_tokenizers.PATTERN).count() == 0
+    again = byte_bpe.digests(docs.select("doc_id", "text").where("doc_id in (7, 53)").unionByName(spark.createDataFrame([(None, TEXTS[7]), (7, TEXTS[7])], "doc_id long, text string")), file, public_tokenizers.PATTERN)
+    rows = again.collect()
+    assert len(rows) == 4
+    assert len({r["ids_sha256"] for r in rows if r["doc_id"] != 53}) == 1
 
 
 def test_fingerprints(spark, docs, empty):
