@@ -29,11 +29,28 @@ def test_top_k(spark, k, monkeypatch):
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "RANGES", 16)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "ENOUGH", 7)
     rows = spark.createDataFrame([(i, v, "x", 1) for i, v in VECTORS.items()] + [(None, [1.0] * 8, "x", 1)], "vec_id long, embedding array<double>, ids string, score int").repartition(4)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(rows, F.col("vec_id") % 50 == 0, k).collect()}
     assert got == _brute(VECTORS, k)
 
 
+@pytest.mark.parametrize("size", [1e7, 3e9, 1e300])
+def test_top_k_of_large_components(spark, size):
+    """Exact beyond 2**53 and 2**63; scores that no long can hold are its ends."""
+    top = 2**63 - 1
+    vectors = {i: [(i % 7 - 3) * size + i * 1.001, float(i % 3), 0.3 - i] for i in range(1, 120)} | {200: [1.0, 2.0, 3.0], 250: [0.0, 1.7e308, 0.0], 251: [0.0, 1.0, 5.5]}
+    q = {i: [math.floor(x) * 256 if abs(x) > 1e18 else math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    want = {}
+    for a in (50, 100, 200, 250):
+        scored = sorted((-max(-top, min(top, sum(x * y for x, y in zip(q[a], q[b], strict=True)))), b) for b in q if b != a)[:5]
+        want |= {(a, r): (b, -s) for r, (s, b) in enumerate(scored, 1)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(rows, F.col("vec_id") % 50 == 0, 5).collect()}
+    assert got == want
+
+
 def test_top_k_of_nothing(spark):
     rows = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(rows, F.col("vec_id") % 50 == 0).count() == 0
