@@ -21,26 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are higher. A lazy result is computed
+    with what the session says then, so the lower limits stay; they change no result."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one under the warehouse only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; unset, one under the warehouse, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.steps"
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def step_path(spark: SparkSession, name: str = "step") -> str:
+    """A new path in the shared folder. What is there when the application ends is removed then; lazy results may read it till then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, keep: list[str] | None = None, dense: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
 
-    ``keep`` collects the path so that ``discard`` can remove it once nothing reads it any more.
+    ``keep`` collects the path so that ``discard`` can remove it once nothing reads it any more; ``dense`` packs texts closer.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = step_path(spark)
+    (df.write.option("compression", "zstd") if dense else df.write).parquet(path)
     if keep is not None:
         keep.append(path)
     back = spark.read.schema(df.schema).parquet(path)

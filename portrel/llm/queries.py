@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = common.step_path(spark, "token-ids")
     return token_ids.read_ids(token_ids.write_ids(common.table(spark, sf_dir, "documents"), path, f"{common.tokenizer_dir()}/word_bpe_49k.json"))
 
 
