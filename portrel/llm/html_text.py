@@ -388,8 +388,8 @@ class Reference:
         self.nodes = number(parse(page))
         self.shapes = _Shapes()
 
-    def leaves(self, page: str | None, marks: bool = True) -> tuple[list[tuple[str, int, int, bool, bool, bool]], bool]:
-        """(text, hash of it, node, marked, main, whether the reference has the same text there) of each leaf of a page in its order,
+    def leaves(self, page: str | None, marks: bool = True) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]:
+        """(text, node, marked, main, whether the reference has the same text there) of each leaf of a page in its order,
         where node is the reference's that the leaf, or its closest element with a match, matches; and whether the page has less
         than half of the shorter one's text in common with the reference, wherever it stands. Elements without text are leaves too."""
         if len(self.shapes.scores) + len(self.shapes.tags) > 50_000:
@@ -408,8 +408,8 @@ class Reference:
                     at[k.number] = ~at[n.number] if at[n.number] >= 0 else at[n.number]
             if not n.kids:
                 place = at[n.number]
-                out.append((n.text, digest(n.text), place if place >= 0 else ~place, marks and n.drop, marks and n.main, place >= 0 and bool(n.text) and self.nodes[place].text == n.text))
-        mine = [(x[0], x[3]) for x in out if x[0]]
+                out.append((n.text, place if place >= 0 else ~place, marks and n.drop, marks and n.main, place >= 0 and bool(n.text) and self.nodes[place].text == n.text))
+        mine = [(x[0], x[2]) for x in out if x[0]]
         said = {n.text for n in self.nodes if n.text and not (marks and n.drop)}
         both = [sum(len(t) for t, gone in mine if not gone), sum(len(n.text) for n in self.nodes if n.text and not (marks and n.drop))]
         return out, 2 * sum(len(t) for t, gone in mine if not gone and t in said) < min(both)
@@ -445,15 +445,15 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(host.alias("host"), F.xxhash64(*names).alias("kind"), "page_id", "url", "html")
 
 
-def _beside(rows: DataFrame, few: DataFrame, on: list[str], chars: Column) -> DataFrame:
-    """Left join of rows with a table that has one row for each reference, ``chars`` characters long, by host and what else."""
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], chars: Column, how: str = "left") -> DataFrame:
+    """Join of rows with a table that has one row for each reference, ``chars`` characters long, by host and what else."""
     if (few.agg(F.sum(chars)).head()[0] or 0) <= BROADCAST_CHARS:
-        return rows.join(F.broadcast(few), on, "left")
+        return rows.join(F.broadcast(few), on, how)
     hot = common.stored(rows.groupBy("host").count().where(F.col("count") >= HOT_PAGES).select("host", F.lit(SALTS).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))  # at most one hot host for HOT_PAGES rows; merged, should even these be many
-    dealt = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), salts).cast("int")).drop("salts")
+    dealt = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in ("page_id", "said") if c in rows.columns]), salts).cast("int")).drop("salts")
     spread = few.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return dealt.join(spread.hint("merge"), [*on, "salt"], "left").drop("salt")
+    return dealt.join(spread.hint("merge"), [*on, "salt"], how).drop("salt")
 
 
 def _references(hosted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -469,7 +469,7 @@ def _references(hosted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return references.drop("is_main"), references.where("is_main").select("host", F.col("kind").alias("main_kind"), F.col("reference").alias("main_reference"))
 
 
-LEAF = "struct<text string, said long, node int, marked boolean, main boolean, same boolean>"
+LEAF = "struct<text string, node int, marked boolean, main boolean, same boolean>"
 LEAVES = f"page_id long, url string, host string, wrapper long, content long, apart boolean, leaves array<{LEAF}>"
 
 
@@ -480,7 +480,7 @@ def _leaves(hosted: DataFrame, marks: bool) -> tuple[DataFrame, DataFrame]:
     both = _beside(_beside(hosted, own, ["host", "kind"], F.length("reference")), main, ["host"], F.length("main_reference"))
     wrapper = F.when(F.col("reference").isNotNull(), F.col("kind")).otherwise(F.col("main_kind"))
     aligned = both.select("page_id", "url", "html", "host", wrapper.alias("wrapper"), F.coalesce("reference", "main_reference").alias("reference"))
-    kind = pa.struct([("text", pa.string()), ("said", pa.int64()), ("node", pa.int32()), ("marked", pa.bool_()), ("main", pa.bool_()), ("same", pa.bool_())])
+    kind = pa.struct([("text", pa.string()), ("node", pa.int32()), ("marked", pa.bool_()), ("main", pa.bool_()), ("same", pa.bool_())])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache: dict[tuple, Reference] = {}
@@ -499,24 +499,25 @@ def _leaves(hosted: DataFrame, marks: bool) -> tuple[DataFrame, DataFrame]:
             others.append(apart)
             flat.extend(leaves)
             ends.append(len(flat))
-        columns = zip(*flat, strict=True) if flat else [()] * 6
+        columns = zip(*flat, strict=True) if flat else [()] * 5
         fields = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "wrapper")), pa.array(content, pa.int64()), pa.array(others, pa.bool_()), lists], ["page_id", "url", "host", "wrapper", "content", "apart", "leaves"])
 
-    return common.stored(common.map_batches(aligned, step, LEAVES)), own.withColumnRenamed("kind", "wrapper")
+    return common.stored(common.map_batches(aligned, step, LEAVES), dense=True), own.withColumnRenamed("kind", "wrapper")
 
 
 def wrappers(leaves: DataFrame, references: DataFrame) -> DataFrame:
     """(host, wrapper, low, high, fixed): the region's nodes and the constant texts (node, said) of each reference that has any."""
     key = ["host", "wrapper"]
     seen = leaves.select(*key, "content", "apart", F.explode("leaves").alias("leaf")).where(F.length("leaf.text") > 0)
-    leaf = [F.col("leaf.node").alias("node"), F.col("leaf.said").alias("said")]
+    leaf = [F.col("leaf.node").alias("node"), F.xxhash64("leaf.text").alias("said")]
     told = [F.max("apart").alias("apart"), F.max(F.col("apart") & F.col("leaf.same")).alias("shown"), F.max("leaf.marked").alias("marked"), F.first(F.length("leaf.text")).alias("chars")]
     different = seen.groupBy(*key, *leaf, "content").agg(*told)
     said = different.groupBy(*key, "node", "said").agg(F.count(F.lit(1)).alias("n"), F.max("shown").alias("shown"), F.max("marked").alias("marked"), F.first("chars").alias("chars"))
     sizes = leaves.groupBy(*key, "content").agg(F.max("apart").alias("apart")).groupBy(*key).agg(F.count(F.lit(1)).alias("pages"), F.max("apart").alias("apart"))
-    judged = said.join(sizes.where((F.col("pages") > 1) & F.col("apart")), key)
+    sizes = common.stored(sizes.where((F.col("pages") > 1) & F.col("apart")))
+    judged = _beside(said, sizes, key, F.length("host") + 24, "inner")
     enough = (F.col("n") >= F.least(F.lit(TEMPLATE_LEAST), "pages")) & (F.col("n") >= TEMPLATE_PART * F.col("pages")) & (F.col("n") > 1)
     judged = common.stored(judged.withColumn("constant", enough & F.col("shown")))
     fixed = judged.where("constant").groupBy(*key).agg(F.collect_list(F.struct("node", "said")).alias("fixed"))
@@ -542,7 +543,7 @@ def extract(pages: DataFrame, marks: bool = True) -> DataFrame:
     rows = _beside(leaves, learned, ["host", "wrapper"], F.length("host") + 32 + 24 * F.coalesce(F.size("fixed"), F.lit(0)))
     here = F.filter("leaves", lambda x: (x["node"] >= F.col("low")) & (x["node"] < F.col("high")))
     rows = rows.withColumn("placed", F.when(F.col("low").isNotNull() & (F.size(here) > 0), here).otherwise(F.col("leaves")))
-    template = lambda x: F.coalesce(F.array_contains("fixed", F.struct(x["node"].alias("node"), x["said"].alias("said"))), F.lit(False))
+    template = lambda x: F.coalesce(F.array_contains("fixed", F.struct(x["node"].alias("node"), F.xxhash64(x["text"]).alias("said"))), F.lit(False))
     some_main = F.exists("placed", lambda x: x["main"])
     kept = F.filter("placed", lambda x: ~x["marked"] & (F.length(x["text"]) > 0) & (x["main"] | ~some_main) & ~template(x))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text")

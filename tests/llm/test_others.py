@@ -195,9 +195,9 @@ def _induced(rows: list[tuple], marks: bool) -> dict:
         if len(pages) > 1 and any(apart for _, apart in pages.values()):
             where: dict = {}
             for leaves, apart in pages.values():
-                for key in {(x[2], x[0]) for x in leaves if x[0]}:
-                    those = [x for x in leaves if (x[2], x[0]) == key]
-                    where.setdefault(key, []).append((apart and any(x[5] for x in those), any(x[3] for x in those)))
+                for key in {(x[1], x[0]) for x in leaves if x[0]}:
+                    those = [x for x in leaves if (x[1], x[0]) == key]
+                    where.setdefault(key, []).append((apart and any(x[4] for x in those), any(x[2] for x in those)))
             for (node, text), those in where.items():
                 n = len(those)
                 if n > 1 and n >= min(8, len(pages)) and n >= 0.6 * len(pages) and any(shown for shown, _ in those):
@@ -223,9 +223,9 @@ def _induced(rows: list[tuple], marks: bool) -> dict:
                 now = fitting[0]
             low, high = min(inside(now)[0]), max(inside(now)[0]) + 1
         for i, (leaves, _) in found.items():
-            placed = [x for x in leaves if low <= x[2] < high] or leaves
-            main = any(x[4] for x in placed)
-            out[i] = "\n".join(x[0] for x in placed if x[0] and not x[3] and (x[4] or not main) and (x[2], x[0]) not in fixed)
+            placed = [x for x in leaves if low <= x[1] < high] or leaves
+            main = any(x[3] for x in placed)
+            out[i] = "\n".join(x[0] for x in placed if x[0] and not x[2] and (x[3] or not main) and (x[1], x[0]) not in fixed)
     return out
 
 
