@@ -75,3 +75,45 @@ def deviation(v: Column, low: Column, high: Column) -> Column:
     """0 inside [low, high], else the distance relative to the bound that is missed."""
     off = F.when(v < low, (low - v) / F.greatest(F.abs(low), F.lit(0.001))).when(v > high, (v - high) / F.greatest(F.abs(high), F.lit(0.001)))
     return F.coalesce(off, F.lit(0.0))
+
+
+def scaled(size: Column, scale: Column) -> Column:
+    return size * scale
+
+
+def inverse_scale(scale: Column) -> Column:
+    return F.try_divide(F.lit(1.0), scale)
+
+
+def significant_scale(scale: Column, least: float = 0.01) -> Column:
+    return F.abs(scale - 1) > least
+
+
+def significant_angle(degrees: Column, least: float = 0.1) -> Column:
+    return F.abs(degrees) > least
+
+
+def shape_consistent(ratio: Column, wanted: Column, most: float = 0.1) -> Column:
+    """Whether a width to height ratio is within a part of the wanted one."""
+    return F.abs(ratio / wanted - 1) <= most
+
+
+def frequency_metrics(high: Column, mid: Column, low: Column) -> dict[str, Column]:
+    """Total energy of three bands and the high one's share; 0 where there is none."""
+    total = high + mid + low
+    return {"total": total, "ratio": F.when(total > 0, high / total).otherwise(0.0)}
+
+
+def gap_closure(before: Column, after: Column, goal: Column) -> Column:
+    """The part of the way from ``before`` down to ``goal`` that was gone; null if there was none to go, or a value is missing."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.when(finite(before) & finite(after) & finite(goal) & (before > goal), F.try_divide(before - after, before - goal))
+
+
+def ratio_delta(actual: Column, reference: Column, both_exact: Column) -> Column:
+    """Difference of two ratios; 0 where both are missing because nothing differs, else null where one is missing."""
+    return F.when(actual.isNotNull() & reference.isNotNull(), actual - reference).when(both_exact, F.lit(0.0))
+
+
+def edge_config_valid(sigma: Column, low: Column, high: Column) -> Column:
+    return (sigma > 0) & (low > 0) & (high > low)

@@ -81,3 +81,10 @@ def allocate(points: DataFrame, budget: int, steps: int = 24, block: str = "bloc
         fit = next((t for t in tried if rates.get(t, 0) <= budget), high)
         low, high = max([low, *(t for t in tried if t < fit)]), fit
     return high, best_at(points, [high], block)
+
+
+def endpoint_totals(points: DataFrame, chosen: DataFrame, block: str = "block_id") -> DataFrame:
+    """(blocks, bytes, credit) over all blocks at the passes that ``chosen(block, want)`` names; before the first pass both are 0."""
+    at = chosen.join(points, (chosen[block] == points[block]) & (chosen["want"] == points["pass_no"]), "left")
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
+    return at.agg(F.count(F.lit(1)).alias("blocks"), total("rate").alias("bytes"), total("dist").alias("credit"))

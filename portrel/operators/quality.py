@@ -23,12 +23,12 @@ def overall(symmetry: Column, sharpness: Column, geometry: Column) -> Column:
 
 
 def gated(rows: DataFrame, rule: DataFrame, standard: str = "standard", mode: str = "mode") -> DataFrame:
-    """Join each row with its rule (upper-cased standard, else PIV) and list what it fails, in order. The rules are a
-    dimension of a few rows, so they are broadcast. Input mode only advises on symmetry and eye distance."""
+    """Join each row with its rule (upper-cased standard, else PIV) and list what it fails, in order. Spark broadcasts the rules if they
+    are as few as usual. Input mode only advises on symmetry and eye distance."""
     keys = rule.select(F.col("standard").alias("rule_standard"), F.col("mode").alias("rule_mode"), *[c for c in rule.columns if c not in ("standard", "mode")])
-    known = {r[0] for r in rule.select("standard").distinct().collect()}
-    wanted = F.when(F.upper(standard).isin(*known), F.upper(standard)).otherwise("PIV")
-    r = rows.join(F.broadcast(keys), (wanted == F.col("rule_standard")) & (F.col(mode) == F.col("rule_mode")), "left")
+    known = rule.select(F.col("standard").alias("known_standard")).distinct()
+    named = rows.join(known, F.upper(standard) == F.col("known_standard"), "left").withColumn("known_standard", F.coalesce("known_standard", F.lit("PIV")))
+    r = named.join(keys, (F.col("known_standard") == F.col("rule_standard")) & (F.col(mode) == F.col("rule_mode")), "left").drop("known_standard")
     strict = F.col(mode) != "input"
     failed = validate.kept(
         F.when(strict & (F.col("symmetry") < F.col("min_symmetry")), F.lit("symmetry")),

@@ -173,3 +173,42 @@ def lift97(signal: DataFrame, keys: Sequence[str], position: str = "x", value: s
         s = s.withColumn("s", F.when(F.col(position) % 2 == odd, F.col("s") + factor * F.col("near")).otherwise(F.col("s")))
     low = F.col(position) % 2 == 0
     return s.select(*keys, F.when(low, "low").otherwise("high").alias("band"), F.floor(F.col(position) / 2).cast("int").alias("k"), F.when(low, F.col("s") * K_LOW).otherwise(F.col("s") * K_HIGH).alias("c"))
+
+
+# Regions as predicates of a pixel's place.
+
+
+def in_rectangle(x: Column, y: Column, left: int, top: int, width: int, height: int) -> Column:
+    return (x >= left) & (x < left + width) & (y >= top) & (y < top + height)
+
+
+def in_circle(x: Column, y: Column, cx: float, cy: float, radius: float) -> Column:
+    return (x - cx) * (x - cx) + (y - cy) * (y - cy) <= radius * radius
+
+
+def in_ellipse_grid(x: Column, y: Column, cx: float, cy: float, rx: float, ry: float) -> Column:
+    return F.pow((x - cx) / rx, 2) + F.pow((y - cy) / ry, 2) <= 1
+
+
+def first_hit(regions: Sequence[tuple[str, float]], otherwise: float = 0.0) -> Column:
+    """The value of the first region (a boolean column) that holds."""
+    return F.coalesce(*[F.when(F.col(name), F.lit(value)) for name, value in regions], F.lit(otherwise))
+
+
+def tile_of(y: Column, x: Column, height: int, width: int, image_width: int) -> Column:
+    """Number of the tile that a pixel is in, row by row."""
+    return (F.floor(y / height) * -(-image_width // width) + F.floor(x / width)).cast("int")
+
+
+def to_level(v: Column, most: int = 255) -> Column:
+    """A value between 0 and 1 as the nearest whole level."""
+    return F.floor(v * most + 0.5).cast("long")
+
+
+def halves(boxes: DataFrame, image_w: int, image_h: int, padding: float = 0.2) -> DataFrame:
+    """Boxes (x, y, w, h) padded and clipped to the image in whole pixels, with ``half``, the width of each mirrored half, and
+    whether a middle column is dropped."""
+    edge = lambda p, s, side: (F.greatest(F.floor(F.col(p) - padding * F.col(s)), F.lit(0)), F.least(F.ceil(F.col(p) + (1 + padding) * F.col(s)), F.lit(side)))
+    (x0, x1), (y0, y1) = edge("x", "w", image_w), edge("y", "h", image_h)
+    cut = boxes.withColumns({"_x": x0.cast("long"), "_y": y0.cast("long"), "_w": (x1 - x0).cast("long"), "_h": (y1 - y0).cast("long")}).drop("x", "y", "w", "h").withColumnsRenamed({"_x": "x", "_y": "y", "_w": "w", "_h": "h"})
+    return cut.withColumns({"half": F.floor(F.col("w") / 2), "dropped": F.col("w") % 2 == 1})

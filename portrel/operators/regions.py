@@ -66,3 +66,9 @@ def hull_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     nxt = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", F.lit(1), F.lit(1)))
     area = F.aggregate(F.arrays_zip(F.col("ring").alias("a"), nxt.alias("b")), F.lit(0.0), lambda t, e: t + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
     return r.select(*keys, F.size("ring").alias("corners"), area.alias("area"))
+
+
+def improvement(before: Sequence[Column], after: Sequence[Column]) -> Column:
+    """By how much a pixel's squared error fell, mean over its channels."""
+    parts = [b - a for b, a in zip(before, after, strict=True)]
+    return sum(parts[1:], parts[0]) / len(parts)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from portrel.functions import geometry as g
-from portrel.operators import raster, regions
+from portrel.operators import raster, regions, tiles
 from portrel.plans.registry import query, r6
 from portrel.sources import relations as rel
 
 TILE = ["vec_id"]
+_SOBEL_MAPS = {"gx": tiles.stencil(raster.SOBEL_X), "gy": tiles.stencil(raster.SOBEL_Y)}
 
 _BASIS = "basis AS (SELECT k, n, CASE WHEN k = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END * cos((2 * n + 1) * k * pi() / 16) AS w FROM range(8) a(k), range(8) b(n))"
 _DCT = f"{_BASIS}, dct_rows AS (SELECT vec_id, y, k AS j, sum(w * v) AS t FROM blocks8 JOIN basis ON n = x GROUP BY vec_id, y, k), dct AS (SELECT vec_id, k AS i, j, sum(w * t) AS c FROM dct_rows JOIN basis ON n = y GROUP BY vec_id, k, j)"
@@ -23,17 +27,16 @@ def _kernel_sql(name: str, kernel: raster.Kernel) -> str:
 
 @query(f"WITH {_DCT}, e AS (SELECT vec_id, sum(CASE WHEN i + j > 2 THEN c * c ELSE 0 END) AS high, sum(c * c) AS total FROM dct GROUP BY vec_id) SELECT vec_id, round(high, 6) + 0.0 AS high, round(total, 6) + 0.0 AS total, round(CASE WHEN total = 0 THEN 0 ELSE high / total END, 6) + 0.0 AS ratio FROM e")
 def dct_high_frequency_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = raster.high_frequency(raster.dct8(rel.blocks8(spark, sf_dir), TILE), TILE)
-    return e.select("vec_id", r6("high").alias("high"), r6("total").alias("total"), r6("ratio").alias("ratio"))
+    c = tiles.linear(rel.tiles(spark, sf_dir), TILE, {"c": tiles.cosine()})
+    return c.select("vec_id", *[r6(e).alias(n) for n, e in tiles.high_part().items()])
 
 
 @query(f"WITH {_DCT}, r AS (SELECT label, vec_id % 3 AS region, sum(CASE WHEN i + j > 2 THEN c * c ELSE 0 END) AS high, sum(c * c) AS total FROM dct JOIN embeddings USING (vec_id) GROUP BY label, vec_id % 3) SELECT label, round(sum(high * CASE WHEN region = 1 THEN 2 ELSE 1 END) / sum(total * CASE WHEN region = 1 THEN 2 ELSE 1 END), 6) + 0.0 AS weighted_ratio FROM r GROUP BY label")
 def dct_region_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["vec_id", "label"]
-    e = raster.high_frequency(raster.dct8(rel.blocks8(spark, sf_dir), keys), keys)
-    r = e.groupBy("label", (F.col("vec_id") % 3).alias("region")).agg(F.sum("high").alias("high"), F.sum("total").alias("total"))
-    w = F.when(F.col("region") == 1, 2).otherwise(1)
-    return r.groupBy("label").agg(r6(F.sum(F.col("high") * w) / F.sum(F.col("total") * w)).alias("weighted_ratio"))
+    c = tiles.linear(rel.tiles(spark, sf_dir), ["vec_id", "label"], {"c": tiles.cosine()})
+    w = F.when(F.col("vec_id") % 3 == 1, 2).otherwise(1)
+    e = c.select("label", *[(tiles.high_part()[n] * w).alias(n) for n in ("high", "total")])
+    return e.groupBy("label").agg(r6(F.sum("high") / F.sum("total")).alias("weighted_ratio"))
 
 
 @query("SELECT image_id, label, count(*) AS n, round(avg(r), 6) + 0.0 AS mean_r, round(avg(g), 6) + 0.0 AS mean_g, round(avg(b), 6) + 0.0 AS mean_b, round(var_pop(r), 4) + 0.0 AS var_r, round(var_pop(g), 4) + 0.0 AS var_g FROM pixels GROUP BY image_id, label")
@@ -98,13 +101,14 @@ _NEAR = "near AS (SELECT a.vec_id, a.y, a.x, abs(a.v - b.v) AS d FROM blocks8 a
 
 @query(f"WITH {_NEAR} SELECT vec_id, y, x, round(avg(d), 6) + 0.0 AS mean_step, round(max(d), 6) + 0.0 AS max_step FROM near GROUP BY vec_id, y, x")
 def gradient4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = raster.neighbour_gradient(rel.blocks8(spark, sf_dir), TILE)
+    n = tiles.cells(tiles.map_tiles(rel.tiles(spark, sf_dir), TILE, 64, ["mean_step", "max_step"], tiles.neighbour_steps), TILE, ["mean_step", "max_step"])
     return n.select("vec_id", "y", "x", r6("mean_step").alias("mean_step"), r6("max_step").alias("max_step"))
 
 
 @query("WITH w AS (SELECT a.vec_id, a.y, a.x, var_pop(b.v) AS variance FROM blocks8 a JOIN blocks8 b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.y, a.x) SELECT vec_id, y, x, round(variance, 6) + 0.0 AS variance FROM w")
 def local_var3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.local_variance(rel.blocks8(spark, sf_dir), TILE).select("vec_id", "y", "x", r6("variance").alias("variance"))
+    n = tiles.cells(tiles.map_tiles(rel.tiles(spark, sf_dir), TILE, 64, ["variance"], tiles.window_variance), TILE, ["variance"])
+    return n.select("vec_id", "y", "x", r6("variance").alias("variance"))
 
 
 def _stencil_sql(name: str, kernel: raster.Kernel, out: str) -> str:
@@ -116,7 +120,7 @@ _SOBEL = _stencil_sql("sx", raster.SOBEL_X, "gx") + ", " + _stencil_sql("sy", ra
 
 @query(f"WITH {_SOBEL} SELECT vec_id, y, x, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy, round(m, 6) + 0.0 AS magnitude FROM sobel")
 def sobel_mag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = raster.correlate(rel.blocks8(spark, sf_dir), TILE, {"gx": raster.SOBEL_X, "gy": raster.SOBEL_Y})
+    s = tiles.cells(tiles.linear(rel.tiles(spark, sf_dir), TILE, _SOBEL_MAPS), TILE, ["gx", "gy"])
     return s.select("vec_id", "y", "x", r6("gx").alias("gx"), r6("gy").alias("gy"), r6(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("magnitude"))
 
 
@@ -124,8 +128,12 @@ def sobel_mag(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, CASE WHEN a < 22.5 OR a >= 157.5 THEN 0 ELSE 1 END AS dy, CASE WHEN a < 22.5 OR a >= 157.5 THEN 1 WHEN a < 67.5 THEN 1 WHEN a < 112.5 THEN 0 ELSE -1 END AS dx FROM t)
 SELECT d.vec_id, d.y, d.x, round(d.m, 6) + 0.0 AS magnitude FROM d JOIN sobel p ON p.vec_id = d.vec_id AND p.y = d.y + d.dy AND p.x = d.x + d.dx JOIN sobel q ON q.vec_id = d.vec_id AND q.y = d.y - d.dy AND q.x = d.x - d.dx WHERE d.m >= p.m AND d.m >= q.m""")
 def gradient_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = raster.correlate(rel.blocks8(spark, sf_dir), TILE, {"gx": raster.SOBEL_X, "gy": raster.SOBEL_Y})
-    return raster.thin_edges(s, TILE, 0.01).select("vec_id", "y", "x", r6("magnitude").alias("magnitude"))
+    def step(v: np.ndarray) -> dict[str, np.ndarray]:
+        gx, gy = ((v @ m.T).reshape(-1, 8, 8) for m in _SOBEL_MAPS.values())
+        return {"magnitude": tiles.thin(gx, gy, 0.01)}
+
+    m = tiles.cells(tiles.map_tiles(rel.tiles(spark, sf_dir), TILE, 64, ["magnitude"], step), TILE, ["magnitude"])
+    return m.where("magnitude > 0").select("vec_id", "y", "x", r6("magnitude").alias("magnitude"))
 
 
 _GAUSS, _LOG = raster.gaussian_kernel(1.4), raster.log_kernel(1.4)
@@ -133,13 +141,20 @@ _GAUSS, _LOG = raster.gaussian_kernel(1.4), raster.log_kernel(1.4)
 
 @query(f"WITH {_stencil_sql('ga', _GAUSS, 'c')} SELECT vec_id, y, x, round(c, 6) + 0.0 AS blurred FROM ga")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.correlate(rel.blocks8(spark, sf_dir), TILE, {"c": _GAUSS}).select("vec_id", "y", "x", r6("c").alias("blurred"))
+    c = tiles.cells(tiles.linear(rel.tiles(spark, sf_dir), TILE, {"c": tiles.stencil(_GAUSS)}), TILE, ["c"])
+    return c.select("vec_id", "y", "x", r6("c").alias("blurred"))
 
 
 @query(f"WITH {_stencil_sql('lg', _LOG, 'c')} SELECT vec_id, round(var_pop(c), 6) + 0.0 AS variance, round(max(abs(c)), 6) + 0.0 AS peak FROM lg GROUP BY vec_id")
 def log_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = raster.correlate(rel.blocks8(spark, sf_dir), TILE, {"c": _LOG})
-    return c.groupBy("vec_id").agg(r6(F.var_pop("c")).alias("variance"), r6(F.max(F.abs("c"))).alias("peak"))
+    m = tiles.stencil(_LOG)
+
+    def step(v: np.ndarray) -> dict[str, np.ndarray]:
+        c = v @ m.T
+        return {"found": np.stack([c.var(axis=1), np.abs(c).max(axis=1)], axis=1)}
+
+    c = tiles.map_tiles(rel.tiles(spark, sf_dir), TILE, 64, ["found"], step)
+    return c.select("vec_id", r6(F.get("found", F.lit(0))).alias("variance"), r6(F.get("found", F.lit(1))).alias("peak"))
 
 
 @query("SELECT a.vec_id, round(avg(abs(abs(a.v) - abs(b.v))), 6) + 0.0 AS difference, round(CASE WHEN avg((abs(a.v) + abs(b.v)) / 2) < 0.001 THEN 0 ELSE least(greatest((avg(abs(abs(a.v) - abs(b.v))) / avg((abs(a.v) + abs(b.v)) / 2) - 0.8e0) / 1.2e0, 0), 1) END, 6) + 0.0 AS asymmetry FROM blocks8 a JOIN blocks8 b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = 7 - a.x AND a.x < 4 GROUP BY a.vec_id")
@@ -158,18 +173,24 @@ def in_ellipse_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.blocks8(spark, sf_dir).where(inside).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), r6(F.var_pop("v")).alias("variance"))
 
 
+def _grown(spark: SparkSession, sf_dir: str, grow: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    found = tiles.map_tiles(rel.tiles(spark, sf_dir), TILE, 64, ["inside"], lambda v: {"inside": grow(v.reshape(-1, 8, 8))})
+    return tiles.cells(found, TILE, ["inside"]).where("inside > 0").select("vec_id", "y", "x")
+
+
 _GROW = "WITH RECURSIVE {open}, grown AS (SELECT o.vec_id, o.y, o.x FROM o WHERE {seed} UNION SELECT o.vec_id, o.y, o.x FROM grown r JOIN o ON o.vec_id = r.vec_id AND {near}) SELECT vec_id, y, x FROM grown"
 
 
 @query(_GROW.format(open="o AS (SELECT vec_id, y, x, v FROM blocks8 WHERE abs(v) <= 0.15)", seed="o.y IN (0, 7) OR o.x IN (0, 7)", near="abs(o.y - r.y) + abs(o.x - r.x) = 1"))
 def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    border = F.col("y").isin(0, 7) | F.col("x").isin(0, 7)
-    return raster.reached(rel.blocks8(spark, sf_dir), TILE, border, F.abs("v") <= 0.15)
+    border = np.zeros((8, 8), bool)
+    border[[0, 7]] = border[:, [0, 7]] = True
+    return _grown(spark, sf_dir, lambda t: tiles.grow(np.abs(t) <= 0.15, np.broadcast_to(border, t.shape)))
 
 
 @query(_GROW.format(open="o AS (SELECT vec_id, y, x, v FROM blocks8 WHERE abs(v) >= 0.1)", seed="abs(o.v) >= 0.25", near="abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1"))
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.reached(rel.blocks8(spark, sf_dir), TILE, F.abs("v") >= 0.25, F.abs("v") >= 0.1, eight=True)
+    return _grown(spark, sf_dir, lambda t: tiles.grow(np.abs(t) >= 0.1, np.abs(t) >= 0.25, eight=True))
 
 
 def _lift_sql() -> str:
@@ -182,7 +203,9 @@ def _lift_sql() -> str:
 
 @query(_lift_sql())
 def wavelet97_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.lift97(rel.blocks8(spark, sf_dir), ["vec_id", "y"]).select("vec_id", "y", "band", "k", r6("c").alias("c"))
+    c = tiles.cells(tiles.linear(rel.tiles(spark, sf_dir), TILE, {"c": np.kron(np.eye(8), tiles.lifting(8))}), TILE, ["c"])
+    low = F.col("x") < 4
+    return c.select("vec_id", "y", F.when(low, "low").otherwise("high").alias("band"), (F.col("x") % 4).alias("k"), r6("c").alias("c"))
 
 
 @query("SELECT vec_id, y, x, CAST(CASE WHEN v < 0 THEN -1 ELSE 1 END * floor(abs(v) * 128) AS BIGINT) AS q FROM blocks8")

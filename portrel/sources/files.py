@@ -23,12 +23,17 @@ def stem(path: Column) -> Column:
 
 
 def images(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """(path, content, length) of a folder's image files, in case-insensitive order of their paths."""
+    """(path, content, length) of a folder's image files, in no order: contents aren't sent through a sort."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     found = reader.load(folder).select("path", "content", "length")
-    return found.where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS)).orderBy(F.upper("path"), "path")
+    return found.where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS))
+
+
+def ordered_paths(found: DataFrame) -> DataFrame:
+    """(path, length) of images in case-insensitive order of their paths; only these are sorted, contents aren't read."""
+    return found.select("path", "length").orderBy(F.upper("path"), "path")
 
 
 def corpus(spark: SparkSession, file: str) -> DataFrame:
@@ -63,3 +68,106 @@ def write_report(rows: DataFrame, folder: str) -> None:
 
 def append_review(reviews: DataFrame, folder: str) -> None:
     reviews.withColumn("timestamp", F.current_timestamp()).write.mode("append").json(folder)
+
+
+# Headers of image files, by expressions over their first bytes.
+# Signatures and where the sizes lie.
+MOST_PIXELS = 64_000_000
+_PNG, _JP2, _BMP = "89504E470D0A1A0A", "0000000C6A5020200D0A870A", "424D"
+
+
+def _number(content: Column, at: int, size: int, little: bool = False) -> Column:
+    """An unsigned number of ``size`` bytes from byte ``at`` on."""
+    places = range(at + size - 1, at - 1, -1) if little else range(at, at + size)
+    digits = F.concat(*[F.hex(F.substring(content, p + 1, 1)) for p in places])
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def header(content: Column) -> Column:
+    """struct(format, width, height) from the head of a PNG, BMP, JPEG 2000 or binary PNM file; null for others. JPEG and TIFF keep
+    their sizes behind chains of segments and are read by Spark's image source."""
+    head = F.hex(F.substring(content, 1, 64))
+    ascii_head = F.decode(F.substring(content, 1, 64), "ISO-8859-1")
+    clean = F.regexp_replace(ascii_head, r"#[^\n]*\n", "")
+    pnm = lambda i: F.regexp_extract(clean, r"^P[56]\s+(\d{1,9})\s+(\d{1,9})\s", i)
+    box = F.instr(head, F.lit("69686472"))  # the box "ihdr"; its payload starts four bytes on, two digits to a byte
+    ihdr = lambda skip: F.conv(F.substring(head, box + 8 + skip, F.lit(8)), 16, 10).cast("long")
+    of = lambda name, w, h: F.struct(F.lit(name).alias("format"), w.alias("width"), h.alias("height"))
+    return (
+        F.when(F.startswith(head, F.lit(_PNG)), of("png", _number(content, 16, 4), _number(content, 20, 4)))
+        .when(F.startswith(head, F.lit(_JP2)) & (box > 0), of("jp2", ihdr(8), ihdr(0)))
+        .when(F.startswith(head, F.lit(_BMP)), of("bmp", _number(content, 18, 4, True), _number(content, 22, 4, True)))
+        .when(pnm(1) != "", of("pnm", pnm(1).cast("long"), pnm(2).cast("long")))
+    )
+
+
+def probed(files: DataFrame, most: int = MOST_PIXELS) -> DataFrame:
+    """Files (path, content) with their ``header`` and an ``error`` where it can't be read, is empty or says more than ``most``
+    pixels: to be filtered before anything is decoded."""
+    h = files.withColumn("header", header(F.col("content")))
+    pixels = F.col("header.width").cast("decimal(20,0)") * F.col("header.height").cast("decimal(20,0)")
+    error = validate.first_error((F.col("header").isNull(), validate.error("header", "not a known image header")), (pixels <= 0, validate.error("size", "an empty image")), (pixels > most, validate.error("pixels", "too many pixels")))
+    return h.withColumn("error", error)
+
+
+def decoded(spark: SparkSession, folder: str, most: int = MOST_PIXELS) -> DataFrame:
+    """(path, height, width, channels, data) of a folder's JPEG, PNG, BMP and GIF files by Spark's image source; files that it can't
+    decode are left out, and what is larger than ``most`` pixels goes."""
+    image = spark.read.format("image").option("dropInvalid", True).load(folder)
+    one = image.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return one.where(F.col("height").cast("long") * F.col("width") <= most)
+
+
+def raster_rows(rasters: DataFrame) -> DataFrame:
+    """(path, y, x, r, g, b) of decoded images; the image source keeps channels in the order blue, green, red, and one for grey."""
+    size = F.col("height") * F.col("width")
+    byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at + 1, F.lit(1))), 16, 10).cast("int")
+    cell = rasters.where(size > 0).select("path", "width", "channels", "data", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    channel = lambda k: byte((F.col("i") * F.col("channels") + F.when(F.col("channels") >= 3, F.lit(k)).otherwise(0)).cast("int"))
+    return cell.select("path", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+
+
+def mask_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """Masks (name, y, x) saved as Parquet rows, and what follows from them: ``hair`` is the head without the face, ``outside`` all
+    pixels of the name ``image`` that aren't on the face."""
+    rows = spark.read.schema("name string, y int, x int").parquet(folder)
+    of = lambda name: rows.where(F.col("name") == name).select("y", "x").distinct()
+    derived = lambda name, a: of(a).join(of("face"), ["y", "x"], "left_anti").select(F.lit(name).alias("name"), "y", "x")
+    return rows.distinct().unionByName(derived("hair", "head")).unionByName(derived("outside", "image"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object; a row with an ``error`` gives an object of the error alone."""
+    fields = [c for c in rows.columns if c != "error"]
+    body = F.to_json(F.struct(*fields))
+    if "error" in rows.columns:
+        body = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(body)
+    return rows.select(body.alias("value"))
+
+
+def _escaped(c: Column) -> Column:
+    out = c
+    for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(plain), F.lit(mark))
+    return out
+
+
+def write_html_report(rows: DataFrame, folder: str, title: str) -> None:
+    """A table as the text of a HTML page: one line for each row, written by one task; for reports, whose rows are few."""
+    cell = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    line = lambda tag, cs: F.concat(F.lit("<tr>"), *[cell(tag, c) for c in cs], F.lit("</tr>"))
+    body = rows.select(F.lit(1).alias("part"), line("td", [F.coalesce(_escaped(F.col(c).cast("string")), F.lit("")) for c in rows.columns]).alias("value"))
+    spark = rows.sparkSession
+    head = spark.range(1).select(F.lit(0).alias("part"), F.concat(F.lit("<html><head><title>"), _escaped(F.lit(title)), F.lit("</title></head><body><table>"), line("th", [_escaped(F.lit(c)) for c in rows.columns])).alias("value"))
+    foot = spark.range(1).select(F.lit(2).alias("part"), F.lit("</table></body></html>").alias("value"))
+    head.unionByName(body).unionByName(foot).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(folder)
+
+
+def write_markdown_report(rows: DataFrame, folder: str, title: str) -> None:
+    """The same as a Markdown table."""
+    line = lambda cs: F.concat(F.lit("| "), F.array_join(F.array(*cs), " | "), F.lit(" |"))
+    safe = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    body = rows.select(F.lit(1).alias("part"), line([safe(c) for c in rows.columns]).alias("value"))
+    names = [F.lit(c) for c in rows.columns]
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.concat_ws("\n", F.lit(f"# {title}\n"), line(names), F.lit("|" + " --- |" * len(names))).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(folder)

@@ -25,6 +25,11 @@ def blocks8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.col("e").cast("double").alias("v"))
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, label, v): the same tiles, each whole in one row as an array of its rows of pixels."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, idx, x, y): 32 points from consecutive pairs, on a 480x640 canvas."""
     e = table(spark, sf_dir, "embeddings")
