@@ -32,7 +32,7 @@ PERCENTILE = 90
 CHUNK_IDS = 1 << 17
 END_ID = 1
 #: Characters and ids that a worker remembers of words; beyond it the memory starts anew, results don't change.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 160 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A run of Latin-1 letters, then nothing or an ASCII character that is no letter: neither composition nor the
