@@ -8,11 +8,13 @@ Shared by the substring and the suffix-array dedup. A token is a byte or a word;
   sorted externally by Spark, and each reducer walks its sorted tuples once: units with the same cover repeat as a whole,
   and all but the first are removed. Firsts of different covers under one gram may still share some windows; only these
   are opened, and their windows compared one by one.
-* Hashes are 64 bits; covers and windows are told apart by the gram's hash and their own, 128 bits together.
+* Hashes are 64 bits; covers and windows are told apart by the gram's hash and their own, 128 bits together. Copies found within an
+  Arrow batch are compared token by token; ``verified`` compares the others by cryptographic digests of all their tokens.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from portrel.llm import common
 
 UNIT = "gram long, cover long, doc long, lo long, n int, copy boolean"
-FOUND = "kind string, gram long, cover long, doc long, lo long, n int"
+FOUND = "kind string, gram long, cover long, doc long, lo long, n int, fdoc long, flo long"
 NO_ID = -(1 << 63)
 #: Windows that are sampled at a time: bounds a task's memory whatever the texts' lengths. A unit cut here is two units.
 CHUNK = 1 << 18
@@ -95,8 +97,8 @@ def _units(tokens: Tokens, at: int, stop: int, length: int, gram: int) -> tuple[
 
 
 def sampled(docs: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int, gram: int) -> DataFrame:
-    """UNIT rows of all documents. Equal units within one batch go on as copies, under scattered keys, so that a text with
-    many copies doesn't fill one reducer."""
+    """UNIT rows of all documents. Units of one Arrow batch that are equal, token by token, go on as copies, under scattered keys, so
+    that a text with many copies doesn't fill one reducer."""
     common.small_batches(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,32 +112,46 @@ def sampled(docs: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int,
         copy[1:] = (grams[1:] == grams[:-1]) & (cover[1:] == cover[:-1])
         lead = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
         copy &= (doc != doc[lead]) | (lo != lo[lead])  # a repeated row is no earlier document
+        begin, hit = own.offsets[row[order]] + lo, np.flatnonzero(copy)
+        size = count[hit] - 1 + length
+        for some in np.array_split(np.arange(len(hit)), max(1, int(size.sum()) // CHUNK)):
+            steps = segments_of(begin[hit[some]], size[some])
+            differ = own.values[steps] != own.values[segments_of(begin[lead[hit[some]]], size[some])]
+            copy[hit[some][np.unique(np.repeat(np.arange(len(some)), size[some])[differ])]] = False
         grams = np.where(copy, common.mix(cover + lo.astype(np.uint64) + doc.astype(np.uint64) * common.MULT), grams)
         return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(count.astype(np.int32)), pa.array(copy)], ["gram", "cover", "doc", "lo", "n", "copy"])
 
     return common.map_batches(docs, step, UNIT)
 
 
+def segments_of(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of runs that begin there and are so long, one run after the other."""
+    return np.repeat(begin, size) + common.segments(size)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, text): ids as long, a null id below all others."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
 
-def resolve(rows: DataFrame, old: bool = False) -> DataFrame:
+def resolve(rows: DataFrame, dealt: bool = False) -> DataFrame:
     """Walk the tuples in the order of (gram, cover, document, place) and tell what they are.
 
-    ``copy``: the unit's windows all start earlier as well. ``open``: the first of its cover, under a gram that has other
-    covers too. ``first``: any first of its cover that isn't from the index (only if ``old``, where ``rows`` has a column
-    of that name). Each task reads its sorted tuples as a stream and keeps one row between batches.
+    ``copy``: the unit's windows all start earlier as well, at (fdoc, flo); that is null where it was found within an Arrow batch, by
+    comparing all tokens. ``open``: the first of its cover, under a gram that has other covers too. Each task reads its sorted
+    tuples as a stream and keeps one row between batches. ``dealt``: the rows lie in buckets of their grams already.
     """
     spark = rows.sparkSession
     common.small_batches(spark)
-    names = ["gram", "cover", "doc", "lo", "n", "copy"] + ["old"] * old
-    dealt = rows.select(*names).repartition(common.partitions(spark), "gram").sortWithinPartitions("gram", "cover", "doc", "lo")
+    names = ["gram", "cover", "doc", "lo", "n", "copy"]
+    rows = rows.select(*names)
+    rows = (rows if dealt else rows.repartition(common.partitions(spark), "gram")).sortWithinPartitions("gram", "cover", "doc", "lo")
 
-    def out(kind: str, held: dict[str, np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
+    def out(kind: str, held: dict[str, np.ndarray], pick: np.ndarray, first: np.ndarray | None = None) -> pa.RecordBatch:
         columns = [pa.array([kind] * int(pick.sum()), pa.string()), *(pa.array(held[c][pick]) for c in ("gram", "cover", "doc", "lo", "n"))]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "gram", "cover", "doc", "lo", "n"])
+        own = held["copy"][pick] if first is not None else np.ones(int(pick.sum()), bool)
+        columns += [pa.array(held[c][first[pick] if first is not None else pick], mask=own) for c in ("doc", "lo")]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "gram", "cover", "doc", "lo", "n", "fdoc", "flo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: dict[str, np.ndarray] | None = None  # the last first of a cover so far; ``shown``: already given out as open
@@ -143,7 +159,7 @@ def resolve(rows: DataFrame, old: bool = False) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {c: np.asarray(batch.column(c)) if c not in ("copy", "old") else batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            now = {c: np.asarray(batch.column(c)) if c != "copy" else batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             had = lead is not None
             if had:
                 now = {c: np.concatenate([lead[c], now[c]]) for c in names}
@@ -155,7 +171,7 @@ def resolve(rows: DataFrame, old: bool = False) -> DataFrame:
             repeat = same_cover & ((now["doc"] != now["doc"][at]) | (now["lo"] != now["lo"][at]))
             fresh = np.zeros(len(copied), bool)
             fresh[had:] = True
-            yield out("copy", now, fresh & (repeat | copied))
+            yield out("copy", now, fresh & (repeat | copied), at)
             first = ~same_cover & ~copied
             other_before = first & same_gram
             # The first cover of a gram is open once a second one comes.
@@ -168,23 +184,24 @@ def resolve(rows: DataFrame, old: bool = False) -> DataFrame:
             if had:
                 give[0] &= not shown
             yield out("open", now, give)
-            if old:
-                yield out("first", now, fresh & first & ~now["old"])
             if len(firsts):
                 last = firsts[-1]
                 shown = bool(opened[last]) or (had and last == 0 and shown)
                 lead = {c: now[c][last : last + 1] for c in names}
 
-    return dealt.mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, FOUND)
 
 
-def opened_windows(docs: DataFrame, opened: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int, wide: int) -> DataFrame:
-    """(doc, lo, n): windows of the ``opened`` units that start earlier too, compared one by one. ``wide``: bytes of a token."""
-    spark = docs.sparkSession
-    wanted = opened.groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("units"))
-    common.small_batches(spark)
+def contents(docs: DataFrame, opened: DataFrame, spans: DataFrame | None, tokens: Callable[[pa.Array], Tokens], length: int) -> DataFrame:
+    """(whole, gram, doc, lo, n, content) from one pass over the documents: all tokens of each of the ``opened(gram, doc, lo, n)`` units
+    (whole), and a cryptographic digest of all tokens of each of the ``spans(doc, lo, n)``."""
+    common.small_batches(docs.sparkSession)
+    asked = opened.select(F.lit(True).alias("whole"), "gram", "doc", "lo", "n")
+    if spans is not None:
+        asked = asked.unionByName(spans.select(F.lit(False).alias("whole"), F.lit(0).cast("long").alias("gram"), "doc", "lo", "n").distinct())
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("whole", "gram", "lo", "n")).alias("units"))
 
-    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -192,17 +209,37 @@ def opened_windows(docs: DataFrame, opened: DataFrame, tokens: Callable[[pa.Arra
             lists = batch.column("units")
             many = np.diff(np.asarray(lists.offsets))
             flat = lists.flatten()
-            gram, lo, n = (np.asarray(flat.field(i)) for i in range(3))
+            whole = flat.field(0).to_numpy(zero_copy_only=False)
+            gram, lo, n = (np.asarray(flat.field(i)) for i in (1, 2, 3))
             row = np.repeat(np.arange(len(many)), many)
             begin = own.offsets[row] + lo
             size = n.astype(np.int64) - 1 + length
-            where = np.repeat(begin, size) + common.segments(size)
-            data = own.values[where]
-            ends = (np.concatenate([[0], np.cumsum(size)]) * data.itemsize).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.asarray(batch.column("doc"))[row]), pa.array(lo), binary], ["gram", "doc", "lo", "content"])
+            doc = np.asarray(batch.column("doc"))[row]
+            for some in np.array_split(np.arange(len(row)), max(1, int(size.sum()) // (4 * CHUNK))):
+                parts = [own.values[a : a + k].tobytes() for a, k in zip(begin[some].tolist(), size[some].tolist(), strict=True)]
+                parts = [p if w else hashlib.blake2b(p, digest_size=16).digest() for p, w in zip(parts, whole[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole[some]), pa.array(gram[some]), pa.array(doc[some]), pa.array(lo[some]), pa.array(n[some]), pa.array(parts, pa.binary())], ["whole", "gram", "doc", "lo", "n", "content"])
+
+    return docs.join(wanted, "doc").mapInArrow(run, "whole boolean, gram long, doc long, lo long, n int, content binary")
+
+
+def verified(copies: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc, lo, n) of the copies(doc, lo, n, fdoc, flo) whose tokens are those at (fdoc, flo), by the digests of ``contents``."""
+    digests = held.where("not whole").select("doc", "lo", "n", "content").distinct()
+    own = copies.where("fdoc is not null").join(digests, ["doc", "lo", "n"])
+    first = digests.select(F.col("doc").alias("fdoc"), F.col("lo").alias("flo"), "n", F.col("content").alias("first"))
+    same = own.join(first, ["fdoc", "flo", "n"]).where(F.col("content") == F.col("first"))
+    return same.select("doc", "lo", "n").unionByName(copies.where("fdoc is null").select("doc", "lo", "n"))
+
+
+def opened_windows(docs: DataFrame, opened: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int, wide: int) -> DataFrame:
+    """(doc, lo, n): windows of the ``opened`` units that start earlier too, compared one by one. ``wide``: bytes of a token."""
+    return windows_of(contents(docs, opened, None, tokens, length), opened, length, wide)
+
 
-    units_of = docs.join(wanted, "doc").mapInArrow(content, "gram long, doc long, lo long, content binary")
+def windows_of(held: DataFrame, opened: DataFrame, length: int, wide: int) -> DataFrame:
+    """The same from the ``contents`` of the opened units."""
+    units_of = held.where("whole").select("gram", "doc", "lo", "content")
     hot = opened.groupBy("gram").count().where(F.col("count") > HOT_COVERS).select("gram")
     if not hot.limit(1).count():
         return _compared(units_of, length, wide)

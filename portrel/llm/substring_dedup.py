@@ -1,9 +1,11 @@
 """Substring dedup by a log-structured fingerprint index.
 
-The index is a list of immutable runs. A run holds window fingerprints (``repeats`` tuples, one for each different cover)
-in the order of their hashes, written once. A new batch of documents makes its own tuples, is merged with all runs in one
-ordered walk, and what matches is verified against the texts window by window. Then the batch's new tuples are written as
-a run, and once there are ``MOST_RUNS`` runs they are compacted into one.
+The index is a folder of immutable runs. A run holds window fingerprints (``repeats`` tuples) in buckets of their gram's hash,
+sorted, written once. A new batch of documents makes its tuples and is written as a run of its own; that is their only shuffle.
+The run is walked in order for what repeats within the batch, and is then merge-joined with each older run, bucket by bucket:
+neither is shuffled or sorted again. Matches are verified: copies by digests of all their words, others window by window. Once a
+level has ``MOST_RUNS`` runs they are compacted into one of the next level, where superseded tuples (copies of an earlier one) are
+dropped. An index can be opened again, in another session, to take in further batches.
 
 A window is ``length`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one document. Words covered by a window that also starts
 earlier (smaller ``doc_id``, null least, or earlier in the document) are removed. Null texts have no words. Rows of one id
@@ -14,6 +16,7 @@ An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -29,48 +32,109 @@ BATCHES = 3
 MOST_RUNS = 2
 
 
-class FingerprintIndex:
-    """Runs of historical fingerprints in the shared folder, and the batches' documents for verification."""
+RUN = "gram long, cover long, doc long, lo long, n int, copy boolean"
+SETTINGS = "length int, gram int, buckets int"
+
+#: Reads of runs keep their buckets and order, and joins on (gram, cover) are content with buckets of grams.
+_BY_BUCKETS = {
+    "spark__sql__sources__bucketing__autoBucketedScan__enabled": "false", "spark__sql__legacy__bucketedTableScan__outputOrdering": "true",
+    "spark__sql__requireAllClusterKeysForCoPartition": "false",
+}
+
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM):
-        self.spark, self.length, self.gram = spark, length, gram
-        self.runs: list[tuple[DataFrame, list[str]]] = []
+class FingerprintIndex:
+    """Runs of fingerprints in the folder ``path``: one that is there is opened with its own settings, else it is begun."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        if "settings" not in common.listed(spark, self.path):
+            begun = [(length, gram, buckets or common.partitions(spark))]
+            spark.createDataFrame(begun, SETTINGS).coalesce(1).write.parquet(f"{self.path}/settings")
+        self.length, self.gram, self.buckets = spark.read.schema(SETTINGS).parquet(f"{self.path}/settings").head()
+        self.tables: dict[str, str] = {}
+
+    def runs(self) -> list[str]:
+        """Names of the finished runs, run-<level>-<number>, oldest first."""
+        names = [n for n in common.listed(self.spark, self.path) if n.startswith("run-") and "_SUCCESS" in common.listed(self.spark, f"{self.path}/{n}")]
+        return sorted(names, key=lambda n: int(n.split("-")[2]))
+
+    def table(self, run: str) -> DataFrame:
+        """The tuples of a run, known to Spark as a table of sorted buckets."""
+        if run not in self.tables:
+            name = self.tables[run] = f"fingerprints_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, cover, doc, lo) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(self.tables[run])
+
+    def heads(self, run: str) -> DataFrame:
+        """(gram, cover, doc, lo, n) of the first unit of each cover of a run."""
+        first = self.table(run).where("not copy").groupBy("gram", "cover").agg(F.min(F.struct("doc", "lo", "n")).alias("u"))
+        return first.select("gram", "cover", "u.doc", "u.lo", "u.n")
+
+    def write(self, tuples: DataFrame, level: int) -> str:
+        numbers = [int(n.split("-")[2]) for n in common.listed(self.spark, self.path) if n.startswith("run-")]
+        run = f"run-{level}-{max(numbers, default=0) + 1}"
+        name = self.tables[run] = f"fingerprints_{uuid.uuid4().hex}"
+        dealt = tuples.select("gram", "cover", "doc", "lo", "n", "copy").repartition(self.buckets, "gram")
+        dealt.write.bucketBy(self.buckets, "gram").sortBy("gram", "cover", "doc", "lo").format("parquet").option("path", f"{self.path}/{run}").saveAsTable(name)
+        common.release(self.spark)
+        return run
+
+    def matches(self, new: str, old: str) -> tuple[DataFrame, DataFrame]:
+        """Merge-join of a batch's run with an older one: copies (doc, lo, n, fdoc, flo), and the units (gram, doc, lo, n) of both that
+        share a gram and not a cover."""
+        mine, theirs = self.heads(new), self.heads(old)
+        first = theirs.select("gram", "cover", F.col("doc").alias("fdoc"), F.col("lo").alias("flo"))
+        copies = mine.join(first.hint("merge"), ["gram", "cover"])
+        grams = theirs.select("gram").distinct()
+        other = mine.join(theirs.select("gram", "cover").hint("merge"), ["gram", "cover"], "left_anti").join(grams.hint("merge"), "gram", "left_semi")
+        asked = theirs.join(other.select("gram").distinct().hint("merge"), "gram", "left_semi")
+        unit = ["gram", "doc", "lo", "n"]
+        return copies.select("doc", "lo", "n", "fdoc", "flo"), other.select(*unit).unionByName(asked.select(*unit))
 
     def add(self, batch: DataFrame, known: DataFrame) -> DataFrame:
         """Take in ``batch(doc, text)``, whose ids are above all before; returns its repeated windows (doc, lo, n).
 
         ``known(doc, text)`` are all documents so far, this batch among them; only those with matches are read into tasks.
         """
-        fresh = repeats.sampled(batch, repeats.as_words, self.length, self.gram).withColumn("old", F.lit(False))
-        rows = reduce(DataFrame.unionByName, [run.withColumn("old", F.lit(True)) for run, _ in self.runs], fresh)
+        before = self.runs()
+        new = self.write(repeats.sampled(batch, repeats.as_words, self.length, self.gram), 0)
         paths: list[str] = []
-        found = common.stored(repeats.resolve(rows, old=True), paths)
-        self._write(found.where("kind = 'first'"))
-        windows = repeats.opened_windows(known, found.where("kind = 'open'"), repeats.as_words, self.length, 8)
+        with common.settings(self.spark, **_BY_BUCKETS):
+            within = common.stored(repeats.resolve(self.table(new), dealt=True), paths)
+            copies, opened = within.where("kind = 'copy'").select("doc", "lo", "n", "fdoc", "flo"), within.where("kind = 'open'").select("gram", "doc", "lo", "n")
+            for old in before:
+                more, others = (common.stored(x, paths) for x in self.matches(new, old))
+                copies, opened = copies.unionByName(more), opened.unionByName(others)
+        opened = opened.distinct()
+        spans = copies.where("fdoc is not null").select("doc", "lo", "n").unionByName(copies.where("fdoc is not null").select(F.col("fdoc").alias("doc"), F.col("flo").alias("lo"), "n"))
+        held = common.stored(repeats.contents(known, opened, spans, repeats.as_words, self.length), paths, dense=True)
+        both = repeats.verified(copies, held).unionByName(repeats.windows_of(held, opened, self.length, 8))
         least = batch.agg(F.min("doc")).head()[0]  # windows of earlier documents were told before
-        both = found.where("kind = 'copy'").select("doc", "lo", "n").unionByName(windows)
         out = common.stored(both.where(F.lit(False) if least is None else F.col("doc") >= least))
         common.discard(self.spark, paths)
+        self.compact()
         return out
 
-    def _write(self, firsts: DataFrame) -> None:
-        run = firsts.select("gram", "cover", "doc", "lo", "n", F.lit(False).alias("copy"))
-        self._store(run)
-        if len(self.runs) >= MOST_RUNS:
-            old, self.runs = self.runs, []
-            self._store(reduce(DataFrame.unionByName, [r for r, _ in old]))
-            for _, paths in old:
-                common.discard(self.spark, paths)
-
-    def _store(self, run: DataFrame) -> None:
-        paths: list[str] = []
-        sorted_run = run.repartition(common.partitions(self.spark), "gram").sortWithinPartitions("gram", "cover")
-        self.runs.append((common.stored(sorted_run, paths), paths))
+    def compact(self) -> None:
+        """Merge the runs of a level into one of the next once there are MOST_RUNS; of each cover the first unit stays."""
+        level = 0
+        while runs := [r for r in self.runs() if r.split("-")[1] == str(level)]:
+            if len(runs) >= MOST_RUNS:
+                rows = reduce(DataFrame.unionByName, [self.heads(r) for r in runs]).groupBy("gram", "cover").agg(F.min(F.struct("doc", "lo", "n")).alias("u"))
+                self.write(rows.select("gram", "cover", "u.doc", "u.lo", "u.n", F.lit(False).alias("copy")), level + 1)
+                for r in runs:
+                    self.forget(r)
+                    common.discard(self.spark, [f"{self.path}/{r}"])
+            level += 1
+
+    def forget(self, run: str) -> None:
+        """Take a run's table out of the session; its files stay."""
+        if run in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")
 
     def close(self) -> None:
-        for _, paths in self.runs:
-            common.discard(self.spark, paths)
-        self.runs = []
+        for run in list(self.tables):
+            self.forget(run)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -78,12 +142,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: i
     spark = docs.sparkSession
     keyed = repeats.keyed(docs)
     cuts = [repeats.NO_ID, *common.bucket_bounds(keyed, "doc", batches)]
-    index = FingerprintIndex(spark, length, gram)
+    path = common.step_path(spark, "fingerprints")
+    index = FingerprintIndex(spark, path, length, gram)
     found = []
     for begin, end in zip(cuts, [*cuts[1:], None], strict=True):
         known = keyed if end is None else keyed.where(F.col("doc") < end)
         found.append(index.add(known.where(F.col("doc") >= begin), known))
     index.close()
+    common.discard(spark, [path])
     common.small_batches(spark)
     return repeats.with_repeats(keyed, reduce(DataFrame.unionByName, found))
 
