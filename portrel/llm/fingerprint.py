@@ -2,8 +2,9 @@
 
 A document is the multiset of its paragraphs (lines; an empty text has none). Each paragraph is hashed to a wide vector and
 the fingerprint is their sum, lane by lane, modulo a power of two: ``EQUAL_LANES`` lanes modulo 2**64 from the whole
-paragraph, and ``LIKE_LANES`` lanes modulo 2**16 that add up +1 or -1 for each of the paragraph's runs of ``RUN`` words.
-So the order of paragraphs doesn't matter, and a paragraph is put in or taken out by adding or subtracting its vector.
+paragraph, and ``LIKE_LANES`` lanes modulo 2**32 that add up +1 or -1 for each of the paragraph's runs of ``RUN`` words.
+So the order of paragraphs doesn't matter, and paragraphs are put into a stored fingerprint or taken out of it (``inserted``,
+``deleted``) by adding or subtracting their vectors, without the document's text.
 The first lanes decide equality; the inner product of the others estimates how much two documents share.
 
 Nulls are empty texts. Of repeated rows each has its result. Rows with a null ``doc_id`` are the lowest ones. An empty
@@ -30,7 +31,7 @@ _LANE = common.mix(np.arange(1, EQUAL_LANES + 1, dtype=np.uint64) * np.uint64(0x
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's fingerprint: (rows, EQUAL_LANES) uint64 and (rows, LIKE_LANES) int16."""
+    """The two parts of each text's fingerprint: (rows, EQUAL_LANES) uint64 and (rows, LIKE_LANES) int32."""
     data, offsets = common.text_bytes(texts)
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -50,7 +51,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         wide = common.mix(common.slice_hash(sums, starts, ends)[:, None] ^ _LANE)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         equal[rows[first]] = np.add.reduceat(wide, first, axis=0)
-    like = np.zeros((n, LIKE_LANES), dtype=np.int16)
+    like = np.zeros((n, LIKE_LANES), dtype=np.int32)
     begin, end, _ = common.word_spans(data, offsets)
     if len(begin):
         # The paragraph of each word, and runs of words that stay in it; a shorter paragraph is one run.
@@ -68,12 +69,19 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lane = (h >> np.uint64(40)).astype(np.int64) % LIKE_LANES
         sign = np.where(h & np.uint64(1), 1.0, -1.0)
         where = rows[home[at]] * LIKE_LANES + lane
-        like = np.bincount(where, weights=sign, minlength=n * LIKE_LANES).astype(np.int64).astype(np.int16).reshape(n, LIKE_LANES)
+        like = np.bincount(where, weights=sign, minlength=n * LIKE_LANES).astype(np.int64).astype(np.int32).reshape(n, LIKE_LANES)
     return equal, like
 
 
 def hexes(equal: np.ndarray, like: np.ndarray) -> list[str]:
-    return [a.tobytes().hex() + b.tobytes().hex() for a, b in zip(equal.astype("<u8"), like.astype("<i2"), strict=True)]
+    return [a.tobytes().hex() + b.tobytes().hex() for a, b in zip(equal.astype("<u8"), like.astype("<i4"), strict=True)]
+
+
+def lanes(fingerprints: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts behind the strings of ``hexes`` (null: those of an empty text)."""
+    raw = b"".join(bytes.fromhex(f) if f else bytes(8 * EQUAL_LANES + 4 * LIKE_LANES) for f in fingerprints)
+    table = np.frombuffer(raw, np.uint8).reshape(len(fingerprints), 8 * EQUAL_LANES + 4 * LIKE_LANES)
+    return np.ascontiguousarray(table[:, : 8 * EQUAL_LANES]).view("<u8"), np.ascontiguousarray(table[:, 8 * EQUAL_LANES :]).view("<i4")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -96,6 +104,29 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return common.map_batches(kept, step, f"{ddl}, `{name}` string")
 
 
+def inserted(rows: DataFrame, paragraphs: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """``rows`` with the column ``fingerprint`` brought up to date for paragraphs (column ``paragraphs``, one on each line; null or
+    empty: none) that were put into the documents, wherever."""
+    return _changed(rows, paragraphs, fingerprint, 1)
+
+
+def deleted(rows: DataFrame, paragraphs: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """The same for paragraphs that were taken out."""
+    return _changed(rows, paragraphs, fingerprint, -1)
+
+
+def _changed(rows: DataFrame, paragraphs: str, fingerprint: str, sign: int) -> DataFrame:
+    common.small_batches(rows.sparkSession)
+    names = rows.columns
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            now = [have + own if sign > 0 else have - own for have, own in zip(lanes(batch.column(fingerprint).to_pylist()), vectors(batch.column(paragraphs)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(hexes(*now), pa.string()) if c == fingerprint else batch.column(c) for c in names], names)
+
+    return common.map_batches(rows, step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -133,7 +164,7 @@ def edits(docs: DataFrame) -> DataFrame:
                 edited.append(t[: len(t) - half] + text[:half])
                 text = t
             if before is None:
-                before = (np.zeros((1, EQUAL_LANES), np.uint64), np.zeros((1, LIKE_LANES), np.int16))
+                before = (np.zeros((1, EQUAL_LANES), np.uint64), np.zeros((1, LIKE_LANES), np.int32))
             nxt = tuple(np.concatenate([b, o[:-1]]) for b, o in zip(before, own, strict=True))
             before = tuple(o[-1:].copy() for o in own)
             changed = vectors(pa.array(edited, pa.large_string()))
