@@ -8,8 +8,8 @@ A set is a document's distinct ``SHINGLE``-word shingles (with fewer words, the
   a few leaders, then with the sets that link with most of them; from a leader's answer follow its relatives', so only sets
   outside of the zone's main component are compared with the rest. Zones only save work; no link depends on them.
 * Any other link shares, at the front of both sets in one global order, ``shared(n)`` shingles. These front shingles are
-  index lists, sorted by set size; blocks of a list that are too small for a set are skipped by position, and lists within
-  one zone as a whole. Frequent shingles come last in the order, so long lists are rare. Where sets meet in one, they carry
+  index lists, sorted by set size; for each set the part of a list that is too small for it is skipped by position (the first
+  fitting one is found by bisection), and lists within one zone as a whole. Frequent shingles come last in the order, so long lists are rare. Where sets meet in one, they carry
   the parities of their shingles' counts by hash; as many as differ is a lower bound of the sets' difference, and pairs
   whose bound is too large to link aren't candidates.
 
@@ -210,16 +210,20 @@ def candidates(posted: DataFrame, percent: int) -> DataFrame:
         return open_
 
     def pairs_of(v: np.ndarray, n: np.ndarray, zone: np.ndarray, bits: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of lists at [begin, begin + size): each set with those before it that are large enough, of other zones and alike by their
-        parities (rows of ``bits``; -1: none)."""
+        """Of lists at [begin, begin + size), sorted by size: each set with those before it from the first that is large enough on, of
+        other zones and alike by their parities (rows of ``bits``; -1: none)."""
         member = np.repeat(begin, size) + common.segments(size)
-        back = common.segments(size)
+        # Lists follow each other and are sorted by size, so list and size together ascend.
+        part = np.repeat(np.arange(len(begin), dtype=np.int64) << 32, size)
+        own = n[member].astype(np.int64)
+        place = np.arange(len(member))
+        back = place - np.searchsorted(part + own, part - (-percent * own // 100))
         at = 0
         while at < len(member):  # about a million pairs at a time
             stop = at + max(1, int(np.searchsorted(np.cumsum(back[at:]), 1 << 20, side="right")))
-            later = np.repeat(member[at:stop], back[at:stop])
-            earlier = later - 1 - common.segments(back[at:stop])
-            ok = (zone[later] != zone[earlier]) & (100 * n[earlier].astype(np.int64) >= percent * n[later])
+            later = np.repeat(place[at:stop], back[at:stop])
+            later, earlier = member[later], member[later - 1 - common.segments(back[at:stop])]
+            ok = zone[later] != zone[earlier]
             later, earlier = later[ok], earlier[ok]
             ok = may_link(later, earlier, n, bits, row)
             a, b = v[later[ok]], v[earlier[ok]]

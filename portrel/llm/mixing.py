@@ -75,10 +75,10 @@ def _cut(ranges: DataFrame, number: str) -> DataFrame:
     return hit.select("sid", F.col(number).alias(f"{number}_cut"), (F.col("need") - F.col("before")).alias(f"{number}_left"))
 
 
-def mix(docs: DataFrame, shares: Sequence[float] = SHARES, cap: float = CAP, weight: Column | None = None, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs(doc_id, source, text)``."""
+def mix(docs: DataFrame, shares: Sequence[float] = SHARES, cap: float = CAP, weight: Column | None = None, seed: int = SEED, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, and the columns ``also``) for every row of ``docs(doc_id, source, text)``."""
     quality = plain_share(F.col("text")) if weight is None else weight
-    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), quality.cast("double").alias("quality")))
+    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), quality.cast("double").alias("quality"), *[F.col(c).alias(f"also{i}") for i, c in enumerate(also)]))
     few = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), shares, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     few = few.withColumn("epochs", epochs).withColumn("need", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -105,4 +105,4 @@ def mix(docs: DataFrame, shares: Sequence[float] = SHARES, cap: float = CAP, wei
     sorted_ones = rows.where(at_cut).withColumn("left", F.col("fine_left") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     sorted_ones = sorted_ones.withColumn("part", F.least(F.greatest(F.col("left"), F.lit(0)), F.col("size"))).drop("left")
     both = clear.unionByName(sorted_ones)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *[F.col(f"also{i}").alias(c) for i, c in enumerate(also)])
