@@ -93,6 +93,41 @@ def test_substring_dedup(docs, empty, batches):
     assert substring_dedup.dedup(empty, batches=batches).count() == 0
 
 
+def test_substring_index_over_sessions(spark, docs, tmp_path):
+    """Batches that are taken in by sessions of their own find what one pass over all documents finds; old runs aren't shuffled."""
+    path = f"file://{tmp_path}/index"
+    want = brute.substring_dedup(TEXTS)
+    gone: dict = {}
+    for begin, end in ((0, 20), (20, 45), (45, 60), (60, 99)):
+        own = spark.newSession()
+        own.conf.set("spark.sql.shuffle.partitions", "5" if begin else "8")
+        index = substring_dedup.FingerprintIndex(own, path)
+        assert (index.length, index.gram, index.buckets) == (20, 6, 8)
+        rows = own.createDataFrame([(i, t) for i, t in TEXTS.items() if i < end], "doc long, text string")
+        for r in index.add(rows.where(F.col("doc") >= begin), rows).collect():
+            gone.setdefault(r["doc"], set()).update(range(r["lo"], r["lo"] + r["n"] + 19))
+        index.close()
+    assert {i: len(g) for i, g in gone.items()} == {i: w[1] for i, w in want.items() if w[1]}
+    index = substring_dedup.FingerprintIndex(spark, path)
+    runs = index.runs()
+    assert [r.split("-")[1] for r in runs] == ["2"]  # two compactions of two runs, and one of the results
+    with common.settings(spark, **substring_dedup._BY_BUCKETS):
+        for side in index.matches(runs[0], runs[0]):
+            plan = side._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan
+            assert "Exchange" not in plan
+    index.close()
+
+
+def test_copies_are_verified(spark):
+    """What only shares hashes is no copy."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b x d e f")], "doc long, text string")
+    copies = spark.createDataFrame([(2, 0, 2, 1, 0), (3, 0, 2, 1, 0), (3, 3, 1, 1, 3), (9, 0, 1, None, None)], "doc long, lo long, n int, fdoc long, flo long")
+    spans = copies.where("fdoc is not null").select("doc", "lo", "n").unionByName(copies.where("fdoc is not null").select(F.col("fdoc").alias("doc"), F.col("flo").alias("lo"), "n"))
+    held = repeats.contents(docs, spark.createDataFrame([], "gram long, doc long, lo long, n int"), spans, repeats.as_words, 3)
+    assert sorted(map(tuple, repeats.verified(copies, held).collect())) == [(2, 0, 2), (3, 3, 1), (9, 0, 1)]
+
+
 def test_repeated_rows_are_one_document(spark, docs):
     one = docs.where("doc_id in (3, 5, 61)")
     twice = one.unionByName(one)
@@ -290,6 +325,33 @@ def test_fingerprints_add_up():
         assert (lanes[0] == lanes[2] + lanes[3] + lanes[4]).all()
 
 
+def test_fingerprints_are_updated(spark):
+    """Paragraphs put in and taken out of stored fingerprints, as if the changed texts had been read."""
+    rows = [(1, "one\ntwo words", "new line\n\nmore", "one\nnew line\n\nmore\ntwo words"), (2, "", "first", "first"), (3, None, None, ""), (4, "a b c\n" * 40_000 + "end", "a b c", "a b c\n" * 40_001 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string, whole string")
+    now = fingerprint.fingerprints(fingerprint.fingerprints(df), "whole", "wanted")
+    more = fingerprint.inserted(now, "extra")
+    assert more.where("fingerprint = wanted").count() == 4
+    back = fingerprint.fingerprints(fingerprint.deleted(more, "extra"), "text", "before")
+    assert back.where("fingerprint = before").count() == 4
+
+
+def test_fingerprint_likeness_follows_what_is_shared():
+    """Against the exact share of common three-word runs, and not wrapped by very many repeats of one."""
+    import pyarrow as pa
+
+    random.seed(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [" ".join(random.choices(words, k=12)) for _ in range(60)]
+    for keep in (0, 15, 30, 45, 60):
+        other = base[:keep] + [" ".join(random.choices(words, k=12)) for _ in range(60 - keep)]
+        a, b = (fingerprint.vectors(pa.array(["\n".join(x)])) for x in (base, other))
+        assert abs(fingerprint.likeness(a, b)[0] - keep / 60) < 0.15
+    long = ["x y z\n" * 70_000 + t for t in ("head", "tail")]
+    a, b = (fingerprint.vectors(pa.array([t])) for t in long)
+    assert fingerprint.likeness(a, b)[0] > 0.99
+
+
 def test_quality_features_and_missing_class(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1) for i in TEXTS], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
