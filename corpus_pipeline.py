@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
-Nulls, empty tables and repeated rows: as in each operator. No stage can be stated in SQL as a whole (a learned model,
+Nulls and empty tables: as in each operator; rows without an id can't be told apart by it and none of them goes as a near duplicate
+of another. Of repeated rows one passes the near-duplicate stage. No stage can be stated in SQL as a whole (a learned model,
 hashed sampling keys, a tokenizer), so ``ORACLE_SQL`` is None and the stages are tested against plain versions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrel.llm import byte_bpe, common, jaccard, mixing, quality, suffix_dedup
@@ -21,11 +22,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs.select(*COLUMNS), common.table(spark, sf_dir, "labels"))
 
 
+def _row_key() -> Column:
+    """One number for a row's id, source and text: equal for repeated rows only, and never null."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the least id stays."""
+    """Of each component of the n-gram Jaccard join the document with the least id stays, once if its row is repeated."""
     joined = jaccard.join(docs)
     first = common.stored(joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    keyed = docs.select(*COLUMNS, _row_key().alias("_key"))
+    kept = keyed.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    again = common.stored(keyed.where("doc_id is not null").groupBy("_key").count().where(F.col("count") > 1).select("_key"))
+    if not again.limit(1).count():
+        return kept.select(*COLUMNS)
+    repeated = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(again, "_key", "left_anti").unionByName(repeated).select(*COLUMNS)
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +49,11 @@ def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document comes once for each whole epoch, and once more if the mix takes at least
     half of it in the last, fractional one; documents that aren't taken go."""
-    taken = mixing.mix(docs).where(F.col("size") > 0)
-    copies = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where(F.col("copies") > 0)
-    copies = common.stored(copies.groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    both = docs.select(*COLUMNS).join(copies, "doc_id")
+    keyed = docs.select(*COLUMNS, _row_key().alias("_key"))
+    taken = mixing.mix(keyed, also=["_key"]).where(F.col("size") > 0)
+    copies = taken.select("_key", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where(F.col("copies") > 0)
+    copies = common.stored(copies.groupBy("_key").agg(F.max("copies").alias("copies")))
+    both = keyed.join(copies, "_key")
     return both.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
