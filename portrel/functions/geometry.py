@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,3 +119,47 @@ def ratio_delta(actual: Column, reference: Column, both_exact: Column) -> Column
 
 def edge_config_valid(sigma: Column, low: Column, high: Column) -> Column:
     return (sigma > 0) & (low > 0) & (high > low)
+
+
+def rotated(x: Column, y: Column, cx: Column, cy: Column, degrees: Column) -> tuple[Column, Column]:
+    """A point turned about a centre."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    return (x - cx) * c - (y - cy) * s + cx, (x - cx) * s + (y - cy) * c + cy
+
+
+def cropped(v: Column, start: Column, scale: Column) -> Column:
+    """A coordinate after a crop that begins at ``start`` and a scaling."""
+    return (v - start) * scale
+
+
+def head_oval(brow: Column, chin: Column, jaw_width: Column) -> dict[str, Column]:
+    """The estimated crown, and width and height of the face's oval."""
+    face, width = chin - brow, jaw_width * 0.9
+    return {"crown": brow - 0.8 * face, "width": width, "height": F.greatest(0.85 * face, 1.3 * width)}
+
+
+def centring_percent(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """100 in the middle of the image, 0 at half a diagonal from it and beyond."""
+    half = F.sqrt(w * w + h * h) / 2
+    return F.greatest(F.lit(0.0), 1 - distance(x, y, w / 2, h / 2) / half) * 100
+
+
+def five_points(cx: Column, cy: Column, prior: Column, offsets: Sequence[tuple[Column, Column]], side: int, pad_x: Column, pad_y: Column, scale: Column) -> Column:
+    """Landmarks of a detection from a network's offsets to its prior box, a tenth of the prior's size each, taken back from the padded
+    square to the image: an array of structs."""
+    back = lambda c, d, pad: ((c + d * 0.1 * prior) * side - pad) / scale
+    return F.array(*[F.struct(back(cx, dx, pad_x).alias("x"), back(cy, dy, pad_y).alias("y")) for dx, dy in offsets])
+
+
+def landmark_crop(x: Column, y: Column, w: Column, h: Column, image_w: Column, image_h: Column, padding: float = 0.1) -> dict[str, Column]:
+    """A box padded by a part of its size and clipped to the image, in whole pixels, with the square that holds it: its side and how
+    far the crop lies in it."""
+    x0, y0 = F.greatest(F.floor(x - padding * w), F.lit(0)), F.greatest(F.floor(y - padding * h), F.lit(0))
+    x1, y1 = F.least(F.ceil(x + (1 + padding) * w), image_w), F.least(F.ceil(y + (1 + padding) * h), image_h)
+    side = F.greatest(x1 - x0, y1 - y0)
+    return {"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "side": side, "in_x": F.floor((side - (x1 - x0)) / 2), "in_y": F.floor((side - (y1 - y0)) / 2)}
+
+
+def from_crop(u: Column, v: Column, crop: dict[str, Column]) -> tuple[Column, Column]:
+    """A point of the unit square back to the image through a ``landmark_crop``."""
+    return u * crop["side"] - crop["in_x"] + crop["x"], v * crop["side"] - crop["in_y"] + crop["y"]

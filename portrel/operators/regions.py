@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,10 +45,10 @@ def covariance_ellipse(points: DataFrame, keys: Sequence[str], scale: float = 2.
     return s.select(*keys, "cx", "cy", axis(half + root).alias("major"), axis(half - root).alias("minor"), F.degrees(0.5 * F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy"))).alias("angle"))
 
 
-def hull_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, corners, area) of each group's convex hull: a monotone chain as two folds over the sorted array of points."""
-    lists = points.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("x", "y")))).alias("p"))
-    kind = lists.schema["p"].dataType.simpleString()
+def with_hull(lists: DataFrame, points: str, ring: str = "ring") -> DataFrame:
+    """Adds the corners of the convex hull of an array of points (x, y), ordered by x then y, each once: a monotone chain as two folds
+    over the sorted array. Meant for the few points of one face or region, an array in one row."""
+    kind = lists.schema[points].dataType.simpleString()
 
     def turns(s: Column, p: Column) -> Column:
         o, a = F.get(s, F.size(s) - 2), F.get(s, F.size(s) - 1)
@@ -59,10 +61,42 @@ def hull_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         return F.aggregate(sorted_points, F.array().cast(kind), push)
 
-    lower, upper = chain(F.col("p")), chain(F.reverse("p"))
-    both = lists.withColumn("lower", lower).withColumn("upper", upper)
-    ring = F.concat(F.slice("lower", F.lit(1), F.size("lower") - 1), F.slice("upper", F.lit(1), F.size("upper") - 1))
-    r = both.withColumn("ring", ring)
+    both = lists.withColumn("_p", F.array_sort(F.array_distinct(points))).withColumns({"_lower": chain(F.col("_p")), "_upper": chain(F.reverse("_p"))})
+    joined = F.concat(F.slice("_lower", F.lit(1), F.size("_lower") - 1), F.slice("_upper", F.lit(1), F.size("_upper") - 1))
+    return both.withColumn(ring, joined).drop("_p", "_lower", "_upper")
+
+
+def hull_mask(rings: DataFrame, keys: Sequence[str], margin: str) -> DataFrame:
+    """(keys, y, x) of the pixels whose middle is in the hull ``ring`` or within ``margin`` of its edges; hulls of less than three
+    corners have none. One hull's pixels are computed at a time."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rings.select(*keys).schema.fields] + ["y int", "x int"])
+
+    def pixels(ring: list[dict], m: float) -> tuple[np.ndarray, np.ndarray]:
+        a = np.array([(p["x"], p["y"]) for p in ring], np.float64).reshape(-1, 2)
+        d = np.roll(a, -1, axis=0) - a
+        low, high = np.floor(a.min(axis=0) - m), np.ceil(a.max(axis=0) + m)
+        y, x = np.mgrid[int(low[1]) : int(high[1]), int(low[0]) : int(high[0])]
+        inside, near = np.ones(y.shape, bool), np.zeros(y.shape, bool)
+        for (ax, ay), (dx, dy) in zip(a, d, strict=True):
+            px, py = x + 0.5 - ax, y + 0.5 - ay
+            inside &= dx * py - dy * px >= 0
+            part = np.clip((px * dx + py * dy) / (dx * dx + dy * dy), 0, 1)
+            near |= (px - part * dx) ** 2 + (py - part * dy) ** 2 <= m * m
+        return y[inside | near], x[inside | near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (ring, m) in enumerate(zip(batch.column("ring").to_pylist(), batch.column(margin).to_pylist(), strict=True)):
+                y, x = pixels(ring, float(m))
+                own = [batch.column(k).take(pa.array(np.full(len(y), i))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))], [*keys, "y", "x"])
+
+    return rings.where(F.size("ring") > 2).select(*keys, "ring", margin).mapInArrow(run, schema)
+
+
+def hull_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, corners, area) of each group's convex hull."""
+    r = with_hull(points.groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("p")), "p")
     nxt = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", F.lit(1), F.lit(1)))
     area = F.aggregate(F.arrays_zip(F.col("ring").alias("a"), nxt.alias("b")), F.lit(0.0), lambda t, e: t + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
     return r.select(*keys, F.size("ring").alias("corners"), area.alias("area"))

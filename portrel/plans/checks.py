@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from portrel.functions import geometry as g
-from portrel.functions import validate
+from portrel.functions import gates, validate
 from portrel.operators import raster
 from portrel.plans.images import _SOBEL, TILE
 from portrel.plans.registry import query, r6
@@ -43,14 +43,14 @@ def rejection_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH p AS (SELECT event_id AS id, value - 45 AS yaw, user_id % 60 - 30 AS pitch, event_id % 80 - 40 AS roll FROM events) SELECT id, abs(yaw) <= 15 AND abs(pitch) <= 15 AND abs(roll) <= 15 AS frontal, round(greatest(abs(yaw), abs(pitch), abs(roll)), 6) + 0.0 AS worst FROM p")
 def frontal_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rel.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("value") - 45).alias("yaw"), (F.col("user_id") % 60 - 30).cast("double").alias("pitch"), (F.col("event_id") % 80 - 40).cast("double").alias("roll"))
-    worst = F.greatest(*[F.abs(c) for c in ("yaw", "pitch", "roll")])
-    return p.select("id", (worst <= 15).alias("frontal"), r6(worst).alias("worst"))
+    frontal, worst = gates.frontal(F.col("yaw"), F.col("pitch"), F.col("roll"))
+    return p.select("id", frontal.alias("frontal"), r6(worst).alias("worst"))
 
 
 @query("SELECT id, CASE WHEN w < 50 THEN 'width' WHEN len < 1 THEN 'empty' WHEN len > cap THEN 'over cap' WHEN rest <> 0 THEN 'not closed' END AS first_failure, least(len, cap) AS taken FROM (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS w, l_partkey % 300 AS len, l_suppkey % 250 + 40 AS cap, l_partkey % 3 - 1 AS rest FROM lineitem)")
 def encoder_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = rel.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("w"), (F.col("l_partkey") % 300).alias("len"), (F.col("l_suppkey") % 250 + 40).alias("cap"), (F.col("l_partkey") % 3 - 1).alias("rest"))
-    first = F.when(F.col("w") < 50, "width").when(F.col("len") < 1, "empty").when(F.col("len") > F.col("cap"), "over cap").when(F.col("rest") != 0, "not closed")
+    first = gates.encoder_failure(*[F.col(c) for c in ("w", "len", "cap", "rest")])
     return li.select("id", first.alias("first_failure"), F.least("len", "cap").alias("taken"))
 
 
@@ -73,7 +73,7 @@ def candidate_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT image_id, i, CASE WHEN label = 'A' THEN 'face' WHEN r > 200 THEN 'foreground' WHEN g <= 128 AND b <= 128 THEN 'candidate' ELSE 'unknown' END AS region FROM pixels")
 def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = F.when(F.col("label") == "A", "face").when(F.col("r") > 200, "foreground").when((F.col("g") <= 128) & (F.col("b") <= 128), "candidate").otherwise("unknown")
+    region = gates.region_label(F.col("label") == "A", F.col("r") > 200, (F.col("g") <= 128) & (F.col("b") <= 128))
     return rel.pixels(spark, sf_dir).select("image_id", "i", region.alias("region"))
 
 
@@ -81,17 +81,16 @@ def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda f, c, a, b: f(F.when(F.col("idx").between(a, b), F.col(c)))
     b = rel.landmarks(spark, sf_dir).groupBy("vec_id").agg(at(F.min, "x", 0, 16).alias("x0"), at(F.max, "x", 0, 16).alias("x1"), at(F.max, "y", 0, 16).alias("chin"), at(F.avg, "y", 17, 20).alias("brow"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    face, width = F.col("chin") - F.col("brow"), (F.col("x1") - F.col("x0")) * 0.9
-    away = g.distance(F.col("cx"), F.col("cy"), F.lit(240), F.lit(320))
-    return b.select("vec_id", r6(F.col("brow") - 0.8 * face).alias("crown"), r6(width).alias("oval_width"), r6(F.greatest(0.85 * face, 1.3 * width)).alias("oval_height"), r6(F.greatest(F.lit(0.0), 1 - away / 400) * 100).alias("centring"))
+    h = g.head_oval(F.col("brow"), F.col("chin"), F.col("x1") - F.col("x0"))
+    centring = g.centring_percent(F.col("cx"), F.col("cy"), F.lit(480), F.lit(640))
+    return b.select("vec_id", r6(h["crown"]).alias("crown"), r6(h["width"]).alias("oval_width"), r6(h["height"]).alias("oval_height"), r6(centring).alias("centring"))
 
 
 @query("SELECT vec_id, idx, round((x - 240) * cos(radians(10)) - (y - 320) * sin(radians(10)) + 240, 6) + 0.0 AS rx, round((x - 240) * sin(radians(10)) + (y - 320) * cos(radians(10)) + 320, 6) + 0.0 AS ry, round((x - 40) * 1.5e0, 6) + 0.0 AS sx FROM landmarks")
 def landmark_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotated by ten degrees about the centre, and cropped and scaled."""
-    c, s = F.cos(F.radians(F.lit(10.0))), F.sin(F.radians(F.lit(10.0)))
-    x, y = F.col("x") - 240, F.col("y") - 320
-    return rel.landmarks(spark, sf_dir).select("vec_id", "idx", r6(x * c - y * s + 240).alias("rx"), r6(x * s + y * c + 320).alias("ry"), r6((F.col("x") - 40) * 1.5).alias("sx"))
+    x, y = g.rotated(F.col("x"), F.col("y"), F.lit(240.0), F.lit(320.0), F.lit(10.0))
+    return rel.landmarks(spark, sf_dir).select("vec_id", "idx", r6(x).alias("rx"), r6(y).alias("ry"), r6(g.cropped(F.col("x"), F.lit(40.0), F.lit(1.5))).alias("sx"))
 
 
 @query("SELECT p_partkey AS id, least(1, 1654 / CAST(greatest(p_size * 90, 480) AS DOUBLE)) AS scale, CAST(round_even(p_size * 90 * least(1, 1654 / CAST(greatest(p_size * 90, 480) AS DOUBLE)), 0) AS INTEGER) AS width, CAST(floor(p_retailprice / 25.4e0 * 300 + 0.5e0) AS BIGINT) AS printed FROM part")

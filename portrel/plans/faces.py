@@ -134,6 +134,8 @@ def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where(F.col("v") * F.col("nv") < 0).select("vec_id", "idx", r6(F.col("idx") + F.col("v") / (F.col("v") - F.col("nv"))).alias("at"))
 
 
-@query(None)
+@query("""WITH e AS (SELECT a.vec_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM landmarks a JOIN landmarks b ON a.vec_id = b.vec_id AND a.idx <> b.idx
+WHERE NOT EXISTS (SELECT 1 FROM landmarks c WHERE c.vec_id = a.vec_id AND c.idx <> a.idx AND c.idx <> b.idx AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))
+SELECT vec_id, CAST(count(*) AS INTEGER) AS corners, round(sum(x1 * y2 - x2 * y1) / 2, 6) + 0.0 AS area FROM e GROUP BY vec_id""")
 def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.hull_area(rel.landmarks(spark, sf_dir), ["vec_id"]).select("vec_id", "corners", r6("area").alias("area"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from portrel.functions import gates
 from portrel.operators import ledger, raster
 from portrel.plans.images import TILE, _kernel_sql
 from portrel.plans.registry import query, r6
@@ -93,7 +94,7 @@ def crop_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN 'icc' WHEN o_custkey % 4 = 1 THEN 'exif' ELSE 'assumed' END AS colour, CASE WHEN o_orderstatus = 'F' THEN 'Measured' ELSE 'Estimated' END AS evidence FROM orders")
 def colour_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey") % 4
-    return rel.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(c == 0, "icc").when(c == 1, "exif").otherwise("assumed").alias("colour"), F.when(F.col("o_orderstatus") == "F", "Measured").otherwise("Estimated").alias("evidence"))
+    return rel.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), gates.colour_basis(c == 0, c == 1).alias("colour"), gates.evidence_status(F.col("o_orderstatus") == "F").alias("evidence"))
 
 
 @query("WITH l(metric, w) AS (VALUES ('0', 1.25e0), ('1', 1e0), ('2', 1e0)) SELECT component, round(sum(payload * w), 6) + 0.0 AS weighted FROM subbands JOIN l ON CAST(component AS VARCHAR) = metric GROUP BY component")
@@ -115,3 +116,14 @@ def blur_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image at six blur levels; sigma is twice the level."""
     levels = F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 0.63, 0.7, 1.0)))).alias("level")
     return rel.pixels(spark, sf_dir).select("image_id").distinct().select("image_id", levels).withColumn("sigma", F.round(F.col("level") * 2, 6))
+
+
+@query("""WITH b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey), c AS (SELECT o.o_orderkey AS plan, o.o_custkey AS subject, o.o_totalprice <= r.o_totalprice AND isfinite(o.o_totalprice) AS eligible, o.o_orderpriority[1] = '1' AS exact, CASE WHEN o.o_orderkey % 7 > 0 THEN o.o_totalprice END AS score FROM orders o JOIN b ON b.o_custkey = o.o_custkey JOIN orders r ON r.o_orderkey = b.o_orderkey)
+SELECT plan, subject, eligible, CAST(row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN NOT eligible THEN 0 WHEN exact THEN 3 WHEN score IS NULL THEN 1 ELSE 2 END DESC, CASE WHEN eligible AND NOT exact THEN score END DESC NULLS LAST, plan) AS INTEGER) AS place FROM c""")
+def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates against their subject's baseline: eligible if finite and no larger; exact ones first, ineligible ones last."""
+    o = rel.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan"), F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("size"), F.startswith("o_orderpriority", F.lit("1")).alias("exact"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("score"))
+    first = o.groupBy("subject").agg(F.min_by("size", "plan").alias("baseline"))
+    c = o.join(first, "subject").withColumn("eligible", gates.finite(F.col("size")) & (F.col("size") <= F.col("baseline")))
+    c = c.withColumn("key", gates.sort_key(F.col("score"), F.col("exact"), F.col("eligible")))
+    return c.select("plan", "subject", "eligible", F.row_number().over(W.partitionBy("subject").orderBy(F.col("key").desc(), "plan")).alias("place"))

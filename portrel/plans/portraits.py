@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from portrel.functions import geometry as g
 from portrel.functions import portrait as p
+from portrel.operators import regions
 from portrel.plans.registry import query, r6
 from portrel.sources import relations as rel
 
@@ -166,3 +167,34 @@ def plan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "image_id", "det_id", g.significant_scale(w / 50).alias("scaled"), g.significant_angle(x - 20).alias("turned"), F.bround(g.scaled(w, h / 50)).cast("long").alias("new_w"), r6(g.inverse_scale(h / 50)).alias("inverse"),
         r6((w / 50) * (h / 50)).alias("combined"), g.shape_consistent(w / h, F.lit(0.75)).alias("consistent"),
     )
+
+
+@query("""WITH f AS (SELECT face_id, idx, x / 20 AS x, y / 20 AS y FROM faces), m AS (SELECT face_id, ceil((max(x) FILTER (idx < 17) - min(x) FILTER (idx < 17)) * 0.03e0) AS pad, min(x) - 3 AS x0, max(x) + 3 AS x1, min(y) - 3 AS y0, max(y) + 3 AS y1 FROM f GROUP BY face_id),
+e AS (SELECT a.face_id, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM f a JOIN f b ON a.face_id = b.face_id AND a.idx <> b.idx WHERE NOT EXISTS (SELECT 1 FROM f c WHERE c.face_id = a.face_id AND c.idx <> a.idx AND c.idx <> b.idx AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+p AS (SELECT face_id, px, py, pad FROM m, range(-20, 80) a(px), range(-20, 90) b(py) WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1),
+d AS (SELECT p.face_id, px, py, bool_and(dx * (py + 0.5 - ay) - dy * (px + 0.5 - ax) >= 0) AS inside, bool_or(pow(px + 0.5 - ax - t * dx, 2) + pow(py + 0.5 - ay - t * dy, 2) <= pad * pad) AS near
+FROM (SELECT p.*, ax, ay, dx, dy, least(greatest(((px + 0.5 - ax) * dx + (py + 0.5 - ay) * dy) / (dx * dx + dy * dy), 0), 1) AS t FROM p JOIN e ON e.face_id = p.face_id) p GROUP BY p.face_id, px, py)
+SELECT face_id, count(*) AS pixels, CAST(sum(px) AS BIGINT) AS sum_x, CAST(sum(py) AS BIGINT) AS sum_y FROM d WHERE inside OR near GROUP BY face_id""")
+def anatomical_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hull of all landmarks with a margin of three hundredths of the jaw, in pixels of a small frame."""
+    f = faces(spark, sf_dir).withColumn("points", F.transform("points", lambda q: F.struct((q["x"] / 20).alias("x"), (q["y"] / 20).alias("y"))))
+    x = p.pick(F.col("points"), p.JAW, "x")
+    f = f.withColumn("pad", F.ceil((F.array_max(x) - F.array_min(x)) * 0.03))
+    mask = regions.hull_mask(regions.with_hull(f, "points").select("face_id", "ring", "pad"), ["face_id"], "pad")
+    return mask.groupBy("face_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query("SELECT image_id, det_id, CAST(i AS INTEGER) AS i, round(((x / 640 + (i - 2) * 0.3e0 * 0.1e0 * 0.05e0) * 640 - 16) / 0.8e0, 6) + 0.0 AS px, round(((y / 640 + (i % 2) * 0.4e0 * 0.1e0 * 0.05e0) * 640 - 0) / 0.8e0, 6) + 0.0 AS py FROM boxes, range(5) t(i)")
+def five_point_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offsets = [(F.lit((i - 2) * 0.3), F.lit((i % 2) * 0.4)) for i in range(5)]
+    points = g.five_points(F.col("x") / 640, F.col("y") / 640, F.lit(0.05), offsets, 640, F.lit(16), F.lit(0), F.lit(0.8))
+    return rel.boxes(spark, sf_dir).select("image_id", "det_id", F.posexplode(points).alias("i", "q")).select("image_id", "det_id", "i", r6("q.x").alias("px"), r6("q.y").alias("py"))
+
+
+@query("""WITH c AS (SELECT image_id, det_id, greatest(floor(x - 0.1e0 * w), 0) AS x0, greatest(floor(y - 0.1e0 * h), 0) AS y0, least(ceil(x + 1.1e0 * w), 90) AS x1, least(ceil(y + 1.1e0 * h), 80) AS y1 FROM boxes),
+s AS (SELECT *, greatest(x1 - x0, y1 - y0) AS side FROM c) SELECT image_id, det_id, CAST(side AS BIGINT) AS side, round(0.25e0 * side - floor((side - (x1 - x0)) / 2) + x0, 6) + 0.0 AS px, round(0.75e0 * side - floor((side - (y1 - y0)) / 2) + y0, 6) + 0.0 AS py FROM s""")
+def landmark_crop_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a point of the landmark network's square lies on the image."""
+    crop = g.landmark_crop(*[F.col(c) for c in "xywh"], F.lit(90), F.lit(80))
+    px, py = g.from_crop(F.lit(0.25), F.lit(0.75), crop)
+    return rel.boxes(spark, sf_dir).select("image_id", "det_id", crop["side"].cast("long").alias("side"), r6(px).alias("px"), r6(py).alias("py"))

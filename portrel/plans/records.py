@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from portrel.functions import geometry as g
+from portrel.functions import gates
 from portrel.functions import validate
 from portrel.operators import ledger, quality
 from portrel.plans.registry import query, r6
@@ -216,7 +217,7 @@ def corpus_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, concat_ws(',', o_orderstatus, CASE WHEN o_orderpriority <> o_orderstatus THEN o_orderpriority END, CASE WHEN o_custkey % 2 = 0 THEN 'even' END) AS requirements FROM orders")
 def requirements_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = rel.table(spark, sf_dir, "orders")
-    parts = F.array_distinct(F.concat(F.array("o_orderstatus"), F.array("o_orderpriority", "o_orderstatus"), F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("even"))).otherwise(F.array().cast("array<string>"))))
+    parts = gates.requirement_union(F.array("o_orderstatus"), F.array("o_orderpriority", "o_orderstatus"), F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("even"))))
     return o.select(F.col("o_orderkey").alias("id"), F.array_join(parts, ",").alias("requirements"))
 
 

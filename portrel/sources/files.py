@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,3 +173,32 @@ def write_markdown_report(rows: DataFrame, folder: str, title: str) -> None:
     names = [F.lit(c) for c in rows.columns]
     head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.concat_ws("\n", F.lit(f"# {title}\n"), line(names), F.lit("|" + " --- |" * len(names))).alias("value"))
     head.unionByName(body).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(folder)
+
+
+def write_pair(image: DataFrame, record: DataFrame, folder: str) -> None:
+    """Two tables that belong together, under ``folder``/image and ``folder``/record: both or neither. They are staged beside it and
+    renamed in turn, under a lock that one writer holds; if the second can't be moved, the first one is taken back."""
+    spark = image.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    fs = path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lock, stage, names = path("_LOCK"), f"_stage-{uuid.uuid4().hex}", ("image", "record")
+    if not fs.createNewFile(lock):
+        raise FileExistsError(f"another writer holds {folder}")
+    moved: list[str] = []
+    try:
+        if any(fs.exists(path(n)) for n in names):
+            raise FileExistsError(f"{folder} has a pair already")
+        for name, rows in zip(names, (image, record), strict=True):
+            rows.write.parquet(path(f"{stage}/{name}").toString())
+        for name in names:
+            if not fs.rename(path(f"{stage}/{name}"), path(name)):
+                raise OSError(f"{name} can't be moved into {folder}")
+            moved.append(name)
+    except Exception:
+        for name in moved:
+            fs.delete(path(name), True)
+        raise
+    finally:
+        fs.delete(path(stage), True)
+        fs.delete(lock, False)

@@ -120,3 +120,18 @@ def test_reports_and_masks(spark, tmp_path):
     masks = files.mask_bundle(spark, str(tmp_path / "masks"))
     got = {n: sorted(r["y"] for r in masks.where(F.col("name") == n).collect()) for n in ("hair", "outside")}
     assert got == {"hair": [1, 4], "outside": [0, 1, 4, 5]}
+
+
+def test_pairs_are_written_whole(spark, tmp_path):
+    good, bad = spark.range(3), spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
+    files.write_pair(good, good, str(tmp_path / "a"))
+    assert [spark.read.parquet(str(tmp_path / "a" / n)).count() for n in ("image", "record")] == [3, 3]
+    with pytest.raises(FileExistsError):
+        files.write_pair(good, good, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_pair(good, bad, str(tmp_path / "b"))
+    assert [p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith(".")] == []
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "_LOCK").write_text("")
+    with pytest.raises(FileExistsError):
+        files.write_pair(good, good, str(tmp_path / "c"))
