@@ -213,6 +213,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_order_and_cut(spark, docs):
+    """Against a plain sort of each source by its keys: whole epochs, then documents in order until the words run out."""
+    rows = docs.where("doc_id < 60").unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    got = mixing.mix(rows, also=["n_chars"])
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(mixing.SEED)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    keyed = rows.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), (-F.log(u) / mixing.plain_share(F.col("text"))).alias("key")).collect()
+    targets = {r["source"]: r for r in mixing.targets(rows.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size"))).collect()}
+    want = []
+    for source in {r["source"] for r in keyed}:
+        own = sorted((r for r in keyed if r["source"] == source), key=lambda r: (r["key"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+        whole = targets[source]["source_size"]
+        epochs = int(targets[source]["target"] // whole) if whole else 0
+        left = round(targets[source]["target"] - epochs * whole)
+        for r in own:
+            part = min(r["size"], left)
+            left -= part
+            want.append((r["doc_id"], r["size"], epochs * r["size"] + part))
+    order = lambda t: (t[0] is None, t[0] or 0, *t[1:])
+    assert sorted(((r["doc_id"], r["size"], r["taken"]) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert {r["doc_id"]: r["n_chars"] for r in got.collect() if r["doc_id"]} == {i: len(TEXTS[i] or "") for i in range(1, 60)}
+
+
 def test_mixing_targets_stop_at_cap(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 5)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -362,6 +384,23 @@ def test_quality_features_and_missing_class(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_as_registered(spark):
+    """The registered query on provided tables, with columns of clashing names, repeated rows and labels, and a missing id."""
+    sf = "/root/testdata/sf0.01"
+    table = common.table(spark, sf, "documents").withColumns({"x": F.lit("?"), "score": F.lit("?"), "predicted": F.lit("?")})
+    labels = common.table(spark, sf, "labels")
+    more = table.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    got = quality.classify(table.unionByName(table.where("doc_id = 5")).unionByName(more), labels.unionByName(labels.where("doc_id < 100")))
+    rows = got.collect()
+    assert len(rows) == table.count() + 4
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 5}) == 1
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = [(r["predicted"], known[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in known]
+    assert len(held) > 80
+    assert sum(p == q for p, q in held) > 0.93 * len(held)
+
+
 def test_quality_held_out():
     """On the provided tables: nearly all held-out labels come out right."""
     import pyarrow as pa
