@@ -101,17 +101,17 @@ def output_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("image_id", "det_id", F.posexplode(p.corners([F.col(f"i{i}") for i in range(6)], 48, 64)).alias("corner", "at")).select("image_id", "det_id", "corner", r6("at.x").alias("x"), r6("at.y").alias("y"))
 
 
-@query("""WITH a AS (SELECT face_id, lx, ly, rx, ry, tip_x AS nx, tip_y AS ny, jl - 20 AS b0, brow - 40 AS b1, cc + 40 AS bw, jb - brow + 60 AS bh, (rx - lx) / eyes AS ex, (ry - ly) / eyes AS ey, (m1x - m0x) / sqrt(pow(m1x - m0x, 2) + pow(m1y - m0y, 2)) AS mx, (m1y - m0y) / sqrt(pow(m1x - m0x, 2) + pow(m1y - m0y, 2)) AS my FROM shapes),
+@query("""WITH a AS (SELECT face_id, lx, ly, rx, ry, tip_x AS nx, tip_y AS ny, jl - 20 AS b0, brow - 40 AS b1, cc + 40 AS bw, jb - brow + 60 AS bh, (rx - lx) / eyes AS ex, (ry - ly) / eyes AS ey, (m0x - m1x) / sqrt(pow(m1x - m0x, 2) + pow(m1y - m0y, 2)) AS mx, (m0y - m1y) / sqrt(pow(m1x - m0x, 2) + pow(m1y - m0y, 2)) AS my FROM shapes),
 h AS (SELECT *, (ex + mx) / sqrt(pow(ex + mx, 2) + pow(ey + my, 2)) AS hx, (ey + my) / sqrt(pow(ex + mx, 2) + pow(ey + my, 2)) AS hy FROM a),
 c AS (SELECT face_id, i, any_value(hx) AS hx, any_value(hy) AS hy, any_value(nx) AS nx, any_value(ny) AS ny, (b0 + bw * (i % 2) - nx) * hx + (b1 + bh * (i // 2) - ny) * hy AS u, (b1 + bh * (i // 2) - ny) * hx - (b0 + bw * (i % 2) - nx) * hy AS v FROM h, range(4) t(i) GROUP BY ALL),
 q AS (SELECT face_id, any_value(hx) AS hx, any_value(hy) AS hy, greatest(max(u) - min(u), max(v) - min(v)) * 1.1e0 AS side, any_value(nx) + any_value(hx) * (max(u) + min(u)) / 2 - any_value(hy) * (max(v) + min(v)) / 2 AS cx, any_value(ny) + any_value(hy) * (max(u) + min(u)) / 2 + any_value(hx) * (max(v) + min(v)) / 2 AS cy FROM c GROUP BY face_id)
 SELECT face_id, CAST(i AS INTEGER) AS corner, round(cx + hx * side * sx / 2 - hy * side * sy / 2, 6) + 0.0 AS x, round(cy + hy * side * sx / 2 + hx * side * sy / 2, 6) + 0.0 AS y FROM q, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) k(i, sx, sy)""")
 def chip_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corners of the normalised face chip on the source."""
+    """The corners of the normalised face chip on the source. This face's mouth runs from landmark 54, on the left, to 48."""
     points = F.col("points")
     xs, brow, bottom = p.pick(points, p.JAW, "x"), F.array_min(p.pick(points, p.BROWS, "y")), F.array_max(p.pick(points, p.JAW, "y"))
     mid = lambda which: F.struct(*[c.alias(a) for a, c in zip("xy", p.centre(points, which), strict=True)])
-    f = faces(spark, sf_dir).select("face_id", mid(p.LEFT_EYE).alias("left_eye"), mid(p.RIGHT_EYE).alias("right_eye"), *[p.at(points, i).alias(n) for n, i in (("nose", 30), ("left_mouth", 48), ("right_mouth", 54))], F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), brow.alias("brow"), bottom.alias("bottom"))
+    f = faces(spark, sf_dir).select("face_id", mid(p.LEFT_EYE).alias("left_eye"), mid(p.RIGHT_EYE).alias("right_eye"), *[p.at(points, i).alias(n) for n, i in (("nose", 30), ("left_mouth", 54), ("right_mouth", 48))], F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), brow.alias("brow"), bottom.alias("bottom"))
     f = f.withColumns({"x": F.col("left") - 20, "y": F.col("brow") - 40, "w": F.col("right") - F.col("left") + 40, "h": F.col("bottom") - F.col("brow") + 60})
     f = p.with_chip_map(f)
     f = f.select("face_id", *[c.alias(f"i{i}") for i, c in enumerate(g.affine_inverse(*[F.col(f"m{i}") for i in range(6)]))])
