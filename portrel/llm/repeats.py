@@ -134,18 +134,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
 
-def resolve(rows: DataFrame, dealt: bool = False) -> DataFrame:
+def resolve(rows: DataFrame, with_firsts: bool = False) -> DataFrame:
     """Walk the tuples in the order of (gram, cover, document, place) and tell what they are.
 
     ``copy``: the unit's windows all start earlier as well, at (fdoc, flo); that is null where it was found within an Arrow batch, by
-    comparing all tokens. ``open``: the first of its cover, under a gram that has other covers too. Each task reads its sorted
-    tuples as a stream and keeps one row between batches. ``dealt``: the rows lie in buckets of their grams already.
+    comparing all tokens. ``open``: the first of its cover, under a gram that has other covers too. ``first``: any first
+    of its cover, only if ``with_firsts``. Each task reads its sorted tuples as a stream and keeps one row between batches.
     """
     spark = rows.sparkSession
     common.small_batches(spark)
     names = ["gram", "cover", "doc", "lo", "n", "copy"]
-    rows = rows.select(*names)
-    rows = (rows if dealt else rows.repartition(common.partitions(spark), "gram")).sortWithinPartitions("gram", "cover", "doc", "lo")
+    rows = rows.select(*names).repartition(common.partitions(spark), "gram").sortWithinPartitions("gram", "cover", "doc", "lo")
 
     def out(kind: str, held: dict[str, np.ndarray], pick: np.ndarray, first: np.ndarray | None = None) -> pa.RecordBatch:
         columns = [pa.array([kind] * int(pick.sum()), pa.string()), *(pa.array(held[c][pick]) for c in ("gram", "cover", "doc", "lo", "n"))]
@@ -184,6 +183,8 @@ def resolve(rows: DataFrame, dealt: bool = False) -> DataFrame:
             if had:
                 give[0] &= not shown
             yield out("open", now, give)
+            if with_firsts:
+                yield out("first", now, fresh & first)
             if len(firsts):
                 last = firsts[-1]
                 shown = bool(opened[last]) or (had and last == 0 and shown)

@@ -1,9 +1,9 @@
 """Substring dedup by a log-structured fingerprint index.
 
 The index is a folder of immutable runs. A run holds window fingerprints (``repeats`` tuples) in buckets of their gram's hash,
-sorted, written once. A new batch of documents makes its tuples and is written as a run of its own; that is their only shuffle.
-The run is walked in order for what repeats within the batch, and is then merge-joined with each older run, bucket by bucket:
-neither is shuffled or sorted again. Matches are verified: copies by digests of all their words, others window by window. Once a
+sorted, written once. A new batch of documents makes its tuples, which are sorted and walked once for what repeats within the batch;
+the first of each cover are written as a run of their own. It is then merge-joined with each older run, bucket by bucket: neither
+is shuffled or sorted again. Matches are verified: copies by digests of all their words, others window by window. Once a
 level has ``MOST_RUNS`` runs they are compacted into one of the next level, where superseded tuples (copies of an earlier one) are
 dropped. An index can be opened again, in another session, to take in further batches.
 
@@ -32,7 +32,7 @@ BATCHES = 3
 MOST_RUNS = 2
 
 
-RUN = "gram long, cover long, doc long, lo long, n int, copy boolean"
+RUN = "gram long, cover long, doc long, lo long, n int"
 SETTINGS = "length int, gram int, buckets int"
 
 #: Reads of runs keep their buckets and order, and joins on (gram, cover) are content with buckets of grams.
@@ -59,30 +59,25 @@ class FingerprintIndex:
         return sorted(names, key=lambda n: int(n.split("-")[2]))
 
     def table(self, run: str) -> DataFrame:
-        """The tuples of a run, known to Spark as a table of sorted buckets."""
+        """(gram, cover, doc, lo, n) of a run, one for each cover, known to Spark as a table of sorted buckets."""
         if run not in self.tables:
             name = self.tables[run] = f"fingerprints_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, cover, doc, lo) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, cover) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
         return self.spark.table(self.tables[run])
 
-    def heads(self, run: str) -> DataFrame:
-        """(gram, cover, doc, lo, n) of the first unit of each cover of a run."""
-        first = self.table(run).where("not copy").groupBy("gram", "cover").agg(F.min(F.struct("doc", "lo", "n")).alias("u"))
-        return first.select("gram", "cover", "u.doc", "u.lo", "u.n")
-
     def write(self, tuples: DataFrame, level: int) -> str:
         numbers = [int(n.split("-")[2]) for n in common.listed(self.spark, self.path) if n.startswith("run-")]
         run = f"run-{level}-{max(numbers, default=0) + 1}"
         name = self.tables[run] = f"fingerprints_{uuid.uuid4().hex}"
-        dealt = tuples.select("gram", "cover", "doc", "lo", "n", "copy").repartition(self.buckets, "gram")
-        dealt.write.bucketBy(self.buckets, "gram").sortBy("gram", "cover", "doc", "lo").format("parquet").option("path", f"{self.path}/{run}").saveAsTable(name)
+        dealt = tuples.select("gram", "cover", "doc", "lo", "n").repartition(self.buckets, "gram")
+        dealt.write.bucketBy(self.buckets, "gram").sortBy("gram", "cover").format("parquet").option("path", f"{self.path}/{run}").saveAsTable(name)
         common.release(self.spark)
         return run
 
     def matches(self, new: str, old: str) -> tuple[DataFrame, DataFrame]:
         """Merge-join of a batch's run with an older one: copies (doc, lo, n, fdoc, flo), and the units (gram, doc, lo, n) of both that
         share a gram and not a cover."""
-        mine, theirs = self.heads(new), self.heads(old)
+        mine, theirs = self.table(new), self.table(old)
         first = theirs.select("gram", "cover", F.col("doc").alias("fdoc"), F.col("lo").alias("flo"))
         copies = mine.join(first.hint("merge"), ["gram", "cover"])
         grams = theirs.select("gram").distinct()
@@ -97,10 +92,10 @@ class FingerprintIndex:
         ``known(doc, text)`` are all documents so far, this batch among them; only those with matches are read into tasks.
         """
         before = self.runs()
-        new = self.write(repeats.sampled(batch, repeats.as_words, self.length, self.gram), 0)
         paths: list[str] = []
+        within = common.stored(repeats.resolve(repeats.sampled(batch, repeats.as_words, self.length, self.gram), with_firsts=True), paths)
+        new = self.write(within.where("kind = 'first'"), 0)
         with common.settings(self.spark, **_BY_BUCKETS):
-            within = common.stored(repeats.resolve(self.table(new), dealt=True), paths)
             copies, opened = within.where("kind = 'copy'").select("doc", "lo", "n", "fdoc", "flo"), within.where("kind = 'open'").select("gram", "doc", "lo", "n")
             for old in before:
                 more, others = (common.stored(x, paths) for x in self.matches(new, old))
@@ -120,8 +115,8 @@ class FingerprintIndex:
         level = 0
         while runs := [r for r in self.runs() if r.split("-")[1] == str(level)]:
             if len(runs) >= MOST_RUNS:
-                rows = reduce(DataFrame.unionByName, [self.heads(r) for r in runs]).groupBy("gram", "cover").agg(F.min(F.struct("doc", "lo", "n")).alias("u"))
-                self.write(rows.select("gram", "cover", "u.doc", "u.lo", "u.n", F.lit(False).alias("copy")), level + 1)
+                rows = reduce(DataFrame.unionByName, [self.table(r) for r in runs]).groupBy("gram", "cover").agg(F.min(F.struct("doc", "lo", "n")).alias("u"))
+                self.write(rows.select("gram", "cover", "u.doc", "u.lo", "u.n"), level + 1)
                 for r in runs:
                     self.forget(r)
                     common.discard(self.spark, [f"{self.path}/{r}"])
