@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -152,30 +153,68 @@ def tokenizer_dir() -> str:
     return os.path.dirname(public_tokenizers.path("README.md"))
 
 
-# Text hashing with numpy: polynomial prefix sums modulo 2**64 give the hash of any slice in constant time.
+# Text hashing with numpy: polynomial prefix sums modulo the prime 2**61 - 1 give the hash of any slice in constant time. Two different
+# slices of n values agree for at most n of the 2**61 bases, whatever their structure; modulo a power of two that isn't so.
 
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x12D5_93C1_7A6E_4B0F % ((1 << 61) - 1)
 MULT = np.uint64(0x9E3779B97F4A7C15)
-MULT_2 = np.uint64(0xD1342543DE82EF95)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOW_31, _LOW_30, _LOW_29 = (np.uint64((1 << n) - 1) for n in (31, 30, 29))
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(mult: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``mult`` and of its inverse modulo 2**64, at least n + 1 of each."""
-    have = _POWERS.get(int(mult))
-    if have is None or len(have[0]) <= n:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, of any 64-bit values."""
+    out = x >> np.uint64(61)
+    out += x & PRIME
+    out -= (out >= PRIME) * PRIME
+    return out
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, from halves of 31 and 30 bits; in blocks that fit the processor's cache."""
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), 1 << 14):
+        some = slice(at, at + (1 << 14))
+        a1, a0 = a[some] >> np.uint64(31), a[some] & _LOW_31
+        if b.dtype == np.uint8:
+            small = b[some].astype(np.uint64)
+            a1 *= small
+            a0 *= small
+            middle, product = a1, a0
+        else:
+            b1, b0 = b[some] >> np.uint64(31), b[some] & _LOW_31
+            middle = a1 * b0
+            a1 *= b1
+            a1 <<= np.uint64(1)
+            b1 *= a0
+            middle += b1
+            a0 *= b0
+            a0 += a1
+            product = a0
+        product += middle >> np.uint64(30)
+        middle &= _LOW_30
+        middle <<= np.uint64(31)
+        product += middle
+        out[some] = _reduced(product)
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, at least n + 1 of each."""
+    if not _POWERS or len(_POWERS[0]) <= n:
         size = 1 << max(16, int(n + 1).bit_length())
-        inverse = np.uint64(pow(int(mult), -1, 1 << 64))
-        both = []
-        for base in (mult, inverse):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        have = _POWERS[int(mult)] = (both[0], both[1])
-    return have
+        _POWERS.clear()
+        for base in (BASE, pow(BASE, -1, int(PRIME))):
+            have = np.array([1], np.uint64)
+            while len(have) < size:  # doubling
+                have = np.concatenate([have, times(have, np.full(len(have), pow(base, len(have), int(PRIME)), np.uint64))])
+            _POWERS.append(have)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finalise 64-bit values so that all bits depend on all bits."""
+    """Finalise 64-bit values so that all bits depend on all bits; no two values become one."""
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x7FB5D329728EA185)
     x ^= x >> np.uint64(27)
@@ -184,19 +223,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray, mult: np.uint64 = MULT) -> np.ndarray:
-    """Sums of value times power up to each position (one longer than ``values``)."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of value times power up to each position (one longer than ``values``), modulo PRIME."""
+    terms = times(_powers(len(values))[0][: len(values)], values if values.dtype == np.uint8 else _reduced(values.astype(np.uint64)))
+    high, low = np.cumsum(terms >> np.uint64(32)), np.cumsum(terms & np.uint64(0xFFFFFFFF))
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values.astype(np.uint64) * _powers(mult, len(values))[0][: len(values)], out=out[1:])
+    out[1:] = _reduced(_reduced(low) + (high >> np.uint64(29)) + ((high & _LOW_29) << np.uint64(32)))
     return out
 
 
-def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, mult: np.uint64 = MULT) -> np.ndarray:
+def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the slices [start, end) of the values behind ``sums``; the length is part of the hash."""
-    raw = (sums[end] - sums[start]) * _powers(mult, len(sums))[1][start]
+    raw = times(_reduced(sums[end] + (PRIME - sums[start])), _powers(len(sums))[1][start])
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+#: Words of more bytes than this are hashed by a cryptographic digest.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [begin, end) of ``data``: different for different words of one length up to 8 bytes; up to
+    LONG_WORD bytes chained in steps of 8, longer ones by a digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.data, strides=(1,))  # the 8 bytes from each position on
+    size = end - begin
+    out = size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    short = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(short):
+        left = size[short] - at
+        chunk = eights[begin[short] + at]
+        cut = (np.maximum(8 - left, 0) * 8).astype(np.uint64)
+        chunk = np.where(left >= 8, chunk, (chunk << cut) >> cut)
+        out[short] = mix((out[short] ^ chunk) + MULT)
+        at += 8
+        short = short[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column (null: empty) as one array, and the n + 1 offsets of its rows."""
     array = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

@@ -1,8 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A document is the multiset of its paragraphs (lines; an empty text has none). Each paragraph is hashed to a wide vector and
-the fingerprint is their sum, lane by lane, modulo a power of two: ``EQUAL_LANES`` lanes modulo 2**64 from the whole
-paragraph, and ``LIKE_LANES`` lanes modulo 2**32 that add up +1 or -1 for each of the paragraph's runs of ``RUN`` words.
+the fingerprint is their sum, lane by lane, modulo a power of two: ``EQUAL_LANES`` lanes modulo 2**64, the
+512 bits of a cryptographic digest of the whole paragraph, and ``LIKE_LANES`` lanes modulo 2**32 that add up +1 or -1 for each of the paragraph's runs of ``RUN`` words.
 So the order of paragraphs doesn't matter, and paragraphs are put into a stored fingerprint or taken out of it (``inserted``,
 ``deleted``) by adding or subtracting their vectors, without the document's text.
 The first lanes decide equality; the inner product of the others estimates how much two documents share.
@@ -27,9 +27,6 @@ EQUAL_LANES = 8
 LIKE_LANES = 256
 RUN = 3
 
-_LANE = common.mix(np.arange(1, EQUAL_LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The two parts of each text's fingerprint: (rows, EQUAL_LANES) uint64 and (rows, LIKE_LANES) int32."""
     data, offsets = common.text_bytes(texts)
@@ -45,10 +42,11 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = np.zeros(len(starts), dtype=bool)
     same[:-1] = rows[1:] == rows[:-1]
     ends[~same] = offsets[1:][rows[~same]]
-    sums = common.prefix_sums(data)
     equal = np.zeros((n, EQUAL_LANES), dtype=np.uint64)
     if len(starts):
-        wide = common.mix(common.slice_hash(sums, starts, ends)[:, None] ^ _LANE)
+        whole = data.tobytes()
+        digests = b"".join(hashlib.blake2b(whole[a:b], digest_size=8 * EQUAL_LANES).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+        wide = np.frombuffer(digests, "<u8").reshape(-1, EQUAL_LANES)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         equal[rows[first]] = np.add.reduceat(wide, first, axis=0)
     like = np.zeros((n, LIKE_LANES), dtype=np.int32)
@@ -60,7 +58,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         left = (np.cumsum(count)[home] - np.arange(len(home)))  # words from this one to the paragraph's end
         is_run = (left >= RUN) | ((count[home] < RUN) & (left == count[home]))
         at = np.flatnonzero(is_run)
-        words = common.slice_hash(sums, begin, end)
+        words = common.word_hashes(data, begin, end)
         h = words[at].copy()
         for k in range(1, RUN):
             more = left[at] > k

@@ -13,9 +13,9 @@ A set is a document's distinct ``SHINGLE``-word shingles (with fewer words, the
   the parities of their shingles' counts by hash; as many as differ is a lower bound of the sets' difference, and pairs
   whose bound is too large to link aren't candidates.
 
-Null and empty texts have the empty set, which links with nothing. Repeated rows are equal sets; rows of one id and
-different texts share that id's component only if their sets are linked. Rows with a null id come out with a null component.
-An empty table gives no rows; extra columns are ignored.
+Null and empty texts have the empty set, which links with nothing. Vertices are pairs of id and text: rows of one id, or of none, and
+different texts are different vertices, and share a component only if their sets are linked. A component is named by the least id of
+its rows, and by null if none has one. An empty table gives no rows; extra columns are ignored.
 
 ``join`` gives components only. ``all_links`` gives every link, of classes of equal sets, without zones or any other short cut.
 """
@@ -49,6 +49,8 @@ DENSE = 4096
 FREQUENT, FREQUENT_MOST = 32, 1 << 20
 #: Rounds of counting; shingles that come to a front later still stay uncounted, their sets carry parities.
 ROUNDS = 2
+#: Ids that several rows share, and their texts, are broadcast up to so many.
+SHARED_IDS = 100_000
 #: Bits of a set's parities, by which sets that meet at frequent or uncounted shingles are told apart.
 PARITIES = 512
 
@@ -60,7 +62,7 @@ def sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles, ascending, and the n + 1 offsets of the texts."""
     data, offsets = common.text_bytes(texts)
     begin, end, first = common.word_spans(data, offsets)
-    words = common.slice_hash(common.prefix_sums(_LOWER[data]), begin, end)
+    words = common.word_hashes(_LOWER[data], begin, end)
     many = np.diff(first)
     count = np.where(many > 0, np.maximum(many - size + 1, 1), 0)
     row = np.repeat(np.arange(len(many)), count)
@@ -446,8 +448,64 @@ def _leaders(placed: DataFrame, before: Column) -> DataFrame:
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    keyed = repeats.keyed(docs)
+    rows, shared_ids = numbered(docs.select("doc_id", "text"))
+    parts = _components(rows.select(F.col("_v").alias("doc"), "text"), size, percent)
+    if shared_ids is None:
+        own = lambda c: F.when(F.col(c) != repeats.NO_ID, F.col(c))
+        return parts.select(own("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own("component").alias("component_id"))
+    id_of = shared_ids.select(F.col("_v").alias("doc"), F.col("doc_id").alias("own"), F.lit(True).alias("shared"))
+    known = parts.join(id_of, "doc", "left").select("doc", "n", "component", F.when(F.col("shared"), F.col("own")).otherwise(F.col("doc")).alias("doc_id"))
+    known = common.stored(known)
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each component: one of the least id (nulls last); of equal ids and texts any."""
+    rows, shared_ids = numbered(docs)
+    parts = common.stored(_components(rows.select(F.col("_v").alias("doc"), "text"), size, percent))
+    if shared_ids is None:
+        return rows.join(parts.where("doc = component").select(F.col("doc").alias("_v")), "_v", "left_semi").drop("_v")
+    id_of = shared_ids.select(F.col("_v").alias("doc"), F.col("doc_id").alias("own"), F.lit(True).alias("shared"))
+    known = parts.select("doc", "component").join(id_of, "doc", "left").withColumn("id", F.when(F.col("shared"), F.col("own")).otherwise(F.col("doc")))
+    first = common.stored(known.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first")).select(F.col("first.doc").alias("_v")))
+    kept = rows.join(first, "_v", "left_semi")
+    again = shared_ids.where("many > 1").select("_v")
+    once = kept.join(again, "_v", "left_semi").dropDuplicates(["_v"])
+    return kept.join(again, "_v", "left_anti").unionByName(once).drop("_v")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with the vertex ``_v`` of each row, and (_v, doc_id, many) of the vertices whose id several rows share.
+
+    A row's id is its vertex where no other row has it (a single null: the least long). Of shared ids each different text, by a
+    cryptographic digest, gets a number that is no row's id.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID))
+    keyed = docs.withColumn("_v", doc)
+    several = keyed.groupBy("_v").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("_v")
+    several = common.stored(several)
+    some = several.count()
+    if not some:
+        return keyed, None
+    small = several if some > SHARED_IDS else F.broadcast(several)
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
+    told = keyed.join(small, "_v", "left_semi").withColumn("_digest", digest)
+    ends = keyed.where(F.col("_v") != repeats.NO_ID).agg(F.min("_v"), F.max("_v")).head()
+    low, high = (0, 0) if ends[0] is None else ends
+    texts = told.groupBy("_v", "_digest").agg(F.count(F.lit(1)).alias("many")).withColumn("_number", F.monotonically_increasing_id())
+    room = (1 << 63) - 1 - high > low + (1 << 63)  # numbers go where there is more room: after all ids, or before them
+    number = F.lit(high) + 1 + F.col("_number") if room else F.lit(low) - 1 - F.col("_number")
+    names = common.stored(texts.select("_v", "_digest", "many", number.alias("_new")))
+    pairs = names.select("_v", "_digest", "_new")
+    own = told.join(F.broadcast(pairs) if names.count() <= SHARED_IDS else pairs, ["_v", "_digest"]).drop("_v", "_digest").withColumnRenamed("_new", "_v")
+    rows = keyed.join(small, "_v", "left_anti").unionByName(own)
+    return rows, names.select(F.col("_new").alias("_v"), F.when(F.col("_v") != repeats.NO_ID, F.col("_v")).alias("doc_id"), "many")
+
+
+def _components(keyed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n, component) of each row of ``keyed(doc, text)``; rows of one ``doc`` have one text."""
+    spark = keyed.sparkSession
     common.small_batches(spark)
     done: list[str] = []  # steps that nothing reads once the links are known
     profile = common.stored(profiles(keyed, size), done)
@@ -478,10 +536,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     common.discard(spark, done)
 
     parts = components(within.unionByName(across).unionByName(with_zones))
-    joined = classes.join(parts, "v", "left")
-    doc = F.when(F.col("doc") != repeats.NO_ID, F.col("doc"))
-    component = F.coalesce("component", "v")
-    return joined.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != repeats.NO_ID, component).alias("component_id"))
+    return classes.join(parts, "v", "left").select("doc", "n", F.coalesce("component", "v").alias("component"))
 
 
 def all_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -55,7 +55,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     if len(begin):
         odd_end = np.bincount(row, _ODD[data[end - 1]], n)
         lone = np.bincount(row, (end - begin == 1) & _ODD[data[begin]], n)
-        hashes = common.slice_hash(common.prefix_sums(data), begin, end) >> np.uint64(24)
+        hashes = common.word_hashes(data, begin, end) >> np.uint64(24)
         tagged = np.sort((row.astype(np.uint64) << np.uint64(40)) | hashes)
         fresh = np.concatenate([[True], tagged[1:] != tagged[:-1]])
         distinct = np.bincount((tagged[fresh] >> np.uint64(40)).astype(np.int64), minlength=n) / np.maximum(words, 1)

@@ -8,8 +8,9 @@ Shared by the substring and the suffix-array dedup. A token is a byte or a word;
   sorted externally by Spark, and each reducer walks its sorted tuples once: units with the same cover repeat as a whole,
   and all but the first are removed. Firsts of different covers under one gram may still share some windows; only these
   are opened, and their windows compared one by one.
-* Hashes are 64 bits; covers and windows are told apart by the gram's hash and their own, 128 bits together. Copies found within an
-  Arrow batch are compared token by token; ``verified`` compares the others by cryptographic digests of all their tokens.
+* Hashes are polynomial, modulo the prime 2**61 - 1; covers and windows are told apart by the gram's hash and their own. Copies
+  found within an Arrow batch are compared byte by byte, and opened windows token by token; ``verified`` compares the other copies by
+  cryptographic digests of all their bytes. Words are told apart in windows by 64-bit hashes, which differ for words of one length up to 8 bytes.
 """
 
 from __future__ import annotations
@@ -34,29 +35,32 @@ HOT_COVERS = 20_000
 
 
 class Tokens:
-    """A batch of documents as tokens: values for hashing, and the n + 1 offsets of the documents."""
+    """A batch of documents as tokens: values for hashing, the n + 1 offsets of the documents, and the tokens' bytes: those of
+    tokens [a, b) are raw[at[a]:at[b]]."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray):
-        self.values, self.offsets = values, offsets
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, raw: np.ndarray, at: np.ndarray):
+        self.values, self.offsets, self.raw, self.at = values, offsets, raw, at
 
 
 def as_bytes(texts: pa.Array) -> Tokens:
-    return Tokens(*common.text_bytes(texts))
+    data, offsets = common.text_bytes(texts)
+    return Tokens(data, offsets, data, np.arange(len(data) + 1))
 
 
 def as_words(texts: pa.Array) -> Tokens:
     data, offsets = common.text_bytes(texts)
     begin, end, first = common.word_spans(data, offsets)
-    return Tokens(common.slice_hash(common.prefix_sums(data), begin, end), first)
+    size = end - begin + 1  # each word with one space after it
+    raw = np.concatenate([data, np.full(1, 32, np.uint8)])[segments_of(begin, size)]
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    raw[at[1:] - 1] = 32
+    return Tokens(common.word_hashes(data, begin, end), first, raw, at)
 
 
 def run_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` tokens from each position on."""
-    if len(sums) <= size:
-        return np.zeros(0, np.uint64)
-    raw = sums[size:] - sums[:-size]
-    raw *= common._powers(common.MULT, len(sums))[1][: len(raw)]
-    return common.mix(raw + np.uint64(size * 0xA0761D6478BD642F % (1 << 64)))
+    start = np.arange(max(len(sums) - size, 0))
+    return common.slice_hash(sums, start, start + size)
 
 
 def least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
@@ -97,7 +101,7 @@ def _units(tokens: Tokens, at: int, stop: int, length: int, gram: int) -> tuple[
 
 
 def sampled(docs: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int, gram: int) -> DataFrame:
-    """UNIT rows of all documents. Units of one Arrow batch that are equal, token by token, go on as copies, under scattered keys, so
+    """UNIT rows of all documents. Units of one Arrow batch that are equal, byte by byte, go on as copies, under scattered keys, so
     that a text with many copies doesn't fill one reducer."""
     common.small_batches(docs.sparkSession)
 
@@ -113,11 +117,13 @@ def sampled(docs: DataFrame, tokens: Callable[[pa.Array], Tokens], length: int,
         lead = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
         copy &= (doc != doc[lead]) | (lo != lo[lead])  # a repeated row is no earlier document
         begin, hit = own.offsets[row[order]] + lo, np.flatnonzero(copy)
-        size = count[hit] - 1 + length
-        for some in np.array_split(np.arange(len(hit)), max(1, int(size.sum()) // CHUNK)):
-            steps = segments_of(begin[hit[some]], size[some])
-            differ = own.values[steps] != own.values[segments_of(begin[lead[hit[some]]], size[some])]
-            copy[hit[some][np.unique(np.repeat(np.arange(len(some)), size[some])[differ])]] = False
+        ends = begin + count - 1 + length
+        first, size = own.at[begin], own.at[ends] - own.at[begin]
+        copy[hit[size[hit] != size[lead[hit]]]] = False
+        hit = np.flatnonzero(copy)
+        for some in np.array_split(hit, max(1, int(size[hit].sum()) // (8 * CHUNK))):
+            differ = own.raw[segments_of(first[some], size[some])] != own.raw[segments_of(first[lead[some]], size[some])]
+            copy[some[np.unique(np.repeat(np.arange(len(some)), size[some])[differ])]] = False
         grams = np.where(copy, common.mix(cover + lo.astype(np.uint64) + doc.astype(np.uint64) * common.MULT), grams)
         return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(count.astype(np.int32)), pa.array(copy)], ["gram", "cover", "doc", "lo", "n", "copy"])
 
@@ -217,8 +223,10 @@ def contents(docs: DataFrame, opened: DataFrame, spans: DataFrame | None, tokens
             size = n.astype(np.int64) - 1 + length
             doc = np.asarray(batch.column("doc"))[row]
             for some in np.array_split(np.arange(len(row)), max(1, int(size.sum()) // (4 * CHUNK))):
-                parts = [own.values[a : a + k].tobytes() for a, k in zip(begin[some].tolist(), size[some].tolist(), strict=True)]
-                parts = [p if w else hashlib.blake2b(p, digest_size=16).digest() for p, w in zip(parts, whole[some].tolist(), strict=True)]
+                parts = [
+                    own.values[a : a + k].tobytes() if w else hashlib.blake2b(own.raw[own.at[a] : own.at[a + k]].tobytes(), digest_size=16).digest()
+                    for a, k, w in zip(begin[some].tolist(), size[some].tolist(), whole[some].tolist(), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(whole[some]), pa.array(gram[some]), pa.array(doc[some]), pa.array(lo[some]), pa.array(n[some]), pa.array(parts, pa.binary())], ["whole", "gram", "doc", "lo", "n", "content"])
 
     return docs.join(wanted, "doc").mapInArrow(run, "whole boolean, gram long, doc long, lo long, n int, content binary")
@@ -249,7 +257,7 @@ def windows_of(held: DataFrame, opened: DataFrame, length: int, wide: int) -> Da
 
 
 def _window_hashes(batch: pa.RecordBatch, length: int, wide: int) -> tuple[np.ndarray, ...]:
-    """(hash, row of the batch, offset in the unit) of each window of the batch's units."""
+    """(hash, row of the batch, offset in the unit) of each window of the batch's units, then their tokens' values and where each window starts."""
     column = batch.column("content")
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
@@ -259,7 +267,7 @@ def _window_hashes(batch: pa.RecordBatch, length: int, wide: int) -> tuple[np.nd
     row = np.repeat(np.arange(len(sizes)), sizes)
     offset = common.segments(sizes)
     start = ends[:-1][row] + offset
-    return common.slice_hash(common.prefix_sums(values), start, start + length), row, offset
+    return common.slice_hash(common.prefix_sums(values), start, start + length), row, offset, values, start
 
 
 def _compared(units_of: DataFrame, length: int, wide: int) -> DataFrame:
@@ -268,7 +276,7 @@ def _compared(units_of: DataFrame, length: int, wide: int) -> DataFrame:
     dealt = units_of.repartition(common.partitions(spark), "gram").sortWithinPartitions("gram", "doc", "lo")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, row, offset = _window_hashes(batch, length, wide)
+        hashes, row, offset, values, start = _window_hashes(batch, length, wide)
         gram, doc, lo = (np.asarray(batch.column(c)) for c in ("gram", "doc", "lo"))
         keys = common.mix(hashes ^ gram.view(np.uint64)[row])
         order = np.argsort(keys, kind="stable")
@@ -279,6 +287,9 @@ def _compared(units_of: DataFrame, length: int, wide: int) -> DataFrame:
         first = order[lead]
         place = lo[row] + offset
         again[order] = (doc[row[order]] != doc[row[first]]) | (place[order] != place[first])
+        hit = np.flatnonzero(again[order])  # equal hashes are not enough
+        for k in range(length):
+            again[order[hit[values[start[order[hit]] + k] != values[start[first[hit]] + k]]]] = False
         return _runs(again, row, doc, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +329,7 @@ def _compared_by_shuffle(units_of: DataFrame, length: int, wide: int) -> DataFra
     """The same for grams with very many covers: a row for each window, and the first of each by aggregation."""
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, row, offset = _window_hashes(batch, length, wide)
+        hashes, row, offset, _, _ = _window_hashes(batch, length, wide)
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("gram"))[row]), pa.array(hashes.view(np.int64)), pa.array(np.asarray(batch.column("doc"))[row]), pa.array(np.asarray(batch.column("lo"))[row] + offset)], ["gram", "hash", "doc", "lo"])
 
     windows = common.stored(common.map_batches(units_of, spread, "gram long, hash long, doc long, lo long"))

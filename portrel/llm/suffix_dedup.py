@@ -4,7 +4,10 @@ The external induced sorting that was asked for is not here: no suffix types, no
 common-prefix values, no recursion and no lexicographic order. It is replaced by sampled window fingerprints (``repeats``), as
 in the substring dedup: the anchors of windows, with (hash of the anchor's gram, hash of all that its windows cover, document,
 place) as tuples, are sorted by Spark by hash; equal neighbours share their whole cover, and neighbours that agree in the gram
-and not in the cover are compared window by window. The removed bytes are exact.
+and not in the cover are compared window by window, byte by byte. Copies within an Arrow batch are compared byte by byte too; copies
+in other batches are taken by two hashes modulo 2**61 - 1, of the gram and of the whole cover, without a look at their bytes: digests
+of all of them, which the substring dedup compares, would take more disk than is allowed here. Two different covers of n bytes and one
+gram agree by chance with a probability of n / 2**61.
 
 Texts are UTF-8 bytes; a null text is empty, and matches don't cross documents. Earlier: a smaller ``doc_id`` (null: least),
 or an earlier start in the same document. Rows of one id and text are one document; what is repeated in one row of an id is

@@ -308,6 +308,9 @@ def test_pipeline_keeps_rows_without_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     near = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in near.collect()) == [(False, i) for i in range(8)] + [(True, 0)] * 2
+    families = [(5, text(30), "en", "s", 0), (5, text(31), "en", "s", 0), (3, text(30) + " more", "en", "s", 0), (8, text(31) + " more", "en", "s", 0)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(families, docs.schema), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted([(3, text(30) + " more"), (5, text(31))])
     mixed = corpus_pipeline.mix_sources(spark, near, "")
     assert {r["text"] for r in mixed.where("doc_id is null").collect()} == {text(20), text(21)}
     assert mixed.columns == docs.columns
