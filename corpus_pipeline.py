@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
-Nulls and empty tables: as in each operator; rows without an id can't be told apart by it and none of them goes as a near duplicate
-of another. Of repeated rows one passes the near-duplicate stage. No stage can be stated in SQL as a whole (a learned model,
+Nulls and empty tables: as in each operator. Near duplicates are told by rows, not by ids: of rows that share an id, or have none, one
+goes only if a row with a like text stays. No stage can be stated in SQL as a whole (a learned model,
 hashed sampling keys, a tokenizer), so ``ORACLE_SQL`` is None and the stages are tested against plain versions.
 """
 
@@ -23,21 +23,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _row_key() -> Column:
-    """One number for a row's id, source and text: equal for repeated rows only, and never null."""
-    return F.xxhash64("doc_id", "source", "text")
+    """128 bits for a row's id, source and text: equal for repeated rows only, and never null."""
+    parts = ["doc_id", "source", "text", F.isnull("source"), F.isnull("text")]  # a hash passes over nulls
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("b"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the least id stays, once if its row is repeated."""
-    joined = jaccard.join(docs)
-    first = common.stored(joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    keyed = docs.select(*COLUMNS, _row_key().alias("_key"))
-    kept = keyed.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    again = common.stored(keyed.where("doc_id is not null").groupBy("_key").count().where(F.col("count") > 1).select("_key"))
-    if not again.limit(1).count():
-        return kept.select(*COLUMNS)
-    repeated = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.join(again, "_key", "left_anti").unionByName(repeated).select(*COLUMNS)
+    """Of each component of the n-gram Jaccard join one document with the least id stays."""
+    return jaccard.representatives(docs.select(*COLUMNS))
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
