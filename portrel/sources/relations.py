@@ -94,9 +94,52 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("doc_id").alias("image"), F.col("source").alias("reviewer"), (F.col("quality") == 1).alias("agrees"), F.when(F.col("toxic") == 1, F.col("lang")).alias("override"))
 
 
+#: Tiles of a made image on each side: 64 lines of 96 pixels.
+TILES_HIGH, TILES_WIDE = 8, 12
+
+
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, y, height, v, w, u): lines of images of several tiles each; ``w`` and ``u`` are the tiles turned and halved. Rows of tiles that aren't
+    full are left out, so the last image is lower."""
+    e = table(spark, sf_dir, "embeddings")
+    many = TILES_HIGH * TILES_WIDE
+    at = F.col("vec_id") % many
+    tile = F.col("embedding").cast("array<double>")
+    placed = e.select(F.floor(F.col("vec_id") / many).alias("image_id"), F.floor(at / TILES_WIDE).cast("int").alias("ty"), (at % TILES_WIDE).alias("tx"), tile.alias("v"), F.reverse(tile).alias("w"), F.concat(F.slice(tile, 33, 32), F.slice(tile, 1, 32)).alias("u"))
+    rows = placed.groupBy("image_id", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "v", "w", "u"))).alias("t")).where(F.size("t") == TILES_WIDE)
+    rows = rows.withColumn("height", ((F.max("ty").over(W.partitionBy("image_id")) + 1) * 8).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    line = lambda c: F.flatten(F.transform("t", lambda t: F.slice(t[c], F.col("k") * 8 + 1, 8))).alias(c)
+    return rows.select("image_id", (F.col("ty") * 8 + F.col("k")).alias("y"), "height", line("v"), line("w"), line("u"))
+
+
+def photos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (image_id, y, height, r, g, b) of a garment between two edges, with noise from the tables, and of a changed version of each."""
+
+    def edge(center: float):  # noqa: ANN202
+        return lambda x: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), 6 * (F.abs(x - center) - 20 - F.col("y") / 16)))
+
+    def shot(center: float, base: float, gain: float, red: str, green: str, blue: str, depth: float) -> DataFrame:
+        o = edge(center)
+        channels = [F.transform(red, lambda v, x: base + o(x) / 2 + gain * v).alias("r"), F.transform(green, lambda v, x: 110 - o(x) / 2 + gain * v).alias("g"), F.transform(blue, lambda v, x: 100 + depth * v + x % 12 * 3).alias("b")]
+        return m.select("image_id", "y", "height", *channels)
+
+    m = mosaics(spark, sf_dir)
+    return shot(47.6, 110.0, 8.0, "v", "w", "u", 30.0), shot(47.9, 111.0, 10.0, "u", "v", "w", 28.0)
+
+
+def necklines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, first_row, last_row, center): where each photo's edges are looked for; every fourth is too short, one in seven off the centre."""
+    i = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / (TILES_HIGH * TILES_WIDE)).alias("image_id")).distinct()
+    first = 12 + F.col("image_id") % 3
+    return i.select("image_id", first.cast("int").alias("first_row"), F.when(F.col("image_id") % 4 == 3, first + 6).otherwise(51).cast("int").alias("last_row"), F.when(F.col("image_id") % 7 == 2, 2).otherwise(48).alias("center"))
+
+
 #: The same relations for DuckDB, as common table expressions.
 SQL = {
     "blocks8": "blocks8 AS (SELECT vec_id, label, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i))",
+    "mosaics": "mosaics AS MATERIALIZED (SELECT image_id, CAST(ty * 8 + i // 8 AS INTEGER) AS y, CAST(tx * 8 + i % 8 AS INTEGER) AS x, CAST((max(ty) OVER (PARTITION BY image_id) + 1) * 8 AS INTEGER) AS height, CAST(e[i + 1] AS DOUBLE) AS v, CAST(e[64 - i] AS DOUBLE) AS w, CAST(e[(i + 32) % 64 + 1] AS DOUBLE) AS u FROM (SELECT vec_id // 96 AS image_id, vec_id % 96 // 12 AS ty, vec_id % 12 AS tx, embedding AS e, count(*) OVER (PARTITION BY vec_id // 12) AS n FROM embeddings) t, range(64) r(i) WHERE n = 12)",
+    "photos": "photos AS MATERIALIZED (SELECT image_id, y, x, height, 110 + o / 2 + 8 * v AS r, 110 - o / 2 + 8 * w AS g, 100 + 30 * u + x % 12 * 3 AS b, 111 + p / 2 + 10 * u AS cr, 110 - p / 2 + 10 * v AS cg, 100 + 28 * w + x % 12 * 3 AS cb FROM (SELECT *, greatest(-30e0, least(30e0, 6 * (abs(x - 47.6e0) - 20 - y / 16e0))) AS o, greatest(-30e0, least(30e0, 6 * (abs(x - 47.9e0) - 20 - y / 16e0))) AS p FROM mosaics))",
+    "necklines": "necklines AS (SELECT image_id, CAST(12 + image_id % 3 AS INTEGER) AS first_row, CAST(CASE WHEN image_id % 4 = 3 THEN 18 + image_id % 3 ELSE 51 END AS INTEGER) AS last_row, CASE WHEN image_id % 7 = 2 THEN 2 ELSE 48 END AS center FROM (SELECT DISTINCT vec_id // 96 AS image_id FROM embeddings))",
     "landmarks": "landmarks AS (SELECT vec_id, CAST(k AS INTEGER) AS idx, 240 + 200 * CAST(embedding[2 * k + 1] AS DOUBLE) AS x, 320 + 200 * CAST(embedding[2 * k + 2] AS DOUBLE) AS y FROM embeddings, range(32) t(k))",
     "lines": "lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS k FROM lineitem)",
     "boxes": "boxes AS (SELECT l_orderkey AS image_id, k AS det_id, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y, CAST(40 + l_partkey % 23 AS DOUBLE) AS w, CAST(40 + l_suppkey % 19 AS DOUBLE) AS h, CAST((7919 * l_partkey + 104729 * l_suppkey + 31 * k) % 1000 AS DOUBLE) / 1000 AS conf FROM lines)",
