@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from portrel.plans import checks, details, faces, frontiers, images, more, photos, portraits, records, tiles  # noqa: F401  importing registers
+from portrel.plans import checks, colours, details, faces, frontiers, images, more, photos, portraits, records, tiles  # noqa: F401  importing registers
 from portrel.plans.registry import ORACLES, QUERIES, Plan
 
 

@@ -57,7 +57,7 @@ def grouped(image: DataFrame, keys: Sequence[str], channels: Sequence[str], firs
 
 def mapped(strips: DataFrame, keys: Sequence[str], out: Sequence[str], step: Step, height: Callable[[int], int] = lambda h: h) -> DataFrame:
     """Lines (keys, y, height, out) of what ``step(row, ys, block)`` makes of each strip: its first line's number and an array (lines,
-    width) for each name. ``block`` has the given lines ``ys`` of each channel, ``row`` the keys, strip and height."""
+    width) for each name. ``block`` has the given lines ``ys`` of each channel, without those of a number below zero; ``row`` the keys, strip and height."""
     schema = strips.select(*keys).schema
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + ["y int, height int"] + [f"`{n}` array<double>" for n in out])
 
@@ -66,11 +66,13 @@ def mapped(strips: DataFrame, keys: Sequence[str], out: Sequence[str], step: Ste
             held = batch.column("block")
             ends = np.asarray(held.offsets)
             fields = held.type.value_type
-            about = batch.select([*keys, "strip", "height"]).to_pylist()
+            about = batch.select(list(dict.fromkeys([*keys, "strip", "height"]))).to_pylist()
             for i, row in enumerate(about):
                 some = held.values.slice(ends[i], ends[i + 1] - ends[i])
                 ys = np.asarray(some.field(0))
-                block = {fields[k].name: np.asarray(some.field(k).flatten(), np.float64).reshape(len(ys), -1) for k in range(1, fields.num_fields)}
+                if len(ys) and ys[0] < 0:  # a mark that the strip is there, without values
+                    ys = ys[1:]
+                block = {fields[k].name: np.asarray(some.field(k).flatten(), np.float64).reshape(len(ys), -1 if len(ys) else 0) for k in range(1, fields.num_fields)}
                 begin, found = step(row, ys, block)
                 many = len(found[out[0]])
                 if not many:

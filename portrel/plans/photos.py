@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrel.operators import contours, strips
+from portrel.operators import contours, influence, raster, resample, strips
 from portrel.plans.registry import query, r6
 from portrel.sources import relations as rel
 
@@ -158,3 +158,71 @@ def contour_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, candidate = rel.photos(spark, sf_dir)
     m = contours.measured(source, candidate, rel.necklines(spark, sf_dir), KEY)
     return m.select("image_id", "error", *[r6(c).alias(c) if c.endswith(("_rms", "_p95")) else c for c in m.columns if c not in ("image_id", "error")])
+
+
+#: Output size and map of the two renderings: a reduced one, and one that is turned by thirty degrees and enlarged.
+_REDUCED = (20, 30, 3.2, 0.0, 0.0, 3.1, 0.4, 1.2)
+_TURNED = (28, 36, 1.2990381, 0.75, -0.5, 0.8660254, 20.5, 4.25)
+
+
+def _pick(i: int) -> str:
+    return f"CASE WHEN image_id % 2 = 0 THEN {_REDUCED[i]!r} ELSE {_TURNED[i]!r} END" if i < 2 else f"CASE WHEN image_id % 2 = 0 THEN {_REDUCED[i]!r}e0 ELSE {_TURNED[i]!r}e0 END"
+
+
+_sinc = lambda t: f"CASE WHEN abs({t}) >= 3 THEN 0 WHEN abs({t}) < 1e-12 THEN 1 ELSE sin(pi() * ({t})) / (pi() * ({t})) * sin(pi() * ({t}) / 3) / (pi() * ({t}) / 3) END"
+
+
+@query(f"""WITH im AS (SELECT image_id, max(height) AS height, {", ".join(f"{_pick(i)} AS p{i}" for i in range(8))} FROM mosaics GROUP BY image_id),
+c AS (SELECT *, p2 * ox + p4 * oy + p6 AS sx, p3 * ox + p5 * oy + p7 AS sy, greatest(1, sqrt(p2 * p2 + p4 * p4)) AS kx, greatest(1, sqrt(p3 * p3 + p5 * p5)) AS ky FROM im, range(28) a(oy), range(36) b(ox) WHERE oy < p0 AND ox < p1),
+w AS (SELECT c.image_id, oy, ox, v, {_sinc('(m.x - sx) / kx')} * {_sinc('(m.y - sy) / ky')} AS w FROM c JOIN mosaics m ON m.image_id = c.image_id AND m.y BETWEEN sy - 3 * ky AND sy + 3 * ky AND m.x BETWEEN sx - 3 * kx AND sx + 3 * kx WHERE sx BETWEEN 0 AND {WIDTH - 1} AND sy BETWEEN 0 AND c.height - 1),
+s AS (SELECT image_id, oy, ox, sum(v * w) / sum(w) AS v FROM w GROUP BY image_id, oy, ox)
+SELECT c.image_id, CAST(c.oy AS INTEGER) AS y, round(sum(coalesce(v, 0) * (c.ox + 1)), 6) + 0.0 AS v FROM c LEFT JOIN s ON s.image_id = c.image_id AND s.oy = c.oy AND s.ox = c.ox GROUP BY c.image_id, c.oy""")
+def photo_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanczos renderings, reduced or turned: windows of three pixels, wider where the image shrinks; each line summed by place."""
+    m = rel.mosaics(spark, sf_dir)
+    choose = lambda i: F.when(F.col("image_id") % 2 == 0, F.lit(_REDUCED[i])).otherwise(F.lit(_TURNED[i]))
+    plans = m.where("y = 0").select("image_id", *[choose(i).alias(n) for i, n in enumerate(("out_height", "out_width", *resample.MAP))])
+    out = resample.rendered(m, plans, KEY, ["v"], 16)
+    return out.select("image_id", "y", r6(F.aggregate(F.transform("v", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)).alias("v"))
+
+
+def _level_sql(name: str, size: str) -> str:
+    """(name: n, high, c, i, v): what each coefficient of one level makes of a line of n, by lifting over neighbours."""
+    steps = [f"{name}0 AS (SELECT n, high, c, i, CASE WHEN i = 2 * c + high THEN 1e0 / CASE WHEN high = 1 THEN {raster.K_HIGH!r} ELSE {raster.K_LOW!r} END ELSE 0e0 END AS v FROM {size}, (VALUES (0), (1)) h(high), range(n) a(i), range(n) b(c) WHERE 2 * c + high < n)"]
+    for k, (factor, odd) in enumerate(((raster.DELTA, 0), (raster.GAMMA, 1), (raster.BETA, 0), (raster.ALPHA, 1)), 1):
+        near = "coalesce(lag(v) OVER w, lead(v) OVER w, 0) + coalesce(lead(v) OVER w, lag(v) OVER w, 0)"
+        steps.append(f"{name}{k if k < 4 else ''} AS {'MATERIALIZED ' if k == 4 else ''}(SELECT n, high, c, i, CASE WHEN i % 2 = {odd} THEN v - {factor!r} * ({near}) ELSE v END AS v FROM {name}{k - 1} WINDOW w AS (PARTITION BY n, high, c ORDER BY i))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH sizes AS (SELECT DISTINCT height AS n FROM mosaics UNION SELECT {WIDTH}), halves AS (SELECT DISTINCT (n + 1) // 2 AS n FROM sizes), {_level_sql('one', 'sizes')}, {_level_sql('half', 'halves')},
+resp AS MATERIALIZED (SELECT n, 1 AS level, high, c, i, v * v AS q FROM one WHERE v <> 0 UNION ALL SELECT a.n, 2, b.high, b.c, a.i, pow(sum(a.v * b.v), 2) FROM one a JOIN half b ON a.high = 0 AND b.n = (a.n + 1) // 2 AND b.i = a.c GROUP BY a.n, b.high, b.c, a.i),
+bands(level, hx, hy) AS (VALUES (1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 0, 1)),
+along AS MATERIALIZED (SELECT m.image_id, m.y, m.height, b.level, b.hx, b.hy, r.c AS x, sum(r.q * CASE WHEN m.v > 0.05 THEN 1 ELSE 0 END) AS p, sum(r.q) AS t FROM mosaics m CROSS JOIN bands b JOIN resp r ON r.n = {WIDTH} AND r.level = b.level AND r.high = b.hx AND r.i = m.x GROUP BY ALL),
+band AS (SELECT a.image_id, a.level, a.hx, a.hy, r.c AS y, a.x, sum(r.q * a.p) AS share, sum(r.q * a.t) AS total FROM along a JOIN resp r ON r.n = a.height AND r.level = a.level AND r.high = a.hy AND r.i = a.y GROUP BY ALL)
+SELECT image_id, level, hx, hy, CAST(y AS INTEGER) AS y, round(sum(total * (x + 1)), 6) + 0.0 AS total, round(sum(share * (x + 1)), 6) + 0.0 AS share FROM band GROUP BY image_id, level, hx, hy, y""")
+def synthesis_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of the coefficients of four bands, and how much of it falls on a masked region; each line of coefficients summed by place."""
+    mask = rel.mosaics(spark, sf_dir).select("image_id", "y", "height", F.transform("v", lambda v: F.when(v > 0.05, 1.0).otherwise(0.0)).alias("m"))
+    weighed = lambda c: r6(F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)).alias(c)
+    out = None
+    for level, hx, hy in ((1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 0, 1)):
+        band = influence.influence(mask, KEY, "m", level, bool(hx), bool(hy), 8)
+        one = band.select("image_id", F.lit(level).alias("level"), F.lit(hx).alias("hx"), F.lit(hy).alias("hy"), "y", weighed("total"), weighed("share"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LEVELS = (0.0, 0.3, 0.5, 0.63, 0.7, 1.0)
+
+
+@query("WITH " + ", ".join(_blur_sql(f"l{i}", "mosaics", {"v": "v"}, 2 * level) for i, level in enumerate(_LEVELS) if level) + " SELECT image_id, level, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v), 6) + 0.0 AS variance FROM (SELECT image_id, 0e0 AS level, v FROM mosaics" + "".join(f" UNION ALL SELECT image_id, {level!r}e0, v FROM l{i}" for i, level in enumerate(_LEVELS) if level) + ") GROUP BY image_id, level")
+def blurred_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image blurred at six levels (sigma is twice the level): mean and variance of its pixels, which falls with the level."""
+    m = rel.mosaics(spark, sf_dir)
+    out = None
+    for level in _LEVELS:
+        b = strips.blurred(m, KEY, {"b": "v"}, 2 * level) if level else m.withColumn("b", F.col("v"))
+        one = b.select("image_id", F.lit(level).alias("level"), F.explode("b").alias("v")).groupBy("image_id", "level").agg(r6(F.avg("v")).alias("mean"), r6(F.var_pop("v")).alias("variance"))
+        out = one if out is None else out.unionByName(one)
+    return out
