@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrel.plans.registry import query
-from portrel.sources import profiles
+from portrel.sources import exchange, profiles
 from portrel.sources import relations as rel
 
 #: Colorants by rows: those of sRGB, and those of a wider space.
@@ -127,3 +127,18 @@ def profile_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = [(F.col("id") * 37) % 256, (F.col("id") * 101) % 256, (F.col("id") * 59 + 13) % 256]
     r, g, b = profiles.converted(*pixel, F.col("matrix"), F.col("curves"))
     return told.select("id", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+_HEX = lambda v, n: f"lpad(hex(CAST({v} AS BIGINT)), {2 * n}, '0')"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, hex(encode(p_name)) AS code, p_size AS h, p_size * 3 AS w, CASE p_partkey % 3 WHEN 0 THEN [8] WHEN 1 THEN [8, 8, 8] ELSE [8, 10, 12] END AS bits FROM part),
+b AS (SELECT id, code, '00000016' || hex(encode('ihdr')) || {_HEX('h', 4)} || {_HEX('w', 4)} || {_HEX('len(bits)', 2)} || CASE WHEN bits[2] = 10 THEN 'FF' ELSE '07' END || '070000' || '0000000F' || hex(encode('colr')) || '010000' || CASE WHEN len(bits) > 1 THEN '00000010' ELSE '00000011' END || CASE WHEN bits[2] = 10 THEN '0000000B' || hex(encode('bpcc')) || '07090B' ELSE '' END AS head FROM p),
+f AS (SELECT id, unhex('0000000C6A5020200D0A870A' || '00000014' || hex(encode('ftypjp2 ')) || '00000000' || hex(encode('jp2 ')) || {_HEX('length(head) // 2 + 8', 4)} || hex(encode('jp2h')) || head || {_HEX('length(code) // 2 + 8', 4)} || hex(encode('jp2c')) || code) AS data FROM b)
+SELECT id, CAST(octet_length(data) AS INTEGER) AS n_bytes, sha256(data) AS sha256 FROM f""")
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files around codestreams (stand-ins: names), of one, three and three unequal components, by their digests."""
+    p, k = rel.table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    bits = F.when(k == 0, F.array(F.lit(8))).when(k == 1, F.array(*[F.lit(8)] * 3)).otherwise(F.array(F.lit(8), F.lit(10), F.lit(12)))
+    data = exchange.container(F.encode("p_name", "UTF-8"), F.col("p_size"), F.col("p_size") * 3, bits)
+    return p.select(F.col("p_partkey").alias("id"), data.alias("data")).select("id", F.length("data").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
