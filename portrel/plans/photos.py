@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portrel.operators import contours, influence, raster, resample, strips
+from portrel.operators import contours, edges, influence, raster, resample, strips
 from portrel.plans.registry import query, r6
 from portrel.sources import relations as rel
 
@@ -226,3 +226,69 @@ def blurred_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = b.select("image_id", F.lit(level).alias("level"), F.explode("b").alias("v")).groupBy("image_id", "level").agg(r6(F.avg("v")).alias("mean"), r6(F.var_pop("v")).alias("variance"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_SMOOTH = raster.gaussian_kernel(1.0)
+
+
+def _stencil_sql(name: str, source: str, column: str, kernel: raster.Kernel, out: str) -> str:
+    rows = ", ".join(f"({dy}, {dx}, {float(w)!r}" + ("" if "e" in repr(float(w)) else "e0") + ")" for dy, dx, w in kernel)
+    inside = f"s.y - k.dy BETWEEN 0 AND s.height - 1 AND s.x - k.dx BETWEEN 0 AND {WIDTH - 1}"
+    return f"{name}_k(dy, dx, w) AS (VALUES {rows}), {name} AS MATERIALIZED (SELECT s.image_id, s.y - k.dy AS y, s.x - k.dx AS x, s.height, sum(k.w * s.{column}) AS {out} FROM {source} s CROSS JOIN {name}_k k WHERE {inside} GROUP BY s.image_id, s.y - k.dy, s.x - k.dx, s.height)"
+
+
+_EDGES_SQL = ", ".join([
+    _stencil_sql("smooth", "mosaics", "v", _SMOOTH, "b"), _stencil_sql("sx", "smooth", "b", raster.SOBEL_X, "gx"), _stencil_sql("sy", "smooth", "b", raster.SOBEL_Y, "gy"),
+    "sobel AS MATERIALIZED (SELECT sx.image_id, sx.y, sx.x, gx, gy, sqrt(gx * gx + gy * gy) AS m FROM sx JOIN sy ON sx.image_id = sy.image_id AND sx.y = sy.y AND sx.x = sy.x)",
+    "tn AS (SELECT *, CASE WHEN degrees(atan2(gy, gx)) < 0 THEN degrees(atan2(gy, gx)) + 180 WHEN degrees(atan2(gy, gx)) >= 180 THEN degrees(atan2(gy, gx)) - 180 ELSE degrees(atan2(gy, gx)) END AS turn FROM sobel WHERE m >= 0.25)",
+    "dr AS (SELECT *, CASE WHEN turn < 22.5 OR turn >= 157.5 THEN 0 ELSE 1 END AS dy, CASE WHEN turn < 22.5 OR turn >= 157.5 THEN 1 WHEN turn < 67.5 THEN 1 WHEN turn < 112.5 THEN 0 ELSE -1 END AS dx FROM tn)",
+    "ed AS MATERIALIZED (SELECT d.image_id, d.y, d.x, d.m FROM dr d JOIN sobel p ON p.image_id = d.image_id AND p.y = d.y + d.dy AND p.x = d.x + d.dx JOIN sobel q ON q.image_id = d.image_id AND q.y = d.y - d.dy AND q.x = d.x - d.dx WHERE d.m >= p.m AND d.m >= q.m)",
+    f"ln AS (SELECT image_id, y * {WIDTH} + x AS root, y, x FROM ed UNION SELECT k.image_id, l.root, k.y, k.x FROM ln l JOIN ed k ON k.image_id = l.image_id AND k.y BETWEEN l.y - 1 AND l.y + 1 AND k.x BETWEEN l.x - 1 AND l.x + 1)",
+    "lb AS (SELECT l.image_id, l.y, l.x, any_value(e.m) AS m, min(root) AS root FROM ln l JOIN ed e ON e.image_id = l.image_id AND e.y = l.y AND e.x = l.x GROUP BY l.image_id, l.y, l.x)",
+    "sz AS (SELECT image_id, root, count(*) AS n FROM lb GROUP BY image_id, root HAVING max(m) >= 0.35)",
+])
+
+
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, ys AS (SELECT DISTINCT image_id, y FROM mosaics)
+SELECT ys.image_id, ys.y, CAST(count(z.n) AS INTEGER) AS edges, round(coalesce(sum(b.m * (b.x + 1)) FILTER (WHERE z.n IS NOT NULL), 0), 6) + 0.0 AS strength, CAST(count(DISTINCT z.root) FILTER (WHERE z.n >= 3) AS INTEGER) AS segments, CAST(coalesce(sum(z.root) FILTER (WHERE z.n >= 3), 0) AS BIGINT) AS numbers
+FROM ys LEFT JOIN lb b ON b.image_id = ys.image_id AND b.y = ys.y LEFT JOIN sz z ON z.image_id = b.image_id AND z.root = b.root GROUP BY ys.image_id, ys.y""")
+def photo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of whole images over strips that are stitched: edge pixels of each line, their magnitudes by place, and their segments."""
+    e = edges.canny(rel.mosaics(spark, sf_dir), KEY, "v", _SMOOTH, 0.25, 0.35, 16)
+    on, far = F.filter("edge", lambda m: m > 0), F.filter("segment", lambda s: s >= 0)
+    weighed = F.aggregate(F.transform("edge", lambda m, i: m * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return e.select("image_id", "y", F.size(on).alias("edges"), r6(weighed).alias("strength"), F.size(F.array_distinct(far)).alias("segments"), F.aggregate(far, F.lit(0).cast("long"), lambda a, v: a + v).alias("numbers"))
+
+
+_ANGLES = (0.0, 22.5, 45.0, 67.5, 90.0)
+
+
+@query("WITH " + ", ".join(_stencil_sql(f"g{i}", "mosaics", "v", raster.gabor_kernel(d), "c") for i, d in enumerate(_ANGLES)) + f""", every AS ({" UNION ALL ".join(f"SELECT {d!r}e0 AS degrees, image_id, y, x, c FROM g{i}" for i, d in enumerate(_ANGLES))})
+SELECT l.image_id, l.degrees, round(avg(abs(abs(l.c) - abs(r.c))), 6) + 0.0 AS asymmetry FROM every l JOIN every r ON r.image_id = l.image_id AND r.degrees = l.degrees AND r.y = l.y AND r.x = {WIDTH - 1} - l.x WHERE l.x < {WIDTH // 2} GROUP BY l.image_id, l.degrees""")
+def photo_filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bank of filters (21 by 21, five angles) over whole images: how much the answers of the left half differ from those of
+    the right one, mirrored."""
+    found = edges.stencils(rel.mosaics(spark, sf_dir), KEY, "v", {f"g{i}": raster.gabor_kernel(d) for i, d in enumerate(_ANGLES)})
+    half = WIDTH // 2
+    differ = lambda c: F.aggregate(F.zip_with(F.slice(c, 1, half), F.slice(F.reverse(c), 1, half), lambda a, b: F.abs(F.abs(a) - F.abs(b))), F.lit(0.0), lambda s, v: s + v)
+    each = found.select("image_id", F.explode(F.array(*[F.struct(F.lit(d).alias("degrees"), differ(f"g{i}").alias("d")) for i, d in enumerate(_ANGLES)])).alias("a")).select("image_id", "a.*")
+    return each.groupBy("image_id", "degrees").agg(r6(F.sum("d") / (F.count(F.lit(1)) * half)).alias("asymmetry"))
+
+
+@query("WITH " + _stencil_sql("lg", "mosaics", "v", raster.log_kernel(1.4), "c") + f" SELECT lg.image_id, count(*) AS n, round(var_pop(c), 6) + 0.0 AS variance FROM lg WHERE pow((x - {(WIDTH - 1) / 2}e0) / 30, 2) + pow((y - (height - 1) / 2e0) / (height * 0.4e0), 2) <= 1 GROUP BY lg.image_id")
+def photo_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance of the Laplacian of Gaussian inside of an ellipse of each image: filtered first, masked then."""
+    found = edges.stencils(rel.mosaics(spark, sf_dir), KEY, "v", {"c": raster.log_kernel(1.4)})
+    y = (F.col("y") - (F.col("height") - 1) / 2) / (F.col("height") * 0.4)
+    inside = F.filter(F.transform("c", lambda c, i: F.when(((i - (WIDTH - 1) / 2) / 30) ** 2 + y**2 <= 1, c)), lambda c: c.isNotNull())
+    return found.select("image_id", F.explode(inside).alias("c")).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), r6(F.var_pop("c")).alias("variance"))
+
+
+@query("""WITH near AS (SELECT a.image_id, a.y, a.x, avg(abs(a.v - b.v)) AS step FROM mosaics a JOIN mosaics b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY a.image_id, a.y, a.x),
+wide AS (SELECT a.image_id, a.y, a.x, var_pop(b.v) AS variance FROM mosaics a JOIN mosaics b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.image_id, a.y, a.x)
+SELECT image_id, y, count(*) FILTER (step <= 0.1e0 AND variance <= 0.01e0) AS low_texture, count(*) FILTER (step > 0.1e0) AS over_step FROM near JOIN wide USING (image_id, y, x) GROUP BY image_id, y""")
+def photo_low_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of each line whose mean step to their neighbours and whose variance around are both small, over whole images."""
+    t = edges.texture(rel.mosaics(spark, sf_dir), KEY, "v", 16)
+    few = F.filter(F.arrays_zip("mean_step", "variance"), lambda p: (p["mean_step"] <= 0.1) & (p["variance"] <= 0.01))
+    return t.select("image_id", "y", F.size(few).cast("long").alias("low_texture"), F.size(F.filter("mean_step", lambda s: s > 0.1)).cast("long").alias("over_step"))
