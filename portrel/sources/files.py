@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from portrel.functions import validate
 
@@ -85,9 +88,58 @@ def _number(content: Column, at: int, size: int, little: bool = False) -> Column
     return F.conv(digits, 16, 10).cast("long")
 
 
+#: JPEG markers that begin a frame, and those without a length.
+_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+_BARE = frozenset({0x01, *range(0xD0, 0xD8)})
+
+
+def chained_size(data: bytes | None) -> tuple[str, int, int] | None:
+    """(format, width, height) of a JPEG file by its frame header, behind the segments before it, or of a TIFF file by its first
+    directory (BigTIFF too); None for others and where the chain breaks off. Pixel data isn't touched."""
+    data = data or b""
+    try:
+        if data[:2] == b"\xff\xd8":
+            at = 2
+            while data[at] == 0xFF:
+                while data[at] == 0xFF:
+                    at += 1
+                marker = data[at]
+                at += 1
+                if marker in _FRAMES:
+                    height, width = struct.unpack_from(">HH", data, at + 3)
+                    return "jpeg", width, height
+                if marker in (0xD9, 0xDA):
+                    return None
+                if marker not in _BARE:
+                    size = struct.unpack_from(">H", data, at)[0]
+                    if size < 2:
+                        return None
+                    at += size
+        order = {b"II": "<", b"MM": ">"}.get(data[:2])
+        if order and struct.unpack_from(order + "H", data, 2)[0] in (42, 43):
+            big = struct.unpack_from(order + "H", data, 2)[0] == 43
+            at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+            many = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+            found: dict[int, int] = {}
+            for k in range(min(many, 65_535)):
+                entry = at + (8 + 20 * k if big else 2 + 12 * k)
+                tag, kind = struct.unpack_from(order + "HH", data, entry)
+                if tag in (256, 257) and kind in (3, 4, 16):
+                    found[tag] = struct.unpack_from(order + {3: "H", 4: "I", 16: "Q"}[kind], data, entry + (12 if big else 8))[0]
+                if len(found) == 2:
+                    return "tiff", found[256], found[257]
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+@F.pandas_udf(StructType([StructField("format", StringType()), StructField("width", LongType()), StructField("height", LongType())]))
+def _chained(contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([chained_size(c) or (None, None, None) for c in contents], columns=["format", "width", "height"]).astype({"width": "Int64", "height": "Int64"})
+
+
 def header(content: Column) -> Column:
-    """struct(format, width, height) from the head of a PNG, BMP, JPEG 2000 or binary PNM file; null for others. JPEG and TIFF keep
-    their sizes behind chains of segments and are read by Spark's image source."""
+    """struct(format, width, height) from the head of a PNG, BMP, JPEG 2000 or binary PNM file; null for others."""
     head = F.hex(F.substring(content, 1, 64))
     ascii_head = F.decode(F.substring(content, 1, 64), "ISO-8859-1")
     clean = F.regexp_replace(ascii_head, r"#[^\n]*\n", "")
@@ -105,19 +157,39 @@ def header(content: Column) -> Column:
 
 def probed(files: DataFrame, most: int = MOST_PIXELS) -> DataFrame:
     """Files (path, content) with their ``header`` and an ``error`` where it can't be read, is empty or says more than ``most``
-    pixels: to be filtered before anything is decoded."""
-    h = files.withColumn("header", header(F.col("content")))
+    pixels: to be filtered before anything is decoded. Only JPEG and TIFF files, whose sizes are behind chains of segments, go to Python."""
+    start = F.hex(F.substring("content", 1, 4))
+    chain = _chained(F.when(F.startswith(start, F.lit("FFD8")) | start.isin("49492A00", "4D4D002A", "49492B00", "4D4D002B"), F.col("content")))
+    h = files.withColumn("_chain", chain).withColumn("header", F.coalesce(header(F.col("content")), F.when(F.col("_chain.format").isNotNull(), F.col("_chain")))).drop("_chain")
     pixels = F.col("header.width").cast("decimal(20,0)") * F.col("header.height").cast("decimal(20,0)")
     error = validate.first_error((F.col("header").isNull(), validate.error("header", "not a known image header")), (pixels <= 0, validate.error("size", "an empty image")), (pixels > most, validate.error("pixels", "too many pixels")))
     return h.withColumn("error", error)
 
 
 def decoded(spark: SparkSession, folder: str, most: int = MOST_PIXELS) -> DataFrame:
-    """(path, height, width, channels, data) of a folder's JPEG, PNG, BMP and GIF files by Spark's image source; files that it can't
-    decode are left out, and what is larger than ``most`` pixels goes."""
-    image = spark.read.format("image").option("dropInvalid", True).load(folder)
-    one = image.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return one.where(F.col("height").cast("long") * F.col("width") <= most)
+    """(path, height, width, channels, data) of the files of ``decoded_or_error`` that have no error."""
+    return decoded_or_error(spark, folder, most).where("error is null").drop("error")
+
+
+def decoded_or_error(spark: SparkSession, folder: str, most: int = MOST_PIXELS) -> DataFrame:
+    """(path, height, width, channels, data, error) of a folder's files, JPEG, PNG, BMP and GIF by Spark's image source.
+
+    Headers are probed first: files with more than ``most`` pixels, or without a known header, come out with an error and are never
+    decoded, and so do those that the image source can't decode. A GIF has no header here and is decoded as it is. The
+    driver holds the paths of the files to be decoded, as Spark's own listing of a folder does.
+    """
+    files = probed(spark.read.format("binaryFile").load(folder), most)
+    gif = F.hex(F.substring("content", 1, 4)) == "47494638"
+    told = files.select("path", F.when(~gif, F.col("error.message")).alias("error"))
+    good = [r["path"] for r in told.where("error is null").select("path").collect()]
+    refused = told.where("error is not null").select("path", *[F.lit(None).cast(t).alias(n) for n, t in (("height", "int"), ("width", "int"), ("channels", "int"), ("data", "binary"))], "error")
+    if not good:
+        return refused
+    image = spark.read.format("image").option("dropInvalid", False).load(good).select("image.*")
+    broken = F.col("height") < 0
+    fields = [F.when(~broken, F.col(c)).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))]
+    large = F.col("height").cast("long") * F.col("width") > most
+    return image.select(F.col("origin").alias("path"), *fields, F.when(broken, "the file can't be decoded").when(large, "too many pixels").alias("error")).unionByName(refused)
 
 
 def raster_rows(rasters: DataFrame) -> DataFrame:
