@@ -10,7 +10,6 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Kernel = list[tuple[int, int, float]]
@@ -87,38 +86,6 @@ def high_frequency(coefficients: DataFrame, keys: Sequence[str], above: int = 2)
     return e.withColumn("ratio", F.coalesce(F.try_divide("high", "total"), F.lit(0.0)))
 
 
-def neighbour_gradient(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``mean_step`` and ``max_step``: absolute differences to the up to four neighbours."""
-    across, down = W.partitionBy(*keys, "y").orderBy("x"), W.partitionBy(*keys, "x").orderBy("y")
-    steps = [F.abs(F.col("v") - f("v").over(w)) for w in (across, down) for f in (F.lag, F.lead)]
-    near = pixels.withColumn("steps", F.array_compact(F.array(*steps)))
-    total = F.aggregate("steps", F.lit(0.0), lambda a, s: a + s)
-    return near.withColumn("mean_step", F.when(F.size("steps") > 0, total / F.size("steps")).otherwise(0.0)).withColumn("max_step", F.coalesce(F.array_max("steps"), F.lit(0.0))).drop("steps")
-
-
-def local_variance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``variance`` over the 3x3 pixels around, clipped at the borders: frames along x, then along y."""
-    across = W.partitionBy(*keys, "y").orderBy("x").rowsBetween(-1, 1)
-    down = W.partitionBy(*keys, "x").orderBy("y").rowsBetween(-1, 1)
-    rows = pixels.withColumns({"n1": F.count("v").over(across), "s1": F.sum("v").over(across), "q1": F.sum(F.col("v") * F.col("v")).over(across)})
-    both = rows.withColumns({"n2": F.sum("n1").over(down), "s2": F.sum("s1").over(down), "q2": F.sum("q1").over(down)})
-    return both.withColumn("variance", F.greatest(F.col("q2") / F.col("n2") - F.pow(F.col("s2") / F.col("n2"), 2), F.lit(0.0))).drop("n1", "s1", "q1", "n2", "s2", "q2")
-
-
-def thin_edges(gradients: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """Keep the pixels of (keys, y, x, gx, gy) whose magnitude is at least ``least`` and not under either neighbour's along
-    the gradient, in one of four directions; pixels whose neighbour lies outside don't stay."""
-    m = gradients.withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-    turn = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
-    way = F.when((turn < 22.5) | (turn >= 157.5), 0).when(turn < 67.5, 1).when(turn < 112.5, 2).otherwise(3)
-    m = m.withColumn("way", way)
-    dy, dx = F.element_at(F.array(*map(F.lit, (0, 1, 1, 1))), F.col("way") + 1), F.element_at(F.array(*map(F.lit, (1, 1, 0, -1))), F.col("way") + 1)
-    side = lambda name, y, x: m.select(*keys, F.col("y").alias(y), F.col("x").alias(x), F.col("magnitude").alias(name))
-    asked = m.where(F.col("magnitude") >= least).withColumns({"ya": F.col("y") + dy, "xa": F.col("x") + dx, "yb": F.col("y") - dy, "xb": F.col("x") - dx})
-    both = asked.join(side("ma", "ya", "xa"), [*keys, "ya", "xa"]).join(side("mb", "yb", "xb"), [*keys, "yb", "xb"])
-    return both.where((F.col("magnitude") >= F.col("ma")) & (F.col("magnitude") >= F.col("mb"))).select(*keys, "y", "x", "magnitude", "way")
-
-
 def histogram(values: DataFrame, keys: Sequence[str], bins: int = 50, value: str = "v") -> DataFrame:
     """(keys, bin, n, share): equal-width bins from least to most, all of them listed; a constant image is all in bin 0."""
     ends = values.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))
@@ -129,52 +96,10 @@ def histogram(values: DataFrame, keys: Sequence[str], bins: int = 50, value: str
     return out.withColumn("share", F.col("n") / F.col("total")).select(*keys, "bin", "n", "share")
 
 
-def reached(pixels: DataFrame, keys: Sequence[str], seed: Column, open_: Column, eight: bool = False) -> DataFrame:
-    """(keys, y, x) of the open cells of 8x8 tiles that are tied to an open seed cell by neighbours.
-
-    A tile is one 64-bit number, a bit for each cell, and a step to a neighbour is a shift; a fold grows the reached cells
-    as often as a path can be long. For whole photographs take connected components over neighbour edges instead.
-    """
-    bit = F.expr("shiftleft(1L, cast(y * 8 + x as int))")
-    none = F.lit(0).cast("long")
-    pick = lambda where: F.coalesce(F.bit_or(F.when(where, bit)), none)
-    tiles = pixels.groupBy(*keys).agg(pick(open_).alias("open"), pick(open_ & seed).alias("seeds"))
-    columns = sum(1 << (8 * y) for y in range(8))
-    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
-    every = (1 << 64) - 1
-    not_first, not_last = signed(every ^ columns), signed(every ^ (columns << 7))
-
-    def beside(m: Column) -> Column:
-        return F.shiftleft(m.bitwiseAND(not_last), 1).bitwiseOR(F.shiftrightunsigned(m.bitwiseAND(not_first), 1))
-
-    def grow(have: Column, _: Column) -> Column:
-        row = have.bitwiseOR(beside(have))
-        from_rows = row if eight else have
-        near = row.bitwiseOR(F.shiftleft(from_rows, 8)).bitwiseOR(F.shiftrightunsigned(from_rows, 8))
-        return near.bitwiseAND(F.col("open"))
-
-    grown = tiles.withColumn("reached", F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.col("seeds"), grow))
-    cells = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda c: F.getbit("reached", c) == 1)
-    return grown.select(*keys, F.explode(cells).alias("c")).select(*keys, F.floor(F.col("c") / 8).cast("int").alias("y"), (F.col("c") % 8).alias("x"))
-
-
 #: Lifting steps of the 9/7 wavelet.
 ALPHA, BETA, GAMMA, DELTA, K_LOW, K_HIGH = -1.586134342, -0.05298011854, 0.8829110762, 0.4435068522, 0.8128930655, 1.230174106
 
 
-def lift97(signal: DataFrame, keys: Sequence[str], position: str = "x", value: str = "v") -> DataFrame:
-    """One level of the forward 9/7 wavelet along ``position``, of even length: (keys, band, k, c), low then high band.
-    Borders are mirrored. The four lifting steps are four window expressions over one sort."""
-    w = W.partitionBy(*keys).orderBy(position)
-    s = signal.withColumn("s", F.col(value))
-    for factor, odd in ((ALPHA, 1), (BETA, 0), (GAMMA, 1), (DELTA, 0)):
-        left, right = F.lag("s").over(w), F.lead("s").over(w)
-        s = s.withColumn("near", F.coalesce(left, right) + F.coalesce(right, left))
-        s = s.withColumn("s", F.when(F.col(position) % 2 == odd, F.col("s") + factor * F.col("near")).otherwise(F.col("s")))
-    low = F.col(position) % 2 == 0
-    return s.select(*keys, F.when(low, "low").otherwise("high").alias("band"), F.floor(F.col(position) / 2).cast("int").alias("k"), F.when(low, F.col("s") * K_LOW).otherwise(F.col("s") * K_HIGH).alias("c"))
-
-
 # Regions as predicates of a pixel's place.
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from portrel.functions import geometry as g
 from portrel.functions import gates
 from portrel.functions import validate
-from portrel.operators import ledger, quality
+from portrel.operators import ledger, quality, strips
 from portrel.plans.registry import query, r6
 from portrel.sources import relations as rel
 
@@ -147,11 +147,24 @@ def lambda_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.best_at(rel.rd(spark, sf_dir), [5.0, 10.0, 14.0, 20.0])
 
 
-@query(None)
+def _bisection_sql(rounds: int = 6) -> str:
+    """The same search spelled out: in each round sixteen trade-offs between the bounds, all blocks at their best point for each."""
+    best = lambda t: f"(SELECT {t} AS t, block_id, arg_max(struct_pack(rate := rate, dist := dist), (dist - {t} * rate, -rate)) AS b FROM {{0}} CROSS JOIN rd WHERE dist - {t} * rate > 0 GROUP BY {t}, block_id)"
+    parts = ["bud AS (SELECT sum(m) // 2 AS budget FROM (SELECT max(rate) AS m FROM rd GROUP BY block_id))", "r0 AS MATERIALIZED (SELECT 0e0 AS low, max(dist / greatest(rate, 1)) + 1e0 AS high FROM rd)"]
+    for k in range(rounds):
+        parts.append(f"g{k} AS MATERIALIZED (SELECT low + (high - low) * i / 16 AS t FROM r{k}, range(1, 17) a(i))")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT g{k}.t, coalesce(sum(b.rate), 0) AS rate FROM g{k} LEFT JOIN {best('t').format(f'g{k}')} c ON c.t = g{k}.t GROUP BY g{k}.t)")
+        parts.append(f"f{k} AS MATERIALIZED (SELECT coalesce(min(t) FILTER (WHERE rate <= budget), (SELECT high FROM r{k})) AS fit FROM s{k}, bud)")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT greatest(low, coalesce((SELECT max(t) FROM s{k} WHERE t < fit), low)) AS low, fit AS high FROM r{k}, f{k})")
+    return "WITH " + ", ".join(parts) + f" SELECT round(t, 6) + 0.0 AS \"lambda\", CAST(sum(b.rate) AS BIGINT) AS rate, CAST(sum(b.dist) AS BIGINT) AS dist, count(*) AS blocks FROM {best('high').format(f'r{rounds}')} GROUP BY t"
+
+
+@query(_bisection_sql())
 def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = rel.rd(spark, sf_dir)
+    """The selection of the least trade-off whose bytes fit half of all blocks' bytes."""
+    points = strips.kept(rel.rd(spark, sf_dir))  # six searches read it
     budget = points.groupBy("block_id").agg(F.max("rate").alias("m")).agg(F.sum("m")).head()[0] // 2
-    return ledger.allocate(points, budget)[1]
+    return ledger.allocate(points, budget)[1].withColumn("lambda", r6("lambda"))
 
 
 @query("WITH l AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (WHERE value < before) AS falls, coalesce(max(value < before), FALSE) AS violated FROM l GROUP BY user_id")

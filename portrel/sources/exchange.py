@@ -5,7 +5,6 @@ Paths are of a file system that the driver and all executors have mounted at the
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import uuid
