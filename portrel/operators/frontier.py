@@ -5,16 +5,18 @@ order; after each, states that free equally many bytes are pruned to their front
 that keeps every state that no other one dominates, as all sums are additive; with a beam only so many states stay for each number
 of bytes, taken in turn from the least error and the least credit lost.
 
-The outputs are dealt out by key, each one's options are folded in one task as arrays: an output has the options of one image, and its
+The outputs are dealt out by key, each one's options are folded in one task: an output has the options of one image, and its
 states are bounded by the bytes that it may free times the beam (in exact mode by its frontiers).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,54 +26,52 @@ SLACK = 1e-7
 BEAM = 16
 STATE = "freed long, credit_lost double, face double, hair double, changes array<struct<grp: long, endpoint: long>>"
 
+#: (freed, credit lost, face, hair, changes)
+State = tuple[int, float, float, float, tuple]
+_by_error, _by_credit = itemgetter(2, 3, 1, 4), itemgetter(1, 2, 3, 4)
 
-def pruned(credit: np.ndarray, face: np.ndarray, hair: np.ndarray, order: np.ndarray) -> list[int]:
-    """Of states in ``order`` (ascending error) those that no earlier kept one dominates."""
-    kept: list[int] = []
-    for i in order.tolist():
-        own = np.array(kept, np.int64)
-        if len(kept) and ((credit[own] <= credit[i] + SLACK) & (face[own] <= face[i]) & (hair[own] <= hair[i])).any():
-            continue
-        kept.append(i)
+
+def pruned(states: Iterable[State]) -> list[State]:
+    """Of states that free equally many bytes those that no other dominates, by error; of equal ones the first changes."""
+    kept: list[State] = []
+    for s in sorted(states, key=_by_error):
+        if not any(k[1] <= s[1] + SLACK and k[2] <= s[2] and k[3] <= s[3] for k in kept):
+            kept.append(s)
     return kept
 
 
-def within_beam(kept: list[int], by_credit: list[int], beam: int | None) -> list[int]:
+def within_beam(kept: list[State], beam: int | None) -> list[State]:
     """At most ``beam`` of the kept states, in turn the next by error and the next by credit."""
     if beam is None or len(kept) <= beam:
         return kept
-    taken: dict[int, None] = {}
-    for pair in zip(kept, by_credit, strict=True):
-        for i in pair:
+    taken: dict[State, None] = {}
+    for pair in zip(kept, sorted(kept, key=_by_credit), strict=True):
+        for s in pair:
             if len(taken) < beam:
-                taken[i] = None
+                taken[s] = None
     return list(taken)
 
 
-def fold(options: pd.DataFrame, most_freed: int, most_lost: float, beam: int | None) -> pd.DataFrame:
+def fold(options: Iterable[tuple], most_freed: int, most_lost: float, beam: int | None) -> list[State]:
     """The states of one output's options (grp, endpoint, freed, credit_lost, face, hair)."""
-    freed, credit, face, hair = np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.zeros(1)
-    changes: list[tuple] = [()]
-    for grp, some in options.groupby("grp", sort=True):
-        more = [np.concatenate([[0], some[c].to_numpy()]) for c in ("freed", "credit_lost", "face", "hair")]
-        ends = [None, *some["endpoint"].tolist()]
-        cross = [(a[:, None] + b[None, :]).ravel() for a, b in zip((freed, credit, face, hair), more, strict=True)]
-        fits = np.flatnonzero((cross[0] <= most_freed) & (cross[1] <= most_lost + SLACK))
-        now_freed, now_credit, now_face, now_hair = (c[fits] for c in cross)
-        state, option = np.divmod(fits, len(ends))
-        taken = [changes[s] if not o else (*changes[s], (int(grp), int(ends[o]))) for s, o in zip(state.tolist(), option.tolist(), strict=True)]
-        rank = np.empty(len(taken), np.int64)
-        rank[sorted(range(len(taken)), key=taken.__getitem__)] = np.arange(len(taken))
-        order = np.lexsort((rank, now_credit, now_hair, now_face, now_freed))
-        left: list[int] = []
-        for part in np.split(order, np.flatnonzero(np.diff(now_freed[order])) + 1):
-            kept = pruned(now_credit, now_face, now_hair, part)
-            by_credit = [kept[i] for i in np.lexsort((rank[kept], now_hair[kept], now_face[kept], now_credit[kept]))]
-            left += within_beam(kept, by_credit, beam)
-        freed, credit, face, hair = (c[left] for c in (now_freed, now_credit, now_face, now_hair))
-        changes = [taken[i] for i in left]
-    listed = [[{"grp": g, "endpoint": e} for g, e in c] for c in changes]
-    return pd.DataFrame({"freed": freed, "credit_lost": credit, "face": face, "hair": hair, "changes": listed})
+    states: list[State] = [(0, 0.0, 0.0, 0.0, ())]
+    for grp, some in groupby(sorted(options), key=itemgetter(0)):
+        choices = list(some)
+        reached: dict[int, list[State]] = {}
+        for s in states:
+            reached.setdefault(s[0], []).append(s)
+            for _, endpoint, freed, lost, face, hair in choices:
+                if s[0] + freed <= most_freed and s[1] + lost <= most_lost + SLACK:
+                    reached.setdefault(s[0] + freed, []).append((s[0] + freed, s[1] + lost, s[2] + face, s[3] + hair, (*s[4], (grp, endpoint))))
+        states = [s for same in reached.values() for s in within_beam(pruned(same), beam)]
+    return states
+
+
+def _checked(name: object, options: list[tuple], most_freed: int | None, most_lost: float | None) -> None:
+    if most_freed is None or most_lost is None or most_freed < 0 or not math.isfinite(most_lost) or most_lost < 0:
+        raise ValueError(f"output {name}: supply finite donor resource bounds")
+    if any(v is None or not math.isfinite(v) for o in options for v in o) or any(o[2] <= 0 or o[3] < 0 for o in options):
+        raise ValueError(f"output {name}: use finite independently measured donor errors and positive body savings")
 
 
 def donor_frontier(options: DataFrame, key: str, most_freed: str = "most_freed", most_lost: str = "most_lost", beam: int | None = BEAM) -> DataFrame:
@@ -80,21 +80,21 @@ def donor_frontier(options: DataFrame, key: str, most_freed: str = "most_freed",
     Options free at least a byte, and lose no negative credit; an output with one that doesn't, with a value that is null or no
     number, or with limits below zero raises an error that names it. ``beam=None`` is exact.
     """
-    columns = ["grp", "endpoint", "freed", "credit_lost", "face", "hair"]
+    names = ["grp", "endpoint", "freed", "credit_lost", "face", "hair"]
     kind = options.schema[key].dataType.simpleString()
-    rows = options.select(key, F.col("grp").cast("long").alias("grp"), F.col("endpoint").cast("long").alias("endpoint"), F.col("freed").cast("long").alias("freed"), *[F.col(c).cast("double").alias(c) for c in columns[3:]], F.col(most_freed).cast("long").alias("_freed"), F.col(most_lost).cast("double").alias("_lost"))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        name = group[key].iloc[0]
-        limits = group["_freed"].iloc[0], group["_lost"].iloc[0]
-        if not (limits[0] >= 0 and math.isfinite(limits[1]) and limits[1] >= 0):
-            raise ValueError(f"output {name}: supply finite donor resource bounds")
-        numbers = group[columns].to_numpy(np.float64)
-        if not (np.isfinite(numbers).all() and (group["freed"] > 0).all() and (group["credit_lost"] >= 0).all()):
-            raise ValueError(f"output {name}: use finite independently measured donor errors and positive body savings")
-        ordered = group.sort_values(["grp", "endpoint"], kind="stable")
-        found = fold(ordered, int(limits[0]), float(limits[1]), beam)
-        found.insert(0, key, name)
-        return found
-
-    return rows.groupBy(key).applyInPandas(one, f"`{key}` {kind}, {STATE}")
+    one = F.struct(*[F.col(c).cast("long").alias(c) for c in names[:3]], *[F.col(c).cast("double").alias(c) for c in names[3:]])
+    # The options of one image each; its limits are the same in all of them.
+    outputs = options.groupBy(key).agg(F.collect_list(one).alias("_options"), F.min(F.col(most_freed).cast("long")).alias("_freed"), F.min(F.col(most_lost).cast("double")).alias("_lost"))
+    changes = pa.list_(pa.struct([("grp", pa.int64()), ("endpoint", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.select(["_options", "_freed", "_lost"]).to_pylist()):
+                listed = [tuple(o[n] for n in names) for o in row["_options"]]
+                _checked(batch.column(key)[i].as_py(), listed, row["_freed"], row["_lost"])
+                found = fold(listed, row["_freed"], row["_lost"], beam)
+                own = batch.column(key).take(pa.array([i] * len(found), pa.int64()))
+                columns = [pa.array([s[c] for s in found], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([own, *columns, pa.array([[{"grp": g, "endpoint": e} for g, e in s[4]] for s in found], changes)], [key, *[x.split()[0] for x in STATE.split(", ")[:5]]])
+
+    return outputs.mapInArrow(run, f"`{key}` {kind}, {STATE}")
