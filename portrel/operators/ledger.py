@@ -88,3 +88,27 @@ def endpoint_totals(points: DataFrame, chosen: DataFrame, block: str = "block_id
     at = chosen.join(points, (chosen[block] == points[block]) & (chosen["want"] == points["pass_no"]), "left")
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
     return at.agg(F.count(F.lit(1)).alias("blocks"), total("rate").alias("bytes"), total("dist").alias("credit"))
+
+
+def checked_changes(points: DataFrame, legal: DataFrame, changes: DataFrame, block: str = "block_id") -> DataFrame:
+    """(block, endpoint, error) of ``changes`` (block, endpoint) of blocks' last passes, -1 for none at all: those that change nothing are left out,
+    and a change of an unknown block, to a pass that isn't ``legal`` (block, pass_no) or isn't among the block's ``points`` has an error."""
+    known = points.groupBy(block).agg(F.max("pass_no").alias("last"))
+    allowed = legal.groupBy(block).agg(F.collect_set("pass_no").alias("legal"), F.max("pass_no").alias("terminal"))
+    told = changes.join(known, block, "left").join(allowed, block, "left")
+    inside = (F.col("endpoint") == -1) | F.coalesce(F.array_contains("legal", F.col("endpoint")), F.lit(False))
+    error = F.when(F.col("last").isNull(), "Unknown frozen coding block").when(~F.coalesce(inside, F.lit(False)), "Select a frozen legal native pass").when(F.col("endpoint") > F.col("last"), "Native pass exceeds its frozen table")
+    told = told.withColumn("error", error)
+    return told.where(F.col("error").isNotNull() | (F.col("endpoint") != F.coalesce("terminal", F.lit(-1)))).select(block, "endpoint", "error")
+
+
+def emission_errors(packets: DataFrame, expected: DataFrame, output: str = "output_id") -> DataFrame:
+    """(output, bytes, error): what outputs' written ``packets`` (output, header, body, protected, promoted, unprotected) say against
+    ``expected`` (output, packet_bytes, protected_bytes, head_bytes, cap, written): the simulated bytes, closure, the cap and the length with its two end bytes."""
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    sums = packets.groupBy(output).agg(*map(total, ("header", "body", "protected", "promoted", "unprotected")))
+    both = expected.join(sums, output, "left").na.fill(0, ["header", "body", "protected", "promoted", "unprotected"])
+    emitted = F.col("header") + F.col("body")
+    bad = (emitted != F.col("packet_bytes")) | (F.col("protected") != F.col("protected_bytes")) | (F.col("body") != F.col("protected") + F.col("promoted") + F.col("unprotected"))
+    bad |= (F.col("head_bytes") + F.col("packet_bytes") > F.col("cap")) | (F.col("written") + 2 != F.col("head_bytes") + F.col("packet_bytes"))
+    return both.select(output, emitted.alias("bytes"), F.when(F.coalesce(bad, F.lit(True)), "Final codestream emission does not satisfy its measured byte constraints.").alias("error"))

@@ -270,3 +270,38 @@ def checked_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS image, CAST(round_even(l_discount * 480, 0) AS INTEGER) AS x, CAST(round_even(l_tax * 640, 0) AS INTEGER) AS y, l_linenumber AS crop FROM lineitem")
 def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.bround(F.col("l_discount") * 480, 0).cast("int").alias("x"), F.bround(F.col("l_tax") * 640, 0).cast("int").alias("y"), F.col("l_linenumber").alias("crop"))
+
+
+_GUARDS_SQL = """WITH known AS (SELECT block_id, max(pass_no) AS last, list(pass_no) FILTER (WHERE rate % 3 > 0) AS legal, max(pass_no) FILTER (WHERE rate % 3 > 0) AS terminal FROM rd GROUP BY block_id),
+c AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS block_id, CAST(o_custkey % 7 - 1 AS INTEGER) AS endpoint FROM orders),
+t AS (SELECT c.*, terminal, CASE WHEN last IS NULL THEN 'Unknown frozen coding block' WHEN NOT (endpoint = -1 OR coalesce(list_contains(legal, endpoint), FALSE)) THEN 'Select a frozen legal native pass' WHEN endpoint > last THEN 'Native pass exceeds its frozen table' END AS error FROM c LEFT JOIN known k ON k.block_id = c.block_id)
+SELECT block_id, endpoint, error FROM t WHERE error IS NOT NULL OR endpoint <> coalesce(terminal, -1)"""
+
+
+@query(_GUARDS_SQL)
+def change_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of blocks' last passes that can be replayed, or what is wrong with them; those that change nothing are left out."""
+    points = rel.rd(spark, sf_dir)
+    key = F.col("o_orderkey")
+    changes = rel.table(spark, sf_dir, "orders").select(F.when(key % 11 == 0, -key).otherwise(key).alias("block_id"), (F.col("o_custkey") % 7 - 1).cast("int").alias("endpoint"))
+    return ledger.checked_changes(points, points.where("rate % 3 > 0"), changes)
+
+
+_EMISSION_SQL = """WITH s AS (SELECT output_id, CAST(sum(resolution + 5) AS BIGINT) AS header, CAST(sum(payload) AS BIGINT) AS body, CAST(sum(face) AS BIGINT) AS protected FROM subbands GROUP BY output_id),
+e AS (SELECT o_orderkey AS output_id, coalesce(header + body, 0) AS bytes, o_orderkey % 13 = 0 OR (o_custkey % 17 = 0 AND coalesce(protected, 0) <> 1) OR 100 + coalesce(header + body, 0) > 20000 OR o_orderkey % 19 = 0 AS bad FROM orders LEFT JOIN s ON output_id = o_orderkey)
+SELECT output_id, bytes, CASE WHEN bad THEN 'Final codestream emission does not satisfy its measured byte constraints.' END AS error FROM e"""
+
+
+@query(_EMISSION_SQL)
+def emission_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written packets against the simulation: some with a byte too many, another protected part, over the cap, or a length that is off."""
+    bands = rel.subbands(spark, sf_dir)
+    packets = bands.select("output_id", (F.col("resolution") + 5).alias("header"), F.col("payload").alias("body"), F.col("face").alias("protected"), F.col("shared").alias("promoted"), F.col("outside").alias("unprotected"))
+    simulated = packets.groupBy("output_id").agg(F.sum(F.col("header") + F.col("body")).alias("whole"), F.sum("protected").alias("part"))
+    key = F.col("o_orderkey")
+    whole, part = F.coalesce("whole", F.lit(0)), F.coalesce("part", F.lit(0))
+    expected = rel.table(spark, sf_dir, "orders").join(simulated, key == F.col("output_id"), "left").select(
+        key.alias("output_id"), (whole + F.when(key % 13 == 0, 1).otherwise(0)).alias("packet_bytes"), F.when(F.col("o_custkey") % 17 == 0, F.lit(1)).otherwise(part).alias("protected_bytes"),
+        F.lit(100).alias("head_bytes"), F.lit(20_000).alias("cap"), (100 + whole - 2 + F.when(key % 13 == 0, 1).otherwise(0) + F.when(key % 19 == 0, 3).otherwise(0)).alias("written"),
+    )
+    return ledger.emission_errors(packets, expected)
