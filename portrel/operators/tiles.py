@@ -1,8 +1,8 @@
 """Raster operators on whole tiles: a row holds an image part as one array, rows of pixels one after the other.
 
 What is linear in the pixels (transforms, stencils, resampling) is one matrix product for an Arrow batch of tiles; the rest are a few
-array steps over the batch. Nothing is shuffled. The matrices are of one tile's size; larger images are cut into tiles with halo
-rows first, or go by the row form in ``raster``. Tiles of another size, or with nulls, give no rows.
+array steps over the batch. Nothing is shuffled. The matrices are of one tile's size, squared: this is for small tiles such as 8x8; whole
+images go by ``strips`` and ``edges``. Tiles of another size, or with nulls, give no rows.
 """
 
 from __future__ import annotations
