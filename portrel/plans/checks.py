@@ -133,8 +133,11 @@ def wavelet53_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT output_id, CAST(sum(payload) AS BIGINT) AS payload, CAST(floor(sum(face * 0.97e0)) AS BIGINT) AS credited, abs(sum(payload) - (sum(face) + sum(shared) + sum(outside))) <= greatest(1, sum(payload)) * 1e-12 AS conserved FROM subbands GROUP BY output_id HAVING sum(payload) > 0")
 def attribution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates are summed as doubles and floored once."""
-    s = rel.subbands(spark, sf_dir).groupBy("output_id").agg(F.sum("payload").alias("payload"), F.sum(F.col("face") * 0.97).alias("credit"), (F.sum("face") + F.sum("shared") + F.sum("outside")).alias("parts"))
+    """Estimates are summed as doubles and floored once. Which doubles come out depends on their order where the sum is next to a whole
+    number, so each output's bands are summed in the order of the table's files, whatever its partitions."""
+    part = F.when(F.col("face").isNotNull(), F.struct("file", "place", (F.col("face") * 0.97).alias("credit")))
+    s = rel.subbands(spark, sf_dir).groupBy("output_id").agg(F.sum("payload").alias("payload"), F.array_sort(F.collect_list(part)).alias("bands"), (F.sum("face") + F.sum("shared") + F.sum("outside")).alias("parts"))  # an output's bands
+    s = s.withColumn("credit", F.when(F.size("bands") > 0, F.aggregate("bands", F.lit(0.0), lambda a, b: a + b["credit"])))
     near = F.abs(F.col("payload") - F.col("parts")) <= F.greatest(F.lit(1), F.col("payload")) * 1e-12
     return s.where("payload > 0").select("output_id", "payload", F.floor("credit").cast("long").alias("credited"), near.alias("conserved"))
 

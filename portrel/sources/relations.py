@@ -61,7 +61,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subbands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(output_id, tile, component, resolution, subband, payload, face, shared, outside): a conserved byte ledger."""
+    """(output_id, tile, component, resolution, subband, payload, face, shared, outside, file, place): a conserved byte ledger, and where
+    in the table's files each row lies."""
     li = table(spark, sf_dir, "lineitem")
     payload = _long(F.floor("l_quantity")) * 100 + F.col("l_partkey") % 97
     face = F.floor(payload * (F.col("l_suppkey") % 11) / 20).cast("long")
@@ -69,6 +70,7 @@ def subbands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("output_id"), (F.col("l_suppkey") % 2).cast("int").alias("tile"), (F.col("l_linenumber") % 3).cast("int").alias("component"), F.col("l_linenumber").cast("int").alias("resolution"),
         (F.col("l_partkey") % 4).cast("int").alias("subband"), payload.alias("payload"), face.alias("face"), shared.alias("shared"), (payload - face - shared).alias("outside"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
     )
 
 
