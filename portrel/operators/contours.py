@@ -37,14 +37,14 @@ def opponent(image: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def contours(image: DataFrame, regions: DataFrame, keys: Sequence[str], anchors: DataFrame | None = None, radius: float = RADIUS) -> DataFrame:
     """(keys, side, y, position) of each line of the regions; ``anchors`` are such contours, and each of their lines comes out."""
-    found = opponent(image, keys).join(regions, list(keys)).where(F.col("y").between(F.col("first_row"), F.col("last_row")))
+    found = strips.told(opponent(image, keys), regions, keys).where(F.col("y").between(F.col("first_row"), F.col("last_row")))
     found = found.select(*keys, "y", "center", strips.crossings(F.col("o")).alias("at"))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.filter("at", f).alias("at")) for s, f in enumerate((lambda x: x < F.col("center"), lambda x: x > F.col("center")))])).alias("s")
     told = found.select(*keys, "y", sides).select(*keys, F.col("s.side").alias("side"), "y", F.col("s.at").alias("at"))
     if anchors is None:
         return told.select(*keys, "side", "y", F.when(F.col("side") == 0, F.array_max("at")).otherwise(F.array_min("at")).alias("position"))
     near = F.filter(F.transform("at", lambda x: F.struct(F.abs(x - F.col("anchor")).alias("far"), x.alias("x"))), lambda c: c["far"] <= radius)
-    tied = anchors.withColumnRenamed("position", "anchor").join(told, [*keys, "side", "y"], "left")
+    tied = strips.matched(anchors.withColumnRenamed("position", "anchor"), told, [*keys, "side", "y"], "left")
     return tied.select(*keys, "side", "y", F.array_min(near)["x"].alias("position"))
 
 
@@ -122,14 +122,14 @@ def clothing(source: DataFrame, regions: DataFrame, keys: Sequence[str]) -> Data
     """(keys, y, height, interior, seams, smooth gradients ``dy`` and ``dx``): lines of the garment's pixels away from its border, and of those that lie on
     a seam or fold: the steepest tenth of them."""
     smooth = strips.kept(strips.blurred(source, keys, {c: c for c in RGB}, SMOOTH))
-    green = smooth.join(regions, list(keys)).withColumn("cloth", F.zip_with("r", "g", lambda r, g: F.when((g - r > CLOTHING) & (F.col("y") >= F.col("first_row") - ABOVE_REGION), 1.0).otherwise(0.0)))
+    green = strips.told(smooth, regions, keys).withColumn("cloth", F.zip_with("r", "g", lambda r, g: F.when((g - r > CLOTHING) & (F.col("y") >= F.col("first_row") - ABOVE_REGION), 1.0).otherwise(0.0)))
     interior = strips.eroded(green, keys, "cloth", BORDER, "interior")
     steep = strips.slopes(smooth.select(*keys, "y", "height", _luma().alias("l")), keys, "l")
-    both = steep.join(interior.drop("height"), [*keys, "y"])
+    both = strips.matched(steep, interior.drop("height"), [*keys, "y"])
     both = strips.kept(both.withColumn("steep", F.zip_with("dy", "dx", lambda a, b: F.sqrt(a * a + b * b))))
     inside = strips.cells(both, keys, ["steep", "interior"]).where("interior > 0")
     level = inside.groupBy(*keys).agg(F.greatest(F.lit(0.5), F.percentile("steep", F.lit(0.9))).alias("level"))
-    marked = both.join(level, list(keys), "left").withColumn("seams", F.zip_with("interior", "steep", lambda i, s: F.when((i > 0) & (s >= F.col("level")), 1.0).otherwise(0.0)))
+    marked = strips.told(both, level, keys, "left").withColumn("seams", F.zip_with("interior", "steep", lambda i, s: F.when((i > 0) & (s >= F.col("level")), 1.0).otherwise(0.0)))
     return marked.select(*keys, "y", "height", "interior", "seams", "dy", "dx")
 
 
@@ -146,7 +146,7 @@ def reference(source: DataFrame, regions: DataFrame, keys: Sequence[str]) -> tup
     about = source.where("y = 0").select(*keys, "height", F.size("r").alias("width"))
     fits = regions.join(about, list(keys), "left").withColumn("fits", (F.col("first_row") >= 0) & (F.col("first_row") < F.col("last_row")) & (F.col("last_row") < F.col("height")) & (F.col("center") > 0) & (F.col("center") < F.col("width")))
     missing = contour.groupBy(*keys).agg(F.max(F.col("position").isNull()).alias("missing"))
-    out = points.join(about, list(keys)).groupBy(*keys).agg(F.max((F.col("px") < 0) | (F.col("px") >= F.col("width") - 1) | (F.col("py") < 0) | (F.col("py") >= F.col("height") - 1)).alias("outside"))
+    out = strips.told(points, about, keys).groupBy(*keys).agg(F.max((F.col("px") < 0) | (F.col("px") >= F.col("width") - 1) | (F.col("py") < 0) | (F.col("py") >= F.col("height") - 1)).alias("outside"))
     told = strips.kept(sampled_profiles(source, points, keys))
     contrast = sum((ends_of(F.col(c))[1] - ends_of(F.col(c))[0]) ** 2 for c in RGB)
     edges = with_width(told.withColumn("_o", _minus("r", "g")), "_o", "wide").groupBy(*keys).agg(F.max(F.sqrt(contrast) <= 1e-9).alias("flat"), F.max(F.col("wide").isNull()).alias("open"))
@@ -171,9 +171,9 @@ def measured(source: DataFrame, candidate: DataFrame, regions: DataFrame, keys:
     keys = list(keys)
     state, contour, own, cloth = reference(source, regions, keys)
     good = state.where("error is null").select(*keys)
-    contour, source = contour.join(good, keys), source.join(good, keys)
+    contour, source = strips.told(contour, good, keys), strips.told(source, good, keys)
     actual = strips.kept(contours(candidate, regions, keys, contour))
-    both = contour.join(actual.withColumnRenamed("position", "now"), [*keys, "side", "y"]).withColumn("off", F.col("now") - F.col("position"))
+    both = strips.matched(contour, actual.withColumnRenamed("position", "now"), [*keys, "side", "y"]).withColumn("off", F.col("now") - F.col("position"))
     lost = F.count(F.lit(1)) - F.count("off")
     places = both.groupBy(*keys).agg(lost.alias("missing_rows"), F.count(F.lit(1)).alias("samples"), rms(F.col("off")).alias("position_rms"), F.when(lost == 0, F.percentile(F.abs("off"), F.lit(0.95))).alias("position_p95"))
     course = both.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("y", "off"))).alias("c"))  # a line each
@@ -181,7 +181,7 @@ def measured(source: DataFrame, candidate: DataFrame, regions: DataFrame, keys:
     rough = rough.groupBy(*keys).agg(rms(F.col("v")).alias("rough"))
 
     points = profiles(contour, keys)
-    pair = own.join(good, keys).join(sampled_profiles(candidate, points, keys, "c_"), [*keys, "side", "y"])
+    pair = strips.matched(strips.told(own, good, keys), sampled_profiles(candidate, points, keys, "c_"), [*keys, "side", "y"])
     gap = lambda c: (ends_of(F.col(c))[1] - ends_of(F.col(c))[0])
     contrast = F.sqrt(sum((gap("c_" + c) - gap(c)) ** 2 for c in RGB)) / F.sqrt(sum(gap(c) ** 2 for c in RGB))
     squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
@@ -193,12 +193,12 @@ def measured(source: DataFrame, candidate: DataFrame, regions: DataFrame, keys:
     mean_root = lambda c, n: F.sqrt(F.sum(c) / (F.count(F.lit(1)) * n))
     edges = pair.groupBy(*keys).agg(rms(F.col("wide")).alias("width_rms"), (F.count(F.lit(1)) - F.count("wide")).alias("width_missing"), rms(F.col("contrast")).alias("contrast_rms"), mean_root("profile", 3 * PLACES).alias("profile_rms"), mean_root("over", near).alias("halo_rms"))
 
-    smooth = strips.blurred(candidate.join(good, keys), keys, {c: c for c in RGB}, SMOOTH)
+    smooth = strips.blurred(strips.told(candidate, good, keys), keys, {c: c for c in RGB}, SMOOTH)
     steep = strips.slopes(smooth.select(*keys, "y", "height", _luma().alias("l")), keys, "l").select(*keys, "y", F.col("dy").alias("c_dy"), F.col("dx").alias("c_dx"))
     chroma = {f"{c}g": F.zip_with(_minus("c_" + c, "c_g"), _minus(c, "g"), lambda x, y: x - y) for c in ("r", "b")}
     named = candidate.select(*keys, "y", *[F.col(c).alias("c_" + c) for c in RGB])
-    blotch = strips.blurred(source.join(named, [*keys, "y"]).select(*keys, "y", "height", *[v.alias(k) for k, v in chroma.items()]), keys, {"rg": "rg", "bg": "bg"}, CHROMA).drop("height")
-    at = cloth.join(good, keys).join(steep, [*keys, "y"]).join(blotch, [*keys, "y"])
+    blotch = strips.blurred(strips.matched(source, named, [*keys, "y"]).select(*keys, "y", "height", *[v.alias(k) for k, v in chroma.items()]), keys, {"rg": "rg", "bg": "bg"}, CHROMA).drop("height")
+    at = strips.matched(strips.matched(strips.told(cloth, good, keys), steep, [*keys, "y"]), blotch, [*keys, "y"])
     dots = strips.cells(at, keys, ["interior", "seams", "dy", "dx", "c_dy", "c_dx", "rg", "bg"]).where("interior > 0")
     off = (F.col("c_dy") - F.col("dy")) ** 2 + (F.col("c_dx") - F.col("dx")) ** 2
     colour = dots.groupBy(*keys).agg(F.sqrt(F.avg(F.when(F.col("seams") > 0, off))).alias("seam_rms"), F.sqrt(F.avg(F.col("rg") ** 2 + F.col("bg") ** 2) / 2).alias("blotch_rms"))
@@ -227,7 +227,7 @@ def nearest_points(points: DataFrame, others: DataFrame, keys: Sequence[str], ce
         around = waiting.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])))
         around = around.select(*keys, "id", "x", "y", (number("y") + F.col("_d.dy")).alias("cy"), (number("x") + F.col("_d.dx")).alias("cx"))
         placed = others.select(*keys, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), number("y").alias("cy"), number("x").alias("cx"))
-        met = around.join(placed, [*keys, "cy", "cx"], "left")
+        met = strips.matched(around, placed, [*keys, "cy", "cx"], "left")
         far = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)
         best = met.groupBy(*keys, "id", "x", "y").agg(F.min(F.when(F.col("other").isNotNull(), F.struct(far.alias("far"), "other"))).alias("best"))
         best = strips.kept(best)

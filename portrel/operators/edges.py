@@ -99,7 +99,7 @@ def canny(image: DataFrame, keys: Sequence[str], channel: str, blur: raster.Kern
     labelled = strips.kept(_labelled(thinned(image, keys, channel, blur, low, strip), keys, strip))
     # Lines on both sides of a border between strips, and which of their pixels touch.
     last = labelled.where(F.col("y") % strip == strip - 1).select(*keys, (F.col("y") + 1).alias("y"), F.col("label").alias("up"))
-    pair = labelled.where(F.col("y") % strip == 0).select(*keys, "y", "label").join(last, [*keys, "y"])
+    pair = strips.matched(labelled.where(F.col("y") % strip == 0).select(*keys, "y", "label"), last, [*keys, "y"])
     touch = F.flatten(F.transform("label", lambda b, i: F.transform(F.array(*[F.get("up", i + d) for d in (-1, 0, 1)]), lambda a: F.struct(a.alias("a"), b.alias("b")))))
     ties = pair.select(*keys, F.explode(F.array_distinct(F.filter(touch, lambda t: (t["a"] >= 0) & (t["b"] >= 0)))).alias("t")).select(*keys, "t.a", "t.b")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in image.select(*keys).schema.fields)
@@ -115,11 +115,11 @@ def canny(image: DataFrame, keys: Sequence[str], channel: str, blur: raster.Kern
     number = F.floor(F.col("y") / strip).cast("int")
     dots = F.explode(F.filter(F.arrays_zip("label", "edge"), lambda p: p["label"] >= 0)).alias("p")
     sizes = labelled.select(*keys, number.alias("strip"), dots).groupBy(*keys, "strip", "p.label").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("p.edge") >= high).alias("strong"))
-    told = strips.kept(sizes.join(roots, [*keys, "label"], "left").withColumn("root", F.coalesce("root", "label")))
+    told = strips.kept(strips.matched(sizes, roots, [*keys, "label"], "left").withColumn("root", F.coalesce("root", "label")))
     whole = told.groupBy(*keys, "root").agg(F.sum("n").alias("n"), F.max("strong").alias("strong")).where("strong")
-    kept = told.select(*keys, "strip", "label", "root").join(whole, [*keys, "root"])
+    kept = strips.matched(told.select(*keys, "strip", "label", "root"), whole, [*keys, "root"])
     maps = kept.groupBy(*keys, "strip").agg(F.map_from_entries(F.collect_list(F.struct("label", F.when(F.col("n") >= LEAST_SEGMENT, F.col("root")).otherwise(F.lit(-1))))).alias("_segments"))  # of one strip
-    with_maps = labelled.withColumn("strip", number).join(maps, [*keys, "strip"], "left")
+    with_maps = strips.matched(labelled.withColumn("strip", number), maps, [*keys, "strip"], "left")
     segment = F.transform("label", lambda v: F.try_element_at("_segments", v))
     marked = with_maps.withColumn("_s", F.coalesce(segment, F.transform("label", lambda _: F.lit(None).cast("long"))))
     edge = F.zip_with("edge", "_s", lambda m, s: F.when(s.isNotNull(), m).otherwise(F.lit(0.0))).alias("edge")

@@ -72,7 +72,7 @@ def rendered(image: DataFrame, plans: DataFrame, keys: Sequence[str], channels:
         places[f"_{axis}1"] = F.least(F.ceil(F.greatest(*at) + far), F.col(size) - 1).cast("int")
     tiles = tiles.withColumns(places)
     held = [*keys, "strip", "_tx", "_x0", "_y0", "out_height", "out_width", "_height", "_width", *MAP]
-    lines = tiles.where("_x0 <= _x1 and _y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1"))).join(image.drop("height"), [*keys, "y"])
+    lines = strips.matched(tiles.where("_x0 <= _x1 and _y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1"))), image.drop("height"), [*keys, "y"])
     parts = lines.select(*held, "y", *[F.slice(c, F.col("_x0") + 1, F.col("_x1") - F.col("_x0") + 1).alias(c) for c in channels])
     marks = tiles.select(*held, F.lit(-1).alias("y"), *[F.array().cast("array<double>").alias(c) for c in channels])  # tiles outside of their source have no lines
     grouped = parts.unionByName(marks).groupBy(*held).agg(F.sort_array(F.collect_list(F.struct("y", *channels))).alias("block")).withColumn("height", F.col("out_height"))

@@ -32,6 +32,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def matched(rows: DataFrame, others: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of lines, or of points on them. Both sides are shuffled and sorted: Spark takes an array for a single value when it estimates a size,
+    so it would send lines that it takes for small through the driver to all executors."""
+    return rows.join(others.hint("merge"), list(on), how)
+
+
+def told(rows: DataFrame, images: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Lines, or points on them, with what ``images`` (a row each) says of their image. Both are shuffled, and a task holds its images' rows."""
+    return rows.join(images.hint("shuffle_hash"), list(keys), how)
+
+
 def lines(pixels: DataFrame, keys: Sequence[str], channels: Sequence[str], height: str = "height") -> DataFrame:
     """Lines of the pixels (keys, y, x, height, channels)."""
     one = pixels.groupBy(*keys, "y", height).agg(F.sort_array(F.collect_list(F.struct("x", *channels))).alias("_line"))
@@ -175,11 +186,11 @@ def sampled(image: DataFrame, points: DataFrame, keys: Sequence[str], channels:
     """
     about = image.where("y = 0").select(*keys, "height", F.size(channels[0]).alias("_width"))
     inside = lambda c, size: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col(size) - 1.000001)
-    placed = points.join(about, list(keys)).withColumn("_x", inside("px", "_width")).withColumn("_y", inside("py", "height"))
+    placed = told(points, about, keys).withColumn("_x", inside("px", "_width")).withColumn("_y", inside("py", "height"))
     held = placed.groupBy(*keys, F.floor("_y").cast("int").alias("_line")).agg(F.collect_list(F.struct("_x", "_y", *also)).alias("_points"))
     low = image.select(*keys, F.col("y").alias("_line"), *[F.col(c).alias(f"_low_{c}") for c in channels])
     high = image.select(*keys, (F.col("y") - 1).alias("_line"), *[F.col(c).alias(f"_high_{c}") for c in channels])
-    both = held.join(low, [*keys, "_line"]).join(high, [*keys, "_line"])
+    both = matched(matched(held, low, [*keys, "_line"]), high, [*keys, "_line"])
 
     def value(c: str):  # noqa: ANN202
         def at(p: Column) -> Column:

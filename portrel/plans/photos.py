@@ -68,7 +68,7 @@ def contour_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = rel.necklines(spark, sf_dir)
     own = strips.kept(contours.contours(source, regions, KEY))
     now = contours.contours(candidate, regions, KEY, own)
-    return own.join(now.withColumnRenamed("position", "now"), ["image_id", "side", "y"]).select("image_id", "side", "y", r6("position").alias("source"), r6("now").alias("candidate"))
+    return strips.matched(own, now.withColumnRenamed("position", "now"), ["image_id", "side", "y"]).select("image_id", "side", "y", r6("position").alias("source"), r6("now").alias("candidate"))
 
 
 _DISTANCE_SQL = f"""WITH {_OPPONENT_SQL}, d AS (SELECT a.image_id, a.side, a.y, min(sqrt((a.now - b.position) * (a.now - b.position) + (a.y - b.y) * (a.y - b.y))) AS far FROM anchored a JOIN contour b ON a.image_id = b.image_id AND b.position IS NOT NULL WHERE a.now IS NOT NULL GROUP BY a.image_id, a.side, a.y)
@@ -112,8 +112,8 @@ def transition_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, candidate = rel.photos(spark, sf_dir)
     own = strips.kept(contours.contours(source, rel.necklines(spark, sf_dir), KEY))
     whole = own.groupBy("image_id").agg(F.max(F.col("position").isNull()).alias("lost")).where("not lost").select("image_id")
-    points = contours.profiles(own.join(whole, "image_id"), KEY)
-    both = contours.sampled_profiles(source, points, KEY).join(contours.sampled_profiles(candidate, points, KEY, "c_"), ["image_id", "side", "y"])
+    points = contours.profiles(strips.told(own, whole, KEY), KEY)
+    both = strips.matched(contours.sampled_profiles(source, points, KEY), contours.sampled_profiles(candidate, points, KEY, "c_"), ["image_id", "side", "y"])
     opponent = lambda p: F.zip_with(p + "r", p + "g", lambda r, g: r - g)
     wide = contours.with_width(contours.with_width(both.withColumns({"o": opponent(""), "c": opponent("c_")}), "o", "source"), "c", "candidate")
     return wide.select("image_id", "side", "y", r6("source").alias("source"), r6("candidate").alias("candidate"))

@@ -6,8 +6,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from portrel import catalog
+from portrel.operators import contours
 
 
 def test_attribution_totals_in_the_order_of_files(spark, tmp_path):
@@ -28,3 +30,14 @@ def test_attribution_totals_in_the_order_of_files(spark, tmp_path):
     want = con.sql(catalog.oracle_sql()["attribution_totals"]).fetchall()
     got = catalog.queries()["attribution_totals"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_lines_are_never_broadcast(spark):
+    """Spark takes an array for one value when it estimates a size, so joins of lines and points mustn't leave it the choice."""
+    image = spark.range(3).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y"), F.lit(64).alias("height"), *[F.array_repeat(F.lit(100.0), 48).alias(c) for c in "rgb"])
+    regions = spark.range(3).select(F.col("id").alias("image_id"), F.lit(12).alias("first_row"), F.lit(51).alias("last_row"), F.lit(24).alias("center"))
+    contour = contours.contours(image, regions, ["image_id"])
+    points = contours.profiles(contour, ["image_id"])
+    for found in (contour, contours.contours(image, regions, ["image_id"], contour), contours.sampled_profiles(image, points, ["image_id"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
