@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from portrel import catalog
-from portrel.operators import contours
+from portrel.operators import contours, frontier
 
 
 def test_attribution_totals_in_the_order_of_files(spark, tmp_path):
@@ -41,3 +41,25 @@ def test_lines_are_never_broadcast(spark):
     for found in (contour, contours.contours(image, regions, ["image_id"], contour), contours.sampled_profiles(image, points, ["image_id"])):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_outputs_folded_together_are_as_folded_alone(monkeypatch):
+    """Ties, slack, limits, beams and changes of several words; as many passes as the largest frontier has states, not as there are states."""
+    rng = np.random.default_rng(4)
+    names = ["grp", "endpoint", "freed", "credit_lost", "face", "hair"]
+    lost = np.array([0.0, 0.25, 0.5, 1.0, 1.0 - 5e-8, 1.0 + 6e-8])
+    for word in (12, frontier.WORD):
+        monkeypatch.setattr(frontier, "WORD", word)
+        for beam in (None, 1, 2, 5):
+            outs = []
+            for n in rng.integers(1, 13, 40):
+                columns = [rng.integers(1, 9, n), rng.integers(1, 4, n), rng.integers(1, 4, n), rng.choice(lost, n), rng.integers(-4, 5, n).astype(float), rng.integers(-3, 4, n).astype(float)]
+                outs.append(sorted(zip(*(c.tolist() for c in columns), strict=True)))
+            freed, credit = rng.integers(0, 13, len(outs)), rng.choice([0.0, 1.0, 3.0, 50.0], len(outs))
+            columns = {n: np.array([o[i] for out in outs for o in out]) for i, n in enumerate(names)}
+            own, sums, many, change = frontier.folded(np.repeat(np.arange(len(outs)), list(map(len, outs))), columns, freed, credit, beam)
+            got: list[list] = [[] for _ in outs]
+            for k, (i, end) in enumerate(zip(own, np.cumsum(many), strict=True)):
+                told = change[end - many[k] : end]
+                got[i].append((*(s[k].item() for s in sums), tuple(zip(columns["grp"][told].tolist(), columns["endpoint"][told].tolist(), strict=True))))
+            assert list(map(sorted, got)) == [sorted(frontier.fold(out, int(f), float(c), beam)) for out, f, c in zip(outs, freed, credit, strict=True)]
