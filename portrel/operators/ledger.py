@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from portrel.operators import strips
 
 KEY = ("tile", "component", "resolution", "subband")
 
@@ -60,27 +65,68 @@ def hull(points: DataFrame, block: str = "block_id") -> DataFrame:
     return lists.select(block, F.explode(folded).alias("h")).select(block, "h.pass_no", "h.rate", "h.dist")
 
 
+def by_block(points: DataFrame, block: str = "block_id") -> DataFrame:
+    """(block, points): a row for each block with its truncation points, in their order; the points are sorted once, whatever is asked of them."""
+    w = W.partitionBy(block).orderBy("pass_no")
+    held = F.collect_list(F.struct("rate", "dist")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))  # a block's passes
+    return points.select(block, held.alias("points"), F.row_number().over(w).alias("_n")).where("_n = 1").drop("_n")
+
+
+def best_of(blocks: DataFrame, lambdas: Sequence[float]) -> DataFrame:
+    """``best_at`` of ``by_block``'s rows: each trade-off's choice is made in the block's row, and only sums leave a task."""
+
+    kinds = ["bigint" if isinstance(f.dataType, IntegralType) else "double" for f in blocks.schema["points"].dataType.elementType]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rates, dists, counts = ([0] * len(lambdas) for _ in range(3))
+        for batch in batches:
+            held = batch.column("points")
+            sizes = np.diff(np.asarray(held.offsets))
+            values = [held.flatten().field(k) for k in (0, 1)]
+            known = np.asarray(values[0].is_valid()) & np.asarray(values[1].is_valid())  # a point that lacks one is worth nothing
+            rate, dist = (np.where(known, np.asarray(v.fill_null(0), np.int64 if kind == "bigint" else np.float64), 0) for v, kind in zip(values, kinds, strict=True))
+            starts = np.cumsum(sizes) - sizes
+            for i, t in enumerate(lambdas if len(batch) else ()):
+                worth = dist - float(t) * rate
+                most = np.maximum.reduceat(worth, starts)
+                top = np.flatnonzero((worth == np.repeat(most, sizes)) & (worth > 0))
+                block = np.searchsorted(starts, top, "right")
+                order = np.lexsort((rate[top], block)) if (block[1:] == block[:-1]).any() else slice(None)
+                top, block = top[order], block[order]
+                chosen = top[np.append(True, block[1:] != block[:-1])[: len(top)]]
+                rates[i] += rate[chosen].sum().item()
+                dists[i] += dist[chosen].sum().item()
+                counts[i] += len(chosen)
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(float, lambdas))), *(pa.array(v, pa.int64() if k == "bigint" else pa.float64()) for v, k in zip((rates, dists), kinds, strict=True)), pa.array(counts, pa.int64())], ["lambda", "rate", "dist", "blocks"])
+
+    sums = blocks.select("points").mapInArrow(run, f"lambda double, rate {kinds[0]}, dist {kinds[1]}, blocks long").where("blocks > 0")
+    return sums.groupBy("lambda").agg(*[F.sum(c).alias(c) for c in ("rate", "dist", "blocks")])
+
+
 def best_at(points: DataFrame, lambdas: Sequence[float], block: str = "block_id") -> DataFrame:
-    """(lambda, rate, dist): for each trade-off the sums of each block's point with the most dist - lambda * rate; no point
+    """(lambda, rate, dist, blocks): for each trade-off the sums of each block's point with the most dist - lambda * rate; no point
     (0, 0) is a choice as well; of equals the fewer bytes."""
-    grid = points.select(block, "pass_no", "rate", "dist", F.explode(F.array(*map(F.lit, lambdas))).alias("lambda"))
-    worth = F.col("dist") - F.col("lambda") * F.col("rate")
-    best = grid.where(worth > 0).groupBy("lambda", block).agg(F.max_by(F.struct("rate", "dist"), F.struct(worth, -F.col("rate"))).alias("b"))
-    return best.groupBy("lambda").agg(F.sum("b.rate").alias("rate"), F.sum("b.dist").alias("dist"), F.count(F.lit(1)).alias("blocks"))
+    return best_of(by_block(points, block), lambdas)
 
 
 def allocate(points: DataFrame, budget: int, steps: int = 24, block: str = "block_id") -> tuple[float, DataFrame]:
-    """Bisection of the trade-off: the least lambda whose selection fits ``budget`` bytes, and that selection's totals.
+    """Bisection of the trade-off: the least lambda whose selection fits ``budget`` bytes, and that selection's totals."""
+    return allocate_blocks(strips.kept(by_block(points, block)), budget, steps)
+
+
+def allocate_blocks(blocks: DataFrame, budget: int, steps: int = 24) -> tuple[float, DataFrame]:
+    """``allocate`` of ``by_block``'s rows, a checkpoint, as every round reads them.
 
     All steps' trade-offs of one round are tried in one job (16 at a time), so ``steps`` bits take a quarter of the jobs.
     """
-    low, high = 0.0, float(points.agg(F.max(F.col("dist") / F.greatest("rate", F.lit(1)))).head()[0] or 0) + 1.0
+    steepest = F.array_max(F.transform("points", lambda p: p["dist"] / F.greatest(p["rate"], F.lit(1))))
+    low, high = 0.0, float(blocks.agg(F.max(steepest)).head()[0] or 0) + 1.0
     for _ in range(-(-steps // 4)):
         tried = [low + (high - low) * i / 16 for i in range(1, 17)]
-        rates = {r["lambda"]: r["rate"] for r in best_at(points, tried, block).collect()}  # sixteen rows at most
+        rates = {r["lambda"]: r["rate"] for r in best_of(blocks, tried).collect()}  # sixteen rows at most
         fit = next((t for t in tried if rates.get(t, 0) <= budget), high)
         low, high = max([low, *(t for t in tried if t < fit)]), fit
-    return high, best_at(points, [high], block)
+    return high, best_of(blocks, [high])
 
 
 def endpoint_totals(points: DataFrame, chosen: DataFrame, block: str = "block_id") -> DataFrame:

@@ -162,9 +162,9 @@ def _bisection_sql(rounds: int = 6) -> str:
 @query(_bisection_sql())
 def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection of the least trade-off whose bytes fit half of all blocks' bytes."""
-    points = strips.kept(rel.rd(spark, sf_dir))  # six searches read it
-    budget = points.groupBy("block_id").agg(F.max("rate").alias("m")).agg(F.sum("m")).head()[0] // 2
-    return ledger.allocate(points, budget)[1].withColumn("lambda", r6("lambda"))
+    blocks = strips.kept(ledger.by_block(rel.rd(spark, sf_dir)))  # six searches read it
+    budget = blocks.agg(F.sum(F.array_max(F.transform("points", lambda p: p["rate"])))).head()[0] // 2
+    return ledger.allocate_blocks(blocks, budget)[1].withColumn("lambda", r6("lambda"))
 
 
 @query("WITH l AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (WHERE value < before) AS falls, coalesce(max(value < before), FALSE) AS violated FROM l GROUP BY user_id")

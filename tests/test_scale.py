@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from portrel import catalog
-from portrel.operators import contours, frontier
+from portrel.operators import contours, frontier, ledger, strips
 
 
 def test_attribution_totals_in_the_order_of_files(spark, tmp_path):
@@ -63,3 +63,23 @@ def test_outputs_folded_together_are_as_folded_alone(monkeypatch):
                 told = change[end - many[k] : end]
                 got[i].append((*(s[k].item() for s in sums), tuple(zip(columns["grp"][told].tolist(), columns["endpoint"][told].tolist(), strict=True))))
             assert list(map(sorted, got)) == [sorted(frontier.fold(out, int(f), float(c), beam)) for out, f, c in zip(outs, freed, credit, strict=True)]
+
+
+def test_choices_are_made_in_the_rows_of_blocks(spark):
+    """No trade-off multiplies points before they are sorted or shuffled, and a round of the search moves sums only; of equals the fewer bytes."""
+    rng = np.random.default_rng(3)
+    rows = [(b, k, int(r), int(d)) for b in range(50) for k, (r, d) in enumerate(rng.integers(0, 12, (int(rng.integers(1, 7)), 2)))]
+    points = spark.createDataFrame([*rows, (99, 0, None, 5)], "block_id long, pass_no long, rate long, dist long")
+    tried = [0.0, 0.5, 1.0, 2.0, 30.0]
+    plan = ledger.best_at(points, tried)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan
+    want = {}
+    for t in tried:
+        best = [max((d - t * r, -r, d) for o, _, r, d in rows if o == b) for b in range(50)]
+        best = [x for x in best if x[0] > 0]
+        want[t] = (-sum(x[1] for x in best), sum(x[2] for x in best), len(best))
+    assert {r[0]: tuple(r)[1:] for r in ledger.best_at(points, tried).collect()} == {t: w for t, w in want.items() if w[2]}
+    blocks = strips.kept(ledger.by_block(points))
+    assert blocks.count() == 51
+    plan = ledger.best_of(blocks, tried)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
