@@ -251,6 +251,7 @@ def nearest_feasible(polygon: Column, planes: Column, px: Column, py: Column) ->
     span = lambda v: F.sequence(F.floor(v) - 1, F.ceil(v) + 1)
     grid = F.flatten(F.transform(proposals, lambda p: F.flatten(F.transform(span(p["y"]), lambda y: F.transform(span(p["x"]), lambda x: F.struct(x.alias("x"), y.alias("y")))))))
     numbered = F.transform(F.filter(grid, lambda p: fits(planes, p["x"], p["y"])), lambda p, i: F.struct(((p["x"] - px) * (p["x"] - px) + (p["y"] - py) * (p["y"] - py)).alias("away"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y")))
-    best = F.array_min(numbered)
     own = F.struct(px.cast("long").alias("x"), py.cast("long").alias("y"))
-    return F.when(fits(planes, px, py), own).when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y")))
+    # The least is bound to a name by an array of one, or it would be looked for again for each use.
+    best = F.get(F.transform(F.array(F.array_min(numbered)), lambda b: F.when(b.isNotNull(), F.struct(b["x"].alias("x"), b["y"].alias("y")))), F.lit(0))
+    return F.when(fits(planes, px, py), own).otherwise(best)

@@ -144,11 +144,12 @@ _PLANES = "(VALUES (-1, 0, -2.5e0), (0, -1, -1.25e0), (1, 0, 30e0), (0, 1, 28e0)
 d AS (SELECT id, min(pow(g.x - px, 2) + pow(g.y - py, 2)) AS away FROM q, g GROUP BY id) SELECT id, round(away, 6) + 0.0 AS away FROM d""")
 def nearest_feasible_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the closest whole crop origin is that all half planes allow, from the wanted one. The polygon is the same for all,
-    so it is cut once, as a constant."""
+    so it is cut once, in a row of its own that all others meet."""
     planes = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(m)).alias("m")) for a, b, m in ((-1, 0, -2.5), (0, -1, -1.25), (1, 0, 30), (0, 1, 28), (1, 1, 40), (-1, 1, 22), (1, -2, 18))])
     square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (44, 0), (44, 44), (0, 44))])
     c = F.col("c_custkey")
-    b = rel.table(spark, sf_dir, "customer").select(c.alias("id"), (c % 40 - 5).cast("double").alias("px"), (c * 7 % 37 - 5).cast("double").alias("py"), p.clip_all(square, planes).alias("polygon"))
+    wanted = rel.dealt(rel.table(spark, sf_dir, "customer").select(c.alias("id"), (c % 40 - 5).cast("double").alias("px"), (c * 7 % 37 - 5).cast("double").alias("py")))
+    b = wanted.crossJoin(F.broadcast(spark.range(1).select(p.clip_all(square, planes).alias("polygon"))))
     best = b.select("id", "px", "py", p.nearest_feasible(F.col("polygon"), planes, F.col("px"), F.col("py")).alias("at"))
     return best.select("id", r6(F.pow(F.col("at.x") - F.col("px"), 2) + F.pow(F.col("at.y") - F.col("py"), 2)).alias("away"))
 
