@@ -85,7 +85,7 @@ def made_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, case, data): a profile for each part, with a gamma from its size where the case has one."""
     listed = [(i, data.hex().upper()) for i, (data, _) in enumerate(cases())]
     some = F.broadcast(spark.createDataFrame(listed, "case long, hex string"))
-    parts = rel.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(listed)).alias("case"), F.lpad(F.hex(128 + F.col("p_size").cast("long") * 12), 4, "0").alias("gamma"))
+    parts = rel.dealt(rel.table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(listed)).alias("case"), F.lpad(F.hex(128 + F.col("p_size").cast("long") * 12), 4, "0").alias("gamma"))
     return parts.join(some, "case").select("id", "case", F.unhex(F.replace("hex", F.lit(_SLOT.hex().upper()), F.col("gamma"))).alias("data"))
 
 

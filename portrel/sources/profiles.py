@@ -133,7 +133,8 @@ def _curve_faults(data: Column, name: str) -> list[tuple[Column, str]]:
 
 
 def _with_curve(rows: DataFrame, data: Column, name: str) -> DataFrame:
-    """Adds the curve's samples, its parameters (as many as 7) and its values at the 256 inputs."""
+    """Adds the curve's samples, its parameters (as many as 7), its error, and its values at the 256 inputs where nothing was wrong before it;
+    a curve in the same storage as the one before has the same values."""
     tag = F.col(f"_{name}")
     at, length = tag["offset"], tag["length"]
     kind, count = signature(data, at), unsigned(data, at + 8)
@@ -159,7 +160,14 @@ def _with_curve(rows: DataFrame, data: Column, name: str) -> DataFrame:
         )
         return F.when(f < 0, sampled).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), told)))
 
-    return rows.withColumn(f"_c{name}", F.transform(F.sequence(F.lit(0), F.lit(255)), value))
+    rows = rows.withColumn(f"_e{name}", F.coalesce("_fault", _first(*_curve_faults(data, name))))
+    values = F.transform(F.sequence(F.lit(0), F.lit(255)), value)
+    k = CURVES.index(name)
+    if k:
+        other = F.col(f"_{CURVES[k - 1]}")
+        values = F.when((at == other["offset"]) & (length == other["length"]), F.col(f"_c{CURVES[k - 1]}")).otherwise(values)
+    rows = rows.withColumn(f"_c{name}", F.when(F.col(f"_e{name}").isNull(), values))
+    return rows.withColumn("_fault", F.when(F.col(f"_e{name}").isNotNull(), F.col(f"_e{name}")).otherwise(_first(_value_fault(name))))
 
 
 def _value_fault(name: str) -> tuple[Column, str]:
@@ -192,12 +200,10 @@ def parsed(profiles: DataFrame, key: str, data: str = "data") -> DataFrame:
     off = [F.abs(m[3 * i] + m[3 * i + 1] + m[3 * i + 2] - F.lit(w)) > CLOSE for i, w in enumerate(D50)]
     xyz = [f for n in [*COLORANTS, "wtpt"] for f in _xyz_faults(b, n)]
     early = F.coalesce(F.col("_header"), F.col("error"), _first(*xyz, (off[0] | off[1] | off[2], NORMAL), (F.abs(_determinant(m)) < 0.000001, SINGULAR)))
-    rows = rows.withColumn("_early", early)
+    rows = rows.withColumn("_fault", early)
     for n in CURVES:
         rows = _with_curve(rows, b, n)
-    for n in CURVES:
-        rows = rows.withColumn(f"_e{n}", F.coalesce(_first(*_curve_faults(b, n)), _first(_value_fault(n))))
-    rows = rows.withColumn("_error", F.coalesce("_early", *[f"_e{n}" for n in CURVES]))
+    rows = rows.withColumnRenamed("_fault", "_error")
     back = _inverse(SRGB)
     to_srgb = F.array(*[sum(F.lit(back[i][k]) * m[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)])
     x = lambda i: i / 255.0

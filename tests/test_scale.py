@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from portrel import catalog
 from portrel.operators import contours, frontier, ledger, strips
+from portrel.plans import colours
 
 
 def test_attribution_totals_in_the_order_of_files(spark, tmp_path):
@@ -83,3 +84,10 @@ def test_choices_are_made_in_the_rows_of_blocks(spark):
     assert blocks.count() == 51
     plan = ledger.best_of(blocks, tried)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
+
+
+def test_costly_rows_of_a_small_file_are_dealt_out(spark):
+    sf = "/root/testdata/sf0.001"
+    for rows in (catalog.queries()["nearest_feasible_crop"](spark, sf), colours.made_profiles(spark, sf)):
+        counts = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(counts) > 4
