@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +32,26 @@ LANES = 32
 PERCENTILE = 90
 CHUNK_IDS = 1 << 17
 END_ID = 1
-#: Characters and ids that a worker remembers of words; beyond it the memory starts anew, results don't change.
+#: Characters and ids that a worker remembers of pieces, in two generations; results don't depend on it.
 MEMO_BYTES = 160 << 20
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space besides ASCII's.
+_SPACES = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: A run of Latin-1 letters, then nothing or an ASCII character that is no letter: neither composition nor the
 #: tokenizer's own split joins the two parts.
-_HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x40\x5b-\x60\x7b-\x7e].*)?", re.DOTALL)
+_CUT = r"(?s)^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[\x21-\x40\x5b-\x60\x7b-\x7e].*)?\z"
 
 
-class Words(dict):
-    """From a word to its ids as bytes, through the tokenizer for what is new; white space never joins words' ids."""
+class Words:
+    """From texts to their ids as bytes: Arrow cuts texts into words, different words are cut into pieces, and only pieces that
+    are new go to the tokenizer; white space never joins words' ids."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -55,28 +59,20 @@ class Words(dict):
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special, self.folded = [t.content for t in added], [t.content for t in added if t.normalized]
         self.fold = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        if self.fold("ÀZ") != "àz":
-            raise ValueError("the tokenizer doesn't lower-case; letter runs can't be folded")
+        latin = "".join(map(chr, range(256)))
+        if self.fold(latin) != self.fold(latin.lower()):
+            raise ValueError("the tokenizer doesn't lower-case; texts can't be folded")
 
     def learn_runs(self, runs: list[str]) -> None:
         """Ids of letter runs, many in one call; a run is one word to the tokenizer, and only its last id closes a word."""
         for at in range(0, len(runs), 2000):
             some = runs[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             if len(ends) != len(some):
                 raise ValueError("the tokenizer has no word ends; letter runs can't be told apart")
-            raw, begin = ids.tobytes(), 0
-            for run, end in zip(some, ends, strict=True):
-                self.parts[run] = raw[4 * begin : 4 * end]
-                begin = end
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+            raw = ids.tobytes()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -86,27 +82,51 @@ class Words(dict):
         """Whether the tokenizer may find a special token in a text; some are looked for after normalisation."""
         return any(t in text for t in self.special) or bool(self.folded) and any(t in self.fold(text) for t in self.folded)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        apart = {i: self.whole(t) for i, t in enumerate(texts) if t and self.spells(t)}
-        split = [words_of(t) if t and i not in apart else [] for i, t in enumerate(texts)]
-        if self.held > MEMO_BYTES:
-            self.clear()
-            self.parts.clear()
-            self.held = 0
-        new = set().union(*split).difference(self.keys())
+    def ids(self, column: pa.Array, runs: bool) -> pa.Array:
+        """The ids of each piece of a column, as bytes; each different piece is looked up once."""
+        coded = column.dictionary_encode()
+        # One string for all pieces, as none holds a line end: much faster than a scalar for each.
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), "\n")[0].as_py().split("\n")
+        new = [p for p in distinct if p not in self.known]
         self.held += sum(map(len, new)) * 12 + 200 * len(new)
-        cuts = {w: _HEAD.fullmatch(w) for w in new}
-        self.learn_runs(list({c[1].lower() for c in cuts.values() if c}.difference(self.parts.keys())))
-        for word, cut in cuts.items():
-            self[word] = self.parts[cut[1].lower()] + (self.part(cut[2]) if cut[2] else b"") if cut else self.part(word)
-        return [apart[i] if i in apart else b"".join([self[w] for w in own]) for i, own in enumerate(split)]
-
-
-def words_of(text: str) -> list[str]:
-    """Cuts at white space only; str.split also cuts at four control characters that are no white space to the tokenizer."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _WORD.findall(text)
-    return text.split()
+        again = [p for p in new if p in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = [p for p in new if p not in self.older]
+        if runs:
+            self.learn_runs(new)
+        else:
+            self.known.update((p, self.whole(p)) for p in new)
+        return pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.held > MEMO_BYTES // 2:
+            self.known, self.older, self.held = {"": b""}, self.known, 0
+        folded = [lowered(t) if t else "" for t in texts]
+        # Lower-casing may spell a special token where there is none, so such a text isn't cut either.
+        apart = {i: self.whole(t) for i, (t, low) in enumerate(zip(texts, folded, strict=True)) if t and (self.spells(t) or self.spells(low))}
+        split = pc.ascii_split_whitespace(pa.array(["" if i in apart else low for i, low in enumerate(folded)], pa.string()))
+        words = split.flatten().dictionary_encode()
+        cut = pc.extract_regex(words.dictionary, _CUT)
+        run, rest = pc.struct_field(cut, "run"), pc.struct_field(cut, "rest")
+        rest = pc.if_else(pc.is_valid(run), rest.fill_null(""), words.dictionary)
+        own = pc.binary_join_element_wise(self.ids(run.fill_null(""), True), self.ids(rest, False), pa.scalar(b"", pa.large_binary()))
+        ids = own.take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.cumsum(split.value_lengths().to_numpy())].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [apart[i] if i in apart else bytes(raw[begin:end]) for i, (begin, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+
+
+def lowered(text: str) -> str:
+    """A text of Latin-1 in lower case, others as they are; white space as ASCII's. To the tokenizer this is the same text."""
+    if not text.isascii():
+        text = _SPACES.sub(" ", text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
 
 
 @lru_cache(maxsize=2)

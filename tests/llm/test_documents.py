@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -267,6 +268,67 @@ def test_token_ids(spark, docs, empty, tmp_path):
     assert token_ids.read_ids(token_ids.write_ids(empty, f"file://{tmp_path}/none", file)).count() == 0
 
 
+def test_token_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(file), token_ids.Words(file)
+    spaces = "\x09\x0a\x0b\x0c\x0d \x85\xa0\u1680\u2000\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    others = "\x00\x1b\x1c\x1d\x1e\x1f\x7f\xad\u180e\u200b\u2060\ufeff"
+    marks = ["", "'s", "'S", "...", "!?x", "_Y", "\u0301", "\u0301,", "\u00aa", "\u00ba", "\u00b5", "\u00d7", "12", "\u2019t", "\u4f60\u597d", "\ufb01", "\u212b", "\u0130", "\u03a3 ", "\u1100\u1161", *spaces, *others]
+    texts = [None, "", " ", "\n\n", *(f"{a}{m}{b}" for a in ("", " ", "Été", "DON", "straße-") for m in marks for b in ("", "Go.", "\u00c9A,", " É\u0301 \u4f60 Ab"))]
+    texts += ["a <|EndOfText|> b", "<|STARTOFTEXT|>", "x<|endoftext|> \n", "Ａ <|ENDOFTEXT|>", "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(1, 0x250)))]
+    for some in (texts, texts[::-1], [None], [""], []):
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(some)] == want
+
+
+def test_token_ids_look_up_each_piece_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __iter__(self):
+            raise AssertionError("all of the memory is read")
+
+        keys = items = values = __iter__
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(file), token_ids.Words(file)
+    encoder.known = Counted({"": b""})
+    texts = ["Some words, SOME Words. words! " * 200, "more words\n" * 300]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # Runs some, words, more; rests comma, stop, exclamation mark; the empty piece twice. Once in each of two calls.
+    assert 0 < Counted.asked <= 2 * 8
+    # A memory of one generation forgets what isn't used, and gives the same.
+    monkeypatch.setattr(token_ids, "MEMO_BYTES", 1000)
+    small = token_ids.Words(file)
+    for n in range(6):
+        some = [f"word{chr(97 + n)} Words, again", "other w" + "x" * n]
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_all(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(small.known) < 12
+
+
+def test_token_ids_of_few_words_with_a_large_memory():
+    encoder, times = token_ids.Words(public_tokenizers.path("word_bpe_49k.json")), []
+    letters = "abcdefghij"
+    for texts in ([" ".join("".join(letters[int(d)] for d in str(n)) for n in range(100_000, 200_000))], []):
+        spent = []
+        for n in range(41):
+            begin = time.process_time_ns()
+            encoder.encode_all([f"few words {n % 2}"])
+            spent.append(time.process_time_ns() - begin)
+        times.append(sorted(spent)[20])
+        encoder.encode_all(texts)
+    assert times[1] < 8 * times[0]
+
+
 def test_blocks_round_trip():
     random.seed(5)
     for n in (0, 1, 31, 1023, 1024, 1025, 5000):
